@@ -4,10 +4,10 @@ A document is the set of its distinct k-word shingles; two documents link when
 ``100 * |intersection| >= threshold * |union|``. Steps:
 
 1. Documents with equal sets are collapsed to one node, named by a 64-bit hash of the set.
-2. Inverted lists over a hash-ordered prefix of each set find the sets that can have a
-   partner at all: a linked pair must share an element of both prefixes, so a set whose
-   prefix occurs in no other set is finished. For the others the elements that occur in two or
-   more of those sets are kept; all else cannot add to an intersection.
+2. A linked set lacks few of its elements in the other. Of the elements with the lowest hashes
+   (twice as many as a set may lack) more than half must therefore occur in other sets; sets of
+   which that is not so are finished. For those that are left the elements that occur in two or
+   more of them are kept; all else cannot add to an intersection.
 3. *Light* sets (up to a boundary size chosen by estimated cost) enumerate subsets of the fixed
    size that a partner of each admissible size must share; equal subsets are links without
    further check.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, pick
+from .common import connected_components, discard, materialize, pick
 from .hashing import mix, shingle_sets, slices
 
 #: Light sets are at most this large whatever the cost estimate says.
@@ -61,7 +61,7 @@ def _features(k: int, threshold: int):
                 sets = shingle_sets(rows[a:b], k)
                 n = np.array([len(s) for s in sets], np.int64)
                 node = np.array([_set_hash(s) for s in sets], np.int64)
-                heads = [s[: prefix_size(len(s), threshold)].tobytes() if len(s) else b"" for s in sets]
+                heads = [s[: 2 * prefix_size(len(s), threshold)].tobytes() if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(node), pa.array(heads, pa.binary())], ["id", "n", "node", "head"])
 
     return run
@@ -78,30 +78,48 @@ def _explode_ids(batches):
             yield pa.RecordBatch.from_arrays([pa.array(e), batch.column("id").take(take), batch.column("n").take(take)], ["e", "id", "n"])
 
 
-def _elements(k: int):
-    """Whole sets of the nodes again, one row for each element; texts that have another set give none."""
+def _whole(k: int):
+    """Whole sets of the nodes again, packed; texts that have another set give none."""
 
     def run(batches):
         for batch in batches:
             texts, nodes = batch.column("text").to_pylist(), batch.column("id").to_pylist()
             for a, b in slices([len(t) if t else 0 for t in texts]):
                 sets = shingle_sets(texts[a:b], k)
-                sets = [s if int(_set_hash(s)) == i else s[:0] for s, i in zip(sets, nodes[a:b])]
-                take = pa.array(np.repeat(np.arange(a, b), [len(s) for s in sets]))
-                e = np.concatenate(sets) if sets else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(e), batch.column("id").take(take), batch.column("n").take(take)], ["e", "id", "n"])
+                keep = [i for i, s in enumerate(sets) if int(_set_hash(s)) == nodes[a + i]]
+                take = pa.array([a + i for i in keep], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("n").take(take), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["id", "n", "head"])
 
     return run
 
 
-def _pack(batches):
-    """Collected (df, e) structs, sorted rarest first, to packed longs."""
-    for batch in batches:
-        lists = batch.column("es")
-        flat, off = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        e = flat.field("e").to_numpy(zero_copy_only=False)
-        packed = [e[a:b].tobytes() for a, b in zip(off[:-1], off[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(packed, pa.binary())], ["id", "n", "es"])
+def _pack(threshold: int):
+    """Rows (id, n, df, e) in order of id, df and e to packed elements, of the sets with enough of them."""
+
+    def run(batches):
+        last, parts = None, []
+
+        def row():
+            e = np.concatenate(parts)
+            e = e[np.concatenate([[True], e[1:] != e[:-1]])]  # a repeated row gives its elements twice
+            if 100 * len(e) >= threshold * last[1]:
+                yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([e.tobytes()], pa.binary())], ["id", "n", "es"])
+
+        for batch in batches:
+            i, n, e = (batch.column(c).to_numpy() for c in ("id", "n", "e"))
+            cuts = np.flatnonzero(i[1:] != i[:-1]) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(i)]):
+                if a == b:
+                    continue
+                if last is not None and i[a] != last[0]:
+                    yield from row()
+                    parts = []
+                last = (int(i[a]), int(n[a]))
+                parts.append(e[a:b].copy())
+        if last is not None:
+            yield from row()
+
+    return run
 
 
 def _subsets(boundary: int, threshold: int):
@@ -218,7 +236,8 @@ def _edges_of_distinct(sets: DataFrame, threshold: int) -> DataFrame:
     lists = sets.where(reach).mapInArrow(_heads(threshold), "e long, id long, n long")
     lists = materialize(lists, "lists")
     found = _shared_only(lists, "lists").drop("df")
-    lists = materialize(lists.join(found, "e"), "lists")
+    every, lists = lists, materialize(lists.join(found, "e"), "lists")
+    discard(every)
     heavy = F.greatest("na", "nb") > F.lit(boundary)
     for turn in range(ROUNDS):
         parts = connected_components(edges) if boundary or turn else edges.toDF("id", "component")
@@ -226,7 +245,8 @@ def _edges_of_distinct(sets: DataFrame, threshold: int) -> DataFrame:
         # Pairs still open in a list: all, less those within one component.
         each = now.groupBy("e", "part").agg(F.count("*").cast("double").alias("c")).groupBy("e").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
         each = materialize(each.where("m * m > q"), "lists")
-        now = materialize(now.join(each.select("e"), "e"), "lists")
+        was, now = now, materialize(now.join(each.select("e"), "e"), "lists")
+        discard(was, lists)
         todo = each.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0)).alias("p"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("m")).first()
         if not todo["p"]:
             return edges
@@ -239,6 +259,7 @@ def _edges_of_distinct(sets: DataFrame, threshold: int) -> DataFrame:
         pairs = materialize(pairs.select(F.col("id").alias("a"), "b").distinct(), "pairs")
         edges = materialize(edges.unionByName(_linked(pairs, sets, threshold)).distinct(), "edges")
         lists = materialize(met.where("id <> b").select("e", "id", "n"), "lists")
+        discard(now, pivot, each, pairs)
     left = now.select("e", F.col("id").alias("a"), F.col("n").alias("na"), F.col("part").alias("parta"))
     right = now.select("e", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("partb"))
     pairs = left.join(right, "e").where("a < b and parta <> partb").where(_size_filter("na", "nb", threshold)).where(heavy)
@@ -259,20 +280,24 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85, id_col:
     schema = "id long, n long, node long, head binary"
     rows = materialize(given.select(F.col("id").cast("long"), "text").mapInArrow(_features(k, threshold), schema), "sets")
     named = rows.where("id is not null and n > 0")
-    groups = materialize(named.groupBy("node", "n").agg(F.min("id").alias("least"), F.first("head").alias("head")), "groups")
-
-    heads = groups.select(F.col("node").alias("id"), "n", "head").mapInArrow(_explode_ids, "e long, id long, n long")
-    heads = materialize(heads, "heads")
-    alive = materialize(heads.join(_shared_only(heads, "heads").drop("df"), "e").select("id").distinct(), "alive")
+    groups = materialize(named.groupBy("node", "n").agg(F.min("id").alias("least")), "groups")
+
+    # Copies of a set count once: an element is of one set only if its least and greatest node agree.
+    heads = named.select(F.col("node").alias("id"), "n", "head").mapInArrow(_explode_ids, "e long, id long, n long")
+    alone = heads.groupBy("e").agg(F.min("id").alias("id"), F.max("id").alias("most")).where("id = most").groupBy("id").agg(F.count("*").alias("u"))
+    lacks = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") / F.lit(100))
+    alive = groups.select(F.col("node").alias("id"), F.col("least").alias("doc"), "n").join(alone, "id", "left")
+    alive = materialize(alive.where(F.coalesce("u", F.lit(0)) <= lacks).select("id", "doc", "n"), "alive")
     # The texts of the nodes that are left, one text for each.
-    alive = groups.select(F.col("node").alias("id"), F.col("least").alias("doc"), "n").join(alive, "id")
-    again = given.where("id is not null").select(F.col("id").cast("long").alias("doc"), "text").join(materialize(alive, "alive"), "doc")
-    again = again.select("id", "n", "text").mapInArrow(_elements(k), "e long, id long, n long")
-    elements = materialize(again, "elements")
-    counted = elements.join(_shared_only(elements, "elements"), "e")
-    sets = counted.groupBy("id", "n").agg(F.array_sort(F.collect_set(F.struct("df", "e"))).alias("es"))
-    sets = sets.where(F.lit(100) * F.size("es") >= F.lit(threshold) * F.col("n")).mapInArrow(_pack, "id long, n long, es binary")
-    edges = _edges_of_distinct(materialize(sets, "sets"), threshold)
+    again = given.where("id is not null").select(F.col("id").cast("long").alias("doc"), "text").join(alive, "doc")
+    whole = materialize(again.select("id", "n", "text").mapInArrow(_whole(k), "id long, n long, head binary"), "whole")
+    elements = whole.mapInArrow(_explode_ids, "e long, id long, n long")
+    shared = _shared_only(elements, "shared")
+    counted = elements.join(shared, "e").repartition("id").sortWithinPartitions("id", "df", "e")
+    sets = materialize(counted.select("id", "n", "e").mapInArrow(_pack(threshold), "id long, n long, es binary"), "sets")
+    discard(whole, shared, alive)
+    edges = _edges_of_distinct(sets, threshold)
+    discard(sets)
 
     # Rows of one id with different sets are one document.
     several = named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("id", "a")
