@@ -1,15 +1,55 @@
-"""The training-corpus pipeline: five stages over ``documents``."""
+"""The training-corpus pipeline: five stages over ``documents``, each on what the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lexmill.llm import decontamination, jaccard, language_id, mixing
+from lexmill.llm.common import materialize
+from lexmill.llm.queries import token_digest
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or unlike every learned language go."""
+    return language_id.accepted(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by five-word shingles (Jaccard 0.8 or more) the least id stays."""
+    return jaccard.one_of_each(docs, k=5, threshold=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes, a row for each pass over a document."""
+    return mixing.mixed_documents(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token store of what is left, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_digest(docs)
+
+
+STAGES = [
+    ("language identification", identify_language),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("source mixing", mix_sources),
+    ("token output", write_tokens),
+]
+
+#: SQL can express neither the language models nor the draws of the mix.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, "stage")
     return docs

@@ -310,3 +310,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85, id_col:
     out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(nodes, "node", "left")
     label = F.when(F.col("id").isNotNull(), F.coalesce("label", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), label.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 4, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are the least of their component, with their columns; of rows with one id one, the least.
+
+    Rows with a null id stay.
+    """
+    found = jaccard_components(docs, k, threshold, id_col, text_col).where("doc_id is not null")
+    ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component")), "ids")
+    out = docs.join(ids.where("n > 1 or component <> doc_id").select(F.col("doc_id").alias("_gone")), F.col(id_col) == F.col("_gone"), "left_anti")
+    several = docs.join(ids.where("n > 1 and component = doc_id").select(F.col("doc_id").alias("_kept")), F.col(id_col) == F.col("_kept"), "left_semi")
+    return out.unionByName(several.groupBy(id_col).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))

@@ -2,21 +2,77 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from .jaccard import jaccard_components
+from . import decontamination, embedding_dedup, html_extract, jaccard, language_id, line_dedup, mixing, pseudonyms, quality, token_store
+from .common import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    """The file of the byte-level BPE vocabulary that the queries use."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate_lines(_table(spark, sf_dir, "documents"))
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(_table(spark, sf_dir, "documents"))
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(_table(spark, sf_dir, "documents"))
+
+
+def token_digest(docs: DataFrame) -> DataFrame:
+    """Write documents to a token store in the shared folder and read it back."""
+    spark = docs.sparkSession
+    to = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_store.write_tokens(docs, to, tokenizer_file())
+    return token_store.digest(token_store.read_tokens(spark, to))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"), k=4, threshold=85)
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=4, threshold=85)
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_ngram_jaccard,)}
+    found = (op1_html_extraction, op2_source_mixing, op3_quality_classifier, op4_line_dedup, op5_pseudonyms, op6_token_output, op7_language_id, op8_ngram_jaccard, op9_embedding_dedup, op10_decontamination)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
