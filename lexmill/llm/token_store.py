@@ -185,6 +185,11 @@ def train_dictionary(docs: DataFrame, path: str, samples: int = 1000, sample_cha
         return b"".join(found)[:size]
 
 
+def pack(entries: list[tuple[int, int, int]], frames: list[bytes], mark: int, width: int) -> bytes:
+    """A segment of (doc_id, n_tokens, end of frame) entries and their frames."""
+    return _HEAD.pack(MAGIC, mark, len(entries), width) + np.array(entries, _ENTRY).tobytes() + b"".join(frames)
+
+
 def _writer(path: str, dictionary: bytes, segment_bytes: int, level: int):
     width = id_width(path)
     mark = xxhash.xxh64_intdigest(dictionary)
@@ -197,9 +202,7 @@ def _writer(path: str, dictionary: bytes, segment_bytes: int, level: int):
         entries, frames, at, total = [], [], 0, 0
 
         def segment():
-            index = np.array(entries, _ENTRY)
-            body = _HEAD.pack(MAGIC, mark, len(entries), width) + index.tobytes() + b"".join(frames)
-            row = [[part], [seq], [entries[0][0]], [entries[-1][0]], [len(entries)], [total], [body]]
+            row = [[part], [seq], [entries[0][0]], [entries[-1][0]], [len(entries)], [total], [pack(entries, frames, mark, width)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "seq", "first_id", "last_id", "docs", "tokens", "segment"])
 
