@@ -12,9 +12,9 @@ A document is the set of its distinct k-word shingles; two documents link when
    size that a partner of each admissible size must share; equal subsets are links without
    further check.
 4. *Heavy* sets, and light ones near enough in size to have a heavy partner, scan inverted
-   lists over a rarest-first prefix. Lists are never expanded into all pairs: in each round every
-   list compares its members with one pivot, which then leaves the list; links found are merged
-   into components, and only pairs in different components are compared at the end.
+   lists over a rarest-first prefix. In each round every list compares its members with a few
+   pivots, which then leave the list; links found are merged into components, and only pairs in
+   different components that place and parity filters let through are compared at the end.
 5. Components are labelled by their least document id.
 """
 
@@ -33,8 +33,9 @@ from .hashing import mix, shingle_sets, slices
 
 #: Light sets are at most this large whatever the cost estimate says.
 LIGHT_MOST = 40
-#: Pivot rounds at most, before what is left is compared pair by pair.
-ROUNDS = 6
+#: Pivots of a list in each round, and rounds at most before what is left is compared pair by pair.
+PIVOTS = 3
+ROUNDS = 4
 
 
 def prefix_size(n, threshold: int):
@@ -150,18 +151,49 @@ def _subsets(boundary: int, threshold: int):
 
 
 def _heads(threshold: int):
-    """Rarest-first prefixes as rows; elements in one set only come first and are in no list."""
+    """Rarest-first prefixes as rows (e, place, id, n, s, bits); elements in one set only come first and are in no list.
+
+    ``place`` is the element's place in the whole order, ``s`` the number of elements that are in
+    other sets too, ``bits`` their parities by hash in four longs.
+    """
 
     def run(batches):
         for batch in batches:
-            n = batch.column("n").to_pylist()
-            packed = batch.column("es").to_pylist()
-            heads = [p[: 8 * max(0, prefix_size(m, threshold) - (m - len(p) // 8))] for m, p in zip(n, packed)]
-            yield from _explode_ids([pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(heads, pa.binary())], ["id", "n", "head"])])
+            out = ([], [], [], [], [])
+            bits: list[list[np.ndarray]] = [[], [], [], []]
+            for i, n, packed in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "es"))):
+                e = np.frombuffer(packed, np.int64)
+                alone = n - len(e)
+                size = min(len(e), max(0, prefix_size(n, threshold) - alone))
+                if not size:
+                    continue
+                parity = np.packbits((np.bincount((mix(e.view(np.uint64)) & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+                for x, v in zip(out, (e[:size], np.arange(alone, alone + size), np.full(size, i), np.full(size, n), np.full(size, len(e)))):
+                    x.append(v)
+                for x, v in zip(bits, parity):
+                    x.append(np.full(size, v))
+            cols = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (*out, *bits)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["e", "place", "id", "n", "s", "b0", "b1", "b2", "b3"])
 
     return run
 
 
+def _may_link(threshold: int):
+    """Whether a pair met in a list (columns ending in a and b) can reach the overlap its sizes need.
+
+    It cannot if what follows the common element in either order is too little, or if the parities differ
+    in so many places that the sets differ in more elements than allowed.
+    """
+    need = F.ceil(F.lit(threshold) * (F.col("na") + F.col("nb")) / F.lit(100 + threshold))
+    rest = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
+    differ = sum((F.bit_count(F.col(f"b{k}a").bitwiseXOR(F.col(f"b{k}b"))) for k in range(4)), F.lit(0))
+    return _size_filter("na", "nb", threshold) & (rest >= need) & (F.col("sa") + F.col("sb") - differ >= 2 * need)
+
+
+def _side(lists: DataFrame, side: str) -> DataFrame:
+    return lists.select("e", *[F.col(c).alias(c + side) for c in lists.columns if c != "e"])
+
+
 def _verify(threshold: int):
     def run(batches):
         for batch in batches:
@@ -233,37 +265,36 @@ def _edges_of_distinct(sets: DataFrame, threshold: int) -> DataFrame:
 
     # Both of a pair may be light only where subsets have been enumerated for it.
     reach = F.col("n") * 100 >= F.lit(threshold * (boundary + 1))
-    lists = sets.where(reach).mapInArrow(_heads(threshold), "e long, id long, n long")
-    lists = materialize(lists, "lists")
-    found = _shared_only(lists, "lists").drop("df")
-    every, lists = lists, materialize(lists.join(found, "e"), "lists")
-    discard(every)
+    columns = "e long, place long, id long, n long, s long, b0 long, b1 long, b2 long, b3 long"
+    lists = materialize(sets.where(reach).mapInArrow(_heads(threshold), columns), "lists")
     heavy = F.greatest("na", "nb") > F.lit(boundary)
     for turn in range(ROUNDS):
         parts = connected_components(edges) if boundary or turn else edges.toDF("id", "component")
-        now = materialize(lists.join(parts, "id", "left").select("e", "id", "n", F.coalesce("component", "id").alias("part")), "lists")
+        now = lists.join(parts, "id", "left").select(*lists.columns, F.coalesce("component", "id").alias("part"))
+        was, now = lists, materialize(now, "lists")
         # Pairs still open in a list: all, less those within one component.
         each = now.groupBy("e", "part").agg(F.count("*").cast("double").alias("c")).groupBy("e").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
         each = materialize(each.where("m * m > q"), "lists")
-        was, now = now, materialize(now.join(each.select("e"), "e"), "lists")
-        discard(was, lists)
         todo = each.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0)).alias("p"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("m")).first()
+        discard(was)
         if not todo["p"]:
             return edges
-        if todo["p"] <= 2 * todo["m"] or turn == ROUNDS - 1:
+        every, now = now, materialize(now.join(each.select("e"), "e"), "lists")
+        discard(every, each)
+        if todo["p"] <= 4 * todo["m"] or turn == ROUNDS - 1:
             break
-        order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("partb"))
-        pivot = materialize(now.groupBy("e").agg(F.min(order).alias("p")).select("e", "p.b", "p.nb", "p.partb"), "pivots")
-        met = now.join(pivot, "e")
-        pairs = met.where("part <> partb").where(_size_filter("n", "nb", threshold)).withColumnRenamed("n", "na").where(heavy)
-        pairs = materialize(pairs.select(F.col("id").alias("a"), "b").distinct(), "pairs")
+        order = lambda k: F.min(F.struct(F.xxhash64("id", F.lit(PIVOTS * turn + k)).alias("h"), *[c for c in now.columns if c != "e"]))  # noqa: B023, E731
+        pivots = now.groupBy("e").agg(F.array_distinct(F.array(*[order(k) for k in range(PIVOTS)])).alias("p"))
+        pivots = materialize(pivots.select("e", F.explode("p").alias("p")).select("e", *[F.col(f"p.{c}").alias(c) for c in now.columns if c != "e"]), "pivots")
+        met = _side(now, "a").join(_side(pivots, "b"), "e").where("parta <> partb").where(_may_link(threshold) & heavy)
+        pairs = materialize(met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs")
         edges = materialize(edges.unionByName(_linked(pairs, sets, threshold)).distinct(), "edges")
-        lists = materialize(met.where("id <> b").select("e", "id", "n"), "lists")
-        discard(now, pivot, each, pairs)
-    left = now.select("e", F.col("id").alias("a"), F.col("n").alias("na"), F.col("part").alias("parta"))
-    right = now.select("e", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("partb"))
-    pairs = left.join(right, "e").where("a < b and parta <> partb").where(_size_filter("na", "nb", threshold)).where(heavy)
-    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
+        # A pivot has met all members of its list.
+        gone = pivots.select("e", "id", F.lit(True).alias("gone"))
+        lists = materialize(now.drop("part").join(gone, ["e", "id"], "left").where("gone is null").drop("gone"), "lists")
+        discard(now, pivots, pairs)
+    met = _side(now, "a").join(_side(now, "b"), "e").where("ida < idb and parta <> partb").where(_may_link(threshold) & heavy)
+    pairs = materialize(met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs")
     return materialize(edges.unionByName(_linked(pairs, sets, threshold)).distinct(), "edges")
 
 
@@ -299,17 +330,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85, id_col:
     edges = _edges_of_distinct(sets, threshold)
     discard(sets)
 
-    # Rows of one id with different sets are one document.
-    several = named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("id", "a")
-    several = named.select("id", F.col("node").alias("b")).join(materialize(several, "several"), "id").select("a", "b").where("a <> b")
-    parts = materialize(connected_components(edges.unionByName(several)), "parts")
-    nodes = groups.select(F.col("node").alias("id"), "least").join(parts, "id", "left").select("id", "least", F.coalesce("component", "id").alias("component"))
-    nodes = materialize(nodes, "nodes")
-    label = materialize(nodes.groupBy("component").agg(F.min("least").alias("label")), "labels")
-    nodes = materialize(nodes.join(label, "component").select(F.col("id").alias("node"), "label"), "nodes")
-    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(nodes, "node", "left")
-    label = F.when(F.col("id").isNotNull(), F.coalesce("label", "id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), label.alias("component_id"))
+    # From here on a set goes by its least document. Rows of one id with different sets are one document.
+    least = groups.select("node", "least")
+    edges = edges.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    several = named.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("id")
+    several = named.select("id", "node").join(several, "id").join(least, "node").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    parts = connected_components(edges.unionByName(several)).withColumnRenamed("id", "least")
+    label = least.join(parts, "least", "left").select("node", F.coalesce("component", "least").alias("label"))
+    label = materialize(label, "labels")
+    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(label, "node", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("label", "id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 4, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
