@@ -1,4 +1,489 @@
-"""All registered queries of the retrieval jobs and their DuckDB equivalents."""
+"""All registered queries of the retrieval jobs; their DuckDB equivalents are in ``oracle``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import params
+from ..functions import questions as Q
+from ..functions import text as X
+from ..operators import chunks as K
+from ..operators import dense as D
+from ..operators import evaluation as E
+from ..operators import grounding as G
+from ..operators import lexical as L
+from ..operators import pages as P
+from ..operators import quality as A
+from ..operators import retrieval as R
+from ..operators import segments as S
+from ..sources import io
+from ..streaming.rate_limit import rate_limit as limit_rows
+from .oracle import ORACLE  # noqa: F401
+from .overlay import VIEWS
+from .stages import stage
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view of ``overlay`` over the tables of a folder."""
+    source = "conversations" if name in ("questions_view", "answers_view") else "documents"
+    return spark.sql(VIEWS[name].replace(f"from {source}", "from {src}"), src=table(spark, sf_dir, source))
+
+
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks in the chunk schema's columns."""
+    c = view(spark, sf_dir, "chunks_view")
+    none = F.array().cast("array<string>")
+    c = c.withColumns({"article_numbers": F.when(F.col("article").isNotNull(), F.array("article")).otherwise(none), "mentions": X.mentions(F.col("text")), "chapter": F.lit(None).cast("string"), "printed_page": F.lit(None).cast("int")})
+    return c.withColumn("search_text", F.concat(K.context_line(), F.lit("\n"), F.col("text")))
+
+
+def benchmark_questions(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+def documents_as_chunks(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def joined(c, sep=" "):
+    return F.array_join(c, sep)
+
+
+# --- pages -------------------------------------------------------------------------------------
+
+
+@query
+def line_keys(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    return lines.select("doc_id", "n", X.line_key(F.col("line")).alias("key"))
+
+
+@query
+def repeating_lines(spark, sf_dir):
+    return P.repeating_lines(view(spark, sf_dir, "pages_view"), 0.1)
+
+
+@query
+def clean_pages(spark, sf_dir):
+    return P.clean_pages(view(spark, sf_dir, "pages_view"), 0.1)
+
+
+@query
+def page_filter(spark, sf_dir):
+    return P.page_filter(P.clean_pages(view(spark, sf_dir, "pages_view"), 0.1)).select("book_file", "pdf_page", "useful", "devanagari", "kept")
+
+
+@query
+def book_preview(spark, sf_dir):
+    return P.preview(view(spark, sf_dir, "pages_view"))
+
+
+@query
+def book_registry(spark, sf_dir):
+    """Included books with pages, and those without any."""
+    books = view(spark, sf_dir, "books_view")
+    pages = view(spark, sf_dir, "pages_view").where("book_file <> 'src3'")
+    have, lack = io.included_books(books, pages)
+    return have.select("file", "title", F.lit("ok").alias("status")).unionByName(lack.select("file", "title", F.lit("missing").alias("status")))
+
+
+# --- segments and chunks -------------------------------------------------------------------------
+
+
+@query
+def toc_pages(spark, sf_dir):
+    pages = view(spark, sf_dir, "pages_view")
+    return pages.select("book_file", "pdf_page", S.is_toc_page(F.col("text")).alias("toc"))
+
+
+@query
+def line_markers(spark, sf_dir):
+    """Events of all books by kind: parts, pending titles, chapters, schedules, articles, contents."""
+    pages = P.page_filter(P.clean_pages(view(spark, sf_dir, "pages_view"), 0.1)).where("kept")
+    return S.mark_lines(pages, view(spark, sf_dir, "books_view")).groupBy("book_file", "kind").agg(F.count("*").alias("n"))
+
+
+@query
+def segments(spark, sf_dir):
+    pages = P.page_filter(P.clean_pages(view(spark, sf_dir, "pages_view"), 0.1)).where("kept")
+    return S.segment(pages, view(spark, sf_dir, "books_view"))
+
+
+@query
+def chunk_pieces(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(K.pieces(F.col("text"))).alias("n", "piece"))
+
+
+@query
+def chunk_pack(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("text").alias("section_type"))
+    return K.split_segments(docs)
+
+
+@query
+def chunk_dedupe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.lit("all").alias("book_file"), "doc_id", "text")
+    return K.drop_repeats(docs, ["doc_id"]).select("doc_id")
+
+
+@query
+def chunk_ids(spark, sf_dir):
+    c = view(spark, sf_dir, "chunks_view").select("book_file", F.col("id").alias("old"))
+    return K.number_chunks(c, view(spark, sf_dir, "books_view"), ["old"]).select("old", "id")
+
+
+@query
+def article_mentions(spark, sf_dir):
+    return view(spark, sf_dir, "chunks_view").select("id", joined(X.mentions(F.col("text")), ",").alias("mentions"))
+
+
+@query
+def search_text(spark, sf_dir):
+    return chunk_table(spark, sf_dir).select("id", "search_text")
+
+
+@query
+def chunk_build(spark, sf_dir):
+    out = K.build_chunks(view(spark, sf_dir, "pages_view"), view(spark, sf_dir, "books_view"), 0.1)
+    return out.withColumns({"article_numbers": joined(F.col("article_numbers"), ","), "mentions": joined(F.col("mentions"), ",")})
+
+
+@query
+def book_stats(spark, sf_dir):
+    pages = view(spark, sf_dir, "pages_view")
+    filtered = P.page_filter(P.clean_pages(pages, 0.1))
+    return A.book_stats(filtered, view(spark, sf_dir, "chunks_view").where("book_file <> 'src2'"))
+
+
+@query
+def quality_report(spark, sf_dir):
+    return A.quality_report(chunk_table(spark, sf_dir))
+
+
+@query
+def junk_chunks(spark, sf_dir):
+    return chunk_table(spark, sf_dir).where(A.is_junk()).select("id")
+
+
+@query
+def chunk_sample(spark, sf_dir):
+    return A.sample_chunks(chunk_table(spark, sf_dir)).select("id")
+
+
+@query
+def article_index(spark, sf_dir):
+    return A.article_index(chunk_table(spark, sf_dir)).select("article", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@query
+def key_check(spark, sf_dir):
+    return A.key_check(chunk_table(spark, sf_dir))
+
+
+@query
+def manifest(spark, sf_dir):
+    c = chunk_table(spark, sf_dir)
+    stats = c.groupBy("book_file").agg(F.countDistinct("pdf_page").alias("pages"), F.lit(0).alias("pages_dropped"), F.count("*").alias("chunks"))
+    m = io.manifest(c, stats, "model", 64)
+    return m.select("count", "articles_indexed", "embedding_model", "dim", F.size("books").alias("n_books"), F.aggregate("books", F.lit(0).cast("long"), lambda a, b: a + b["chunks"]).alias("book_chunks"))
+
+
+# --- lexical -------------------------------------------------------------------------------------
+
+
+@query
+def tokenise(spark, sf_dir):
+    toks = X.tokens(F.col("text"), True)
+    return table(spark, sf_dir, "documents").select("doc_id", joined(toks).alias("tokens"), F.size(toks).alias("n_tokens"))
+
+
+@query
+def bm25_index(spark, sf_dir):
+    return L.postings_counted(documents_as_chunks(spark, sf_dir))
+
+
+@query
+def bm25_idf(spark, sf_dir):
+    docs = documents_as_chunks(spark, sf_dir)
+    df = L.document_frequency(L.postings_counted(docs))
+    return df.crossJoin(F.broadcast(L.corpus_stats(docs))).select("term", "df", F.round(L.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+@query
+def bm25_topk(spark, sf_dir):
+    docs = documents_as_chunks(spark, sf_dir)
+    found = L.search(benchmark_questions(spark, sf_dir), L.postings_counted(docs), L.corpus_stats(docs))
+    return found.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def bm25_ideal(spark, sf_dir):
+    docs = documents_as_chunks(spark, sf_dir)
+    found = L.ideal_score(benchmark_questions(spark, sf_dir), L.postings_counted(docs), L.corpus_stats(docs))
+    return found.select("query_id", F.round("ideal", 6).alias("ideal"))
+
+
+@query
+def query_coverage(spark, sf_dir):
+    """Coverage of each turn's text by the turn before it in the conversation."""
+    t = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return t.where("before is not null").select("conv_id", "turn", F.round(X.coverage(X.tokens(F.col("text")), X.tokens(F.col("before"))), 6).alias("coverage"))
+
+
+@query
+def token_jaccard(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return t.where("before is not null").select("conv_id", "turn", F.round(X.jaccard(X.tokens(F.col("text")), X.tokens(F.col("before"))), 6).alias("jaccard"))
+
+
+# --- dense ---------------------------------------------------------------------------------------
+
+
+@query
+def l2_normalise(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", D.l2_normalised(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("v"))
+    return v.select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", "i", F.round("x", 5).alias("x"))
+
+
+@query
+def mean_pool(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("id"), F.col("embedding").alias("vector"))
+    return D.mean_pool(rows, 64).select("id", F.posexplode("vector").alias("i", "x")).select("id", "i", F.round("x", 6).alias("x"))
+
+
+@query
+def dense_topk(spark, sf_dir):
+    """The best 30 vectors for every twentieth one."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = D.dense_topk(queries, e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")))
+    return found.select("query_id", F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query
+def attach_vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return D.attach_vectors(c, e, 64).select("id", "mode", F.col("vector").isNotNull().alias("has_vector"))
+
+
+# --- questions -----------------------------------------------------------------------------------
+
+
+@query
+def sanitise_questions(spark, sf_dir):
+    return view(spark, sf_dir, "questions_view").select("query_id", Q.sanitise(F.col("question")).alias("question"))
+
+
+@query
+def extract_articles(spark, sf_dir):
+    return view(spark, sf_dir, "questions_view").select("query_id", joined(Q.extract_articles(F.col("question")), ",").alias("articles"))
+
+
+@query
+def expand_questions(spark, sf_dir):
+    expanded, hints = Q.expand(F.col("question"))
+    return view(spark, sf_dir, "questions_view").select("query_id", expanded.alias("expanded"), joined(hints, ",").alias("hints"))
+
+
+@query
+def question_intent(spark, sf_dir):
+    return view(spark, sf_dir, "questions_view").select("query_id", Q.intent(F.col("question")).alias("intent"), Q.is_pure_article(F.col("question")).alias("pure"))
+
+
+@query
+def article_keys(spark, sf_dir):
+    return view(spark, sf_dir, "chunks_view").where("article is not null").select("id", Q.article_key(F.concat(F.lit(" "), F.lower("article"), F.lit(" "))).alias("key"))
+
+
+@query
+def follow_up(spark, sf_dir):
+    """Every user turn, rewritten in the light of the turns before it."""
+    q = view(spark, sf_dir, "questions_view").select("conv_id", "turn", "question")
+    t = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").join(q, ["conv_id", "turn"], "left")
+    content = F.coalesce("question", F.col("text"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-6, -1)
+    t = t.withColumn("history", F.collect_list(F.struct("role", content.alias("content"))).over(before))
+    return t.where("role = 'user'").select("conv_id", "turn", Q.follow_up(content, F.col("history")).alias("question"))
+
+
+@query
+def validate_requests(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    history = F.array(F.struct("role", F.col("text").alias("content")), F.struct(F.lit("user").alias("role"), F.lit(None).cast("string").alias("content")))
+    rows = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.when(F.col("turn") % 5 == 4, F.lit("  ")).otherwise(F.col("text")).alias("question"), history.alias("history"))
+    got = io.validate_requests(rows)
+    return got.select("query_id", F.length("question").alias("n_chars"), F.size("history").alias("n_turns"), "reason")
+
+
+# --- retrieval -----------------------------------------------------------------------------------
+
+
+def _asked(spark, sf_dir):
+    q = view(spark, sf_dir, "questions_view").select("query_id", Q.sanitise(F.col("question")).alias("question"))
+    return R.understand(q)
+
+
+@query
+def article_lookup(spark, sf_dir):
+    """Chunks of the articles that questions name."""
+    rows = _asked(spark, sf_dir).select("query_id", F.explode("articles").alias("article"))
+    return R.lookup(rows, A.article_postings(chunk_table(spark, sf_dir))).select("query_id", "article", "chunk_id", "pos")
+
+
+@query
+def pinned_chunks(spark, sf_dir):
+    return R.pinned(_asked(spark, sf_dir), A.article_postings(chunk_table(spark, sf_dir)))
+
+
+@query
+def hint_chunks(spark, sf_dir):
+    return R.hinted(_asked(spark, sf_dir), A.article_postings(chunk_table(spark, sf_dir)))
+
+
+def _ranked_lists(spark, sf_dir):
+    """A lexical and a vector-like list for each benchmark item, ranked by rounded scores."""
+    docs = documents_as_chunks(spark, sf_dir)
+    lex = stage(L.search(benchmark_questions(spark, sf_dir), L.postings_counted(docs), L.corpus_stats(docs)))
+    other = lex.select("query_id", ((F.col("chunk_id") * 7 + 3) % 1000).alias("chunk_id"), F.col("rank")).where("rank < 20").dropDuplicates(["query_id", "chunk_id"])
+    return lex.select("query_id", "chunk_id", "rank"), other
+
+
+@query
+def rank_fusion(spark, sf_dir):
+    lex, other = _ranked_lists(spark, sf_dir)
+    return R.fuse([lex, other]).select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"), "first_list", "first_rank")
+
+
+@query
+def rerank_questions(spark, sf_dir):
+    lex, other = _ranked_lists(spark, sf_dir)
+    asked = benchmark_questions(spark, sf_dir).withColumn("expanded", F.col("question"))
+    docs = documents_as_chunks(spark, sf_dir).withColumn("search_text", F.col("text"))
+    return R.rerank(R.fuse([lex, other]), asked, docs).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
+def _retrieved(spark, sf_dir):
+    q = view(spark, sf_dir, "questions_view").select("query_id", Q.sanitise(F.col("question")).alias("question"))
+    c = stage(chunk_table(spark, sf_dir))
+    planned, selected = R.retrieve(q, c)
+    return planned.withColumn("kind", R.plan_kind()), selected, c
+
+
+@query
+def diverse_selection(spark, sf_dir):
+    _, selected, _ = _retrieved(spark, sf_dir)
+    return selected.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "pinned", "n")
+
+
+@query
+def question_plans(spark, sf_dir):
+    planned, _, _ = _retrieved(spark, sf_dir)
+    return planned.withColumn("articles", joined(F.col("articles"), ","))
+
+
+@query
+def source_citations(spark, sf_dir):
+    planned, selected, c = _retrieved(spark, sf_dir)
+    return R.sources(planned, selected, c)
+
+
+@query
+def context_blocks(spark, sf_dir):
+    """Passages of a fixed selection: the first three chunks of each article."""
+    c = chunk_table(spark, sf_dir)
+    post = A.article_postings(c).where("pos < 3")
+    sel = post.select(F.regexp_replace("article", "[^0-9]", "").cast("long").alias("query_id"), "chunk_id")
+    sel = sel.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")).alias("n"))
+    return R.context_blocks(sel, c)
+
+
+@query
+def prompt_messages(spark, sf_dir):
+    planned, selected, c = _retrieved(spark, sf_dir)
+    m = R.prompts(planned, R.context_blocks(selected, c), "Answer from the context only.", "Quote the article.")
+    return m.select("query_id", F.size("messages").alias("n_messages"), F.element_at("messages", -1)["content"].alias("content"))
+
+
+@query
+def answer_log(spark, sf_dir):
+    planned, selected, _ = _retrieved(spark, sf_dir)
+    out = io.answer_log(planned, selected)
+    return out.withColumns({"articles": joined(F.col("articles"), ","), "chunks": F.array_join(F.transform("chunks", lambda i: i.cast("string")), ",")})
+
+
+@query
+def evaluation(spark, sf_dir):
+    """Outcomes of the questions: those that name an article expect it, injections and greetings expect refusal."""
+    planned, selected, c = _retrieved(spark, sf_dir)
+    expected = planned.select("query_id", "articles", F.split("question", " ").alias("keywords"), F.col("intent").isin("injection", "greeting", "offtopic").alias("refuse"))
+    return E.metrics(E.outcomes(expected, planned, G.context_of(selected, c)))
+
+
+# --- grounding -----------------------------------------------------------------------------------
+
+
+@query
+def citation_check(spark, sf_dir):
+    text, invalid = G.citations(F.col("answer"), F.col("n_sources"))
+    return view(spark, sf_dir, "answers_view").select("query_id", text.alias("text"), F.array_join(F.transform(invalid, lambda i: i.cast("string")), ",").alias("invalid"))
+
+
+@query
+def answer_quotes(spark, sf_dir):
+    return view(spark, sf_dir, "answers_view").select("query_id", joined(G.quotes(F.col("answer")), "|").alias("quotes"))
+
+
+@query
+def quote_support(spark, sf_dir):
+    a = view(spark, sf_dir, "answers_view").select("query_id", "context", F.posexplode(G.quotes(F.col("answer"))).alias("n", "quote"))
+    return a.select("query_id", "n", F.round(X.quote_support(F.col("quote"), F.col("context")), 6).alias("support"))
+
+
+def _reports(spark, sf_dir):
+    a = view(spark, sf_dir, "answers_view")
+    known = F.array(F.lit("3"), (F.col("conv_id") % 12).cast("string"))
+    return G.check_grounding(a.select("query_id", "answer"), a.select("query_id", "n_sources", "context", known.alias("known")))
+
+
+@query
+def grounding(spark, sf_dir):
+    r = _reports(spark, sf_dir)
+    return r.select("query_id", "verified", F.size("unverified_quotes").alias("n_unverified"), joined(F.col("unknown_articles"), ",").alias("unknown"), F.size("invalid_citations").alias("n_invalid"))
+
+
+@query
+def regeneration(spark, sf_dir):
+    first = _reports(spark, sf_dir)
+    second = first.where("query_id % 2 = 0").select("query_id", F.lit("second").alias("text"), (F.col("query_id") % 3 == 0).alias("verified"))
+    return G.choose_regenerated(first, second).select("query_id", "verified", "regenerated")
+
+
+@query
+def flag_rate(spark, sf_dir):
+    """Share of unverified reports among all answers."""
+    r = _reports(spark, sf_dir)
+    return r.agg(F.count("*").alias("answers"), F.round(100 * F.count_if(~F.col("verified")) / F.greatest(F.lit(1), F.count("*")), 1).alias("flag_rate"))
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+
+@query
+def rate_limit(spark, sf_dir):
+    """Events of each user under a limit of four a day."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_id").cast("long").alias("id"))
+    return limit_rows(e, 4, 24 * 3600 * 1000).select("id", "allowed")
