@@ -60,7 +60,7 @@ HDR, HP, LONE = _re(params.HEADER), _re(params.HEADER_PART), _re(params.LONE_NUM
 CLEAN = f"""{REPEATING}, ln as (select book_file, pdf_page, unnest(lines) as s, generate_subscripts(lines, 1) - 1 as i, len(lines) as n from pl),
  lt as (select ln.*, regexp_matches(s, {HDR}) and length(s) < 140 as hdr, r.key is not null and length(s) < 140 and s <> '' as rpt, regexp_matches(s, {LONE}) and (i < 3 or i >= n - 3) as num from ln left join rep r on r.book_file = ln.book_file and r.key = {line_key('s')}),
  cp as (select book_file, pdf_page,
-  arg_min(nullif(cast(regexp_extract(s, {LONE}, 1) as int), 0), i) filter (where not hdr and not rpt and num and cast(regexp_extract(s, {LONE}, 1) as int) <> 0) as printed_page,
+  arg_min(try_cast(regexp_extract(s, {LONE}, 1) as int), i) filter (where not hdr and not rpt and num and try_cast(regexp_extract(s, {LONE}, 1) as int) <> 0) as printed_page,
   arg_max(concat('Part ', upper(regexp_extract(s, {HP}, 1)), case when trim(regexp_extract(s, {HP}, 2)) <> '' then concat(' — ', regexp_replace(regexp_extract(s, {HP}, 2), '^[ .—-]+|[ .—-]+$', '', 'g')) else '' end), i) filter (where hdr and regexp_matches(s, {HP})) as header_part,
   coalesce(string_agg(s, chr(10) order by i) filter (where not hdr and not rpt and not num), '') as t from lt group by all),
  clean as (select book_file, pdf_page, printed_page, header_part, {strip(NORMAL)} as text from cp),
