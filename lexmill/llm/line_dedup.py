@@ -20,30 +20,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, pick
-from .hashing import mix, slices, span_hashes, word_spans
+from .hashing import mix, slices, span_hashes
 
 MIN_WORDS = 5
 
 
-def _line_words(line: str) -> bytes:
-    return b" ".join(line.lower().encode("utf-8", "surrogatepass").split())
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _lines_of(texts: list[str | None]):
-    """(text number, line number, word hashes) of every line with a word."""
-    where, joined = [], []
-    for t, text in enumerate(texts):
-        for k, line in enumerate(text.split("\n") if text else ()):
-            w = _line_words(line)
-            if w:
-                where.append((t, k))
-                joined.append(w)
-    if not joined:
-        return
-    buffer, starts, ends, first = word_spans(joined)
-    h = span_hashes(buffer, starts, ends)
-    for (t, k), a, b in zip(where, first[:-1], first[1:]):
-        yield t, k, h[a:b]
+def _lines_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line, first, word hashes): of line k that has a word, its text and number there, and the place of its first word."""
+    raw = [(t or "").lower().encode("utf-8", "surrogatepass") + b"\n" for t in texts]
+    buffer = np.frombuffer(b"".join(raw) or b"\n", np.uint8)
+    word = ~_BLANK[buffer]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if word[0]:
+        edge = np.concatenate([[0], edge])
+    starts, ends = edge[::2], edge[1::2]
+    feeds = np.flatnonzero(buffer == 10)
+    line = np.searchsorted(feeds, starts)
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.empty(0, np.int64)
+    line = line[first]
+    begin = np.cumsum([0] + [len(r) for r in raw])
+    text = np.searchsorted(begin, starts[first], "right") - 1
+    h = span_hashes(buffer, starts, ends) if len(starts) else np.empty(0, np.uint64)
+    return text, line - np.searchsorted(feeds, begin[text]), np.append(first, len(starts)), h
 
 
 _PLACE = [mix(np.arange(1, 4097, dtype=np.uint64))]
@@ -55,11 +57,6 @@ def _places(n: int) -> np.ndarray:
     return _PLACE[0][:n]
 
 
-def _sequence(h: np.ndarray) -> int:
-    """Hash of a sequence of word hashes."""
-    return int(mix(h ^ _places(len(h))).sum(dtype=np.uint64).astype(np.int64))
-
-
 def _variants(h: np.ndarray) -> np.ndarray:
     """Hashes of the sequence without each of its words, by place."""
     n = len(h)
@@ -69,25 +66,47 @@ def _variants(h: np.ndarray) -> np.ndarray:
     return (before + after).view(np.int64)
 
 
-def _halves(h: np.ndarray) -> list[int]:
-    """Hashes of the first and last words of a line, half as many as it or a line one word shorter has."""
-    n, out = len(h), []
-    for half in {n // 2, (n - 1) // 2}:
-        out += [_sequence(h[:half]), ~_sequence(h[n - half :])]
-    return out
+def _sums(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
+    return (total[b] - total[a]).view(np.int64)
+
+
+def _line_hashes(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each line, halves, line of each half) at once.
+
+    Halves are the hashes of the first and last words of a line, half as many as it or a line one word
+    shorter has; last words are told from first ones by the complement.
+    """
+    a, b = first[:-1], first[1:]
+    n = b - a
+    at = np.arange(len(h)) - np.repeat(a, n)
+    width = np.repeat(n, n)
+    places = _places(int(n.max(initial=0)) + 1)
+    lead = mix(h ^ places[at])
+    halves, owner = [], []
+    long = np.flatnonzero(n >= MIN_WORDS)
+    for less in (0, 1):
+        use = long if not less else long[n[long] % 2 == 0]
+        half = (n - less) // 2
+        tail = at - (width - np.repeat(half, n))
+        last = mix(h ^ places[np.maximum(tail, 0)])
+        last[tail < 0] = 0
+        halves += [_sums(lead, a[use], a[use] + half[use]), ~_sums(last, a[use], b[use])]
+        owner += [use, use]
+    return _sums(lead, a, b), np.concatenate(halves), np.concatenate(owner)
 
 
 def _lines(batches):
     """A row (doc, row hash, line number, line hash, halves) for each line with a word."""
     for batch in batches:
-        docs, rows, texts = (batch.column(c).to_pylist() for c in ("id", "row", "text"))
+        texts = batch.column("text").to_pylist()
         for a, b in slices([len(t) if t else 0 for t in texts]):
-            out = ([], [], [], [], [])
-            for t, k, h in _lines_of(texts[a:b]):
-                for x, v in zip(out, (docs[a + t], rows[a + t], k, _sequence(h), _halves(h) if len(h) >= MIN_WORDS else [])):
-                    x.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["id", "row", "line", "h", "halves"])
+            text, line, first, h = _lines_of(texts[a:b])
+            whole, halves, owner = _line_hashes(first, h)
+            order = np.argsort(owner, kind="stable")
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[order], np.arange(len(whole) + 1)).astype(np.int32)), pa.array(halves[order]))
+            take = pa.array(text + a)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("row").take(take), pa.array(line.astype(np.int32)), pa.array(whole), lists], ["id", "row", "line", "h", "halves"])
 
 
 def _deletions(batches):
@@ -97,9 +116,11 @@ def _deletions(batches):
         for a, b in slices([len(t) if t else 0 for t in texts], 200_000):
             out = ([], [], [], [])
             lines = [{x["line"]: x["h"] for x in w} for w in wanted[a:b]]
-            for t, k, h in _lines_of(texts[a:b]):
-                if lines[t].get(k) != _sequence(h):
+            text, line, first, words = _lines_of(texts[a:b])
+            for t, k, i, j in zip(text.tolist(), line.tolist(), first[:-1].tolist(), first[1:].tolist()):
+                if k not in lines[t]:
                     continue
+                h = words[i:j]
                 v = _variants(h).tolist()
                 out[0].extend([*v, lines[t][k]])
                 out[1].extend([*range(len(v)), -1])
@@ -149,14 +170,14 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     given = pick(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("row"))
     lines = materialize(given.mapInArrow(_lines, "id long, row long, line int, h long, halves array<long>"), "lines")
     place = F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), F.col("row").alias("row"), F.col("line").alias("line"))
-    first = materialize(lines.groupBy("h").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "first")
+    first = materialize(lines.groupBy("h").agg(F.min(place).alias("first")), "first")
 
-    halves = first.select("h", F.explode("halves").alias("half"))
+    halves = lines.select("h", F.explode("halves").alias("half"))
     shared = materialize(halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half"), "halves")
     able = materialize(halves.join(shared, "half").select("h").distinct(), "able")
     asked = first.join(able, "h").select("first.*", "h").groupBy("id", "row").agg(F.collect_list(F.struct("line", "h")).alias("lines"))
     asked = materialize(asked.toDF("doc", "text_hash", "lines"), "asked")
-    met = given.join(asked, (F.coalesce("id", F.lit(-(1 << 63))) == F.col("doc")) & (F.col("row") == F.col("text_hash")))
+    met = given.join(asked.hint("merge"), (F.coalesce("id", F.lit(-(1 << 63))) == F.col("doc")) & (F.col("row") == F.col("text_hash")))
     variants = materialize(met.select("text", "lines").mapInArrow(_deletions, "variant long, place int, h long, words binary"), "variants")
     order = materialize(first.select("h", "first").join(able, "h").withColumnRenamed("first", "rank"), "order")
     ranked = variants.drop("words").join(order, "h")
@@ -179,5 +200,5 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     gone = gone.select("here.id", "row", "line").groupBy("id", "row").agg(F.collect_set("line").alias("gone"))
     gone = materialize(gone.toDF("doc", "text_hash", "gone"), "gone")
     discard(lines, first, shared, able, asked, variants, order, ranked, by_place, by_variant, words, verdict)
-    out = given.join(gone, (F.coalesce("id", F.lit(-(1 << 63))) == F.col("doc")) & (F.col("row") == F.col("text_hash")), "left")
+    out = given.join(gone.hint("merge"), (F.coalesce("id", F.lit(-(1 << 63))) == F.col("doc")) & (F.col("row") == F.col("text_hash")), "left")
     return out.select("id", "text", "gone").mapInArrow(_without, "doc_id long, text string, n_lines long, n_dropped long")
