@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -52,15 +53,19 @@ def tokenizer(path: str):
     return _STATE[path]
 
 
-#: How a byte-level BPE tokenizer of this family splits a text; pieces are encoded one by one.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+class _Codes(dict):
+    """Numbers the keys asked for, in order of first use."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
 
 
 class _Known:
     """Id sequences of the strings met so far, one after the other in one array."""
 
     def __init__(self, kind: str):
-        self.kind, self.code = kind, {}
+        self.kind, self.code = kind, _Codes()
         self.flat, self.end = np.empty(1 << 20, kind), np.zeros(1, np.int64)
 
     def add(self, ids: np.ndarray, size: np.ndarray) -> None:
@@ -82,72 +87,82 @@ class _Known:
 
 
 class Encoder:
-    """Whole texts to ids with the end id, through the ids of their distinct words and pieces.
+    """Whole texts to ids with the end id, by way of their distinct words.
 
-    The tokenizer encodes every distinct piece once; words are put together from pieces and texts
-    from words (a space between two other characters always begins a piece). That is exact where
-    the tokenizer is byte-level BPE with the usual split and no normaliser, which is looked up in
-    its file; for any other, and for texts that hold the string of an added token, the tokenizer
-    encodes the whole text. At most ``most`` words and pieces are kept.
+    Where all white space of a text is single spaces and line feeds, each of them begins a piece that
+    the tokenizer encodes on its own. Such words are encoded once, new ones of many texts end to end in one call,
+    and texts are put together from them. That is exact for byte-level BPE with the usual split and no
+    normaliser, which is looked up in the tokenizer's file; with any other tokenizer, and for other texts and those
+    that hold the string of an added token, the whole text is encoded. At most about ``most`` words are kept.
     """
 
-    def __init__(self, path: str, width: int, most: int = 500_000):
+    def __init__(self, path: str, width: int, most: int = 400_000):
         import json
-        import re
 
         import regex
 
         self.tok, self.kind, self.most = tokenizer(path), f"<u{width}", most
         spec = json.loads(self.tok.to_str())
-        self.by_piece = spec.get("normalizer") is None and spec.get("pre_tokenizer", {}) == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.pieces = regex.compile(PIECES).findall
-        self.gaps = re.compile(r"^\s|\s\s|\s\Z").search
+        self.by_word = spec.get("normalizer") is None and spec.get("pre_tokenizer", {}) == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.added = regex.compile("|".join(map(regex.escape, added))).search if added else lambda t: None
-        self.words, self.parts = _Known(self.kind), _Known(self.kind)
-
-    def _learn_words(self, new: list[str]) -> None:
-        code = self.parts.code
-        known = len(code)
-        codes = [[code.setdefault(p, len(code)) for p in self.pieces(w)] for w in new]
-        fresh = list(code)[known:]
-        if fresh:
-            ids = [e.ids for e in self.tok.encode_batch_fast(fresh, add_special_tokens=False)]
-            self.parts.add(np.concatenate([np.asarray(x, self.kind) for x in ids]), np.array([len(x) for x in ids]))
-        self.words.add(*self.parts.join(codes))
-
-    def _split(self, text: str) -> list[str]:
-        if self.gaps(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
+        # In byte-level BPE every character of a token's name stands for one byte.
+        vocabulary = self.tok.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(k) for k in vocabulary]
+        self.words = _Known(self.kind)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _learn(self, new: list[str]) -> None:
+        """Keys are words after a space, or begin with a line feed, or with a carriage return for a text's first word."""
+        plain = [k if k[0] == "\n" else " " + k for k in new if k[0] != "\r"]
+        ids = self._ids("".join(plain))
+        ends = np.cumsum([len(w.encode("utf-8")) for w in plain], dtype=np.int64)
+        cuts = np.concatenate([[0], np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1]) if plain else np.zeros(1, np.int64)
+        parts, size, k = [], [], 0
+        first = [(i, w) for i, w in enumerate(new) if w[0] == "\r"]
+        at = 0
+        for i, w in first:
+            n = i - at
+            parts.append(ids[cuts[k] : cuts[k + n]])
+            size.append(np.diff(cuts[k : k + n + 1]))
+            one = self._ids(w[1:])
+            parts.append(one)
+            size.append(np.array([len(one)]))
+            k, at = k + n, i + 1
+        parts.append(ids[cuts[k] :] if plain else ids[:0])
+        size.append(np.diff(cuts[k:]))
+        self.words.add(np.concatenate(parts), np.concatenate(size))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Meant for some megabytes of text at a time."""
-        texts = [t or "" for t in texts]
-        if self.by_piece:
-            whole = {i for i, t in enumerate(texts) if self.added(t)}
-        else:
-            whole = set(range(len(texts)))
-        for known in (self.words, self.parts):
-            if len(known.code) > self.most:
-                known.__init__(self.kind)
+        """Meant for some hundred thousand characters at a time."""
+        if len(self.words.code) > self.most:
+            self.words = _Known(self.kind)
         code = self.words.code
-        before = len(code)
-        codes = [[] if i in whole or not t else [code.setdefault(w, len(code)) for w in self._split(t)] for i, t in enumerate(texts)]
+        before, codes, whole = len(code), [], {}
+        for i, text in enumerate(texts):
+            if not text:
+                codes.append([])
+            elif not self.by_word or "\r" in text or len(text.split()) != text.count(" ") + text.count("\n") + 1 or self.added(text):
+                whole[i] = self._ids(text)
+                codes.append([])
+            else:
+                words = []
+                for line in text.split("\n"):
+                    at = len(words)
+                    words += line.split(" ")
+                    words[at] = ("\n" if at else "\r") + words[at]
+                codes.append(list(map(code.__getitem__, words)))
         if len(code) > before:
-            self._learn_words(list(code)[before:])
+            self._learn(list(code)[before:])
         ids, size = self.words.join(codes)
         out, at = [], 0
         for i, n in enumerate(size.tolist()):
-            if i in whole:
-                x = np.array([*self.tok.encode(texts[i], add_special_tokens=False).ids, END_ID], self.kind)
-            else:
-                x = np.empty(n + 1, self.kind)
-                x[:n] = ids[at : at + n]
-                x[n] = END_ID
+            x = whole[i] if i in whole else ids[at : at + n]
             at += n
-            out.append(x)
+            out.append(np.append(x, np.array([END_ID], self.kind)))
         return out
 
 
@@ -207,9 +222,10 @@ def _writer(path: str, dictionary: bytes, segment_bytes: int, level: int):
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "seq", "first_id", "last_id", "docs", "tokens", "segment"])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices([len(t) if t else 0 for t in texts]):
-                for i, x in zip(ids[a:b], encode(texts[a:b], path, width)):
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for a, b in slices(size, 400_000):
+                ids, texts = (batch.column(c).slice(a, b - a).to_pylist() for c in (0, 1))
+                for i, x in zip(ids, encode(texts, path, width)):
                     frame = with_dict.compress(x.tobytes())
                     at += len(frame)
                     total += len(x)
