@@ -320,7 +320,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85, id_col:
     alive = groups.select(F.col("node").alias("id"), F.col("least").alias("doc"), "n").join(alone, "id", "left")
     alive = materialize(alive.where(F.coalesce("u", F.lit(0)) <= lacks).select("id", "doc", "n"), "alive")
     # The texts of the nodes that are left, one text for each.
-    again = given.where("id is not null").select(F.col("id").cast("long").alias("doc"), "text").join(alive, "doc")
+    again = given.where("id is not null").select(F.col("id").cast("long").alias("doc"), "text").join(alive.hint("merge"), "doc")
     whole = materialize(again.select("id", "n", "text").mapInArrow(_whole(k), "id long, n long, head binary"), "whole")
     elements = whole.mapInArrow(_explode_ids, "e long, id long, n long")
     shared = _shared_only(elements, "shared")
@@ -350,6 +350,6 @@ def one_of_each(docs: DataFrame, k: int = 4, threshold: int = 85, id_col: str =
     """
     found = jaccard_components(docs, k, threshold, id_col, text_col).where("doc_id is not null")
     ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component")), "ids")
-    out = docs.join(ids.where("n > 1 or component <> doc_id").select(F.col("doc_id").alias("_gone")), F.col(id_col) == F.col("_gone"), "left_anti")
+    out = docs.join(ids.where("n > 1 or component <> doc_id").select(F.col("doc_id").alias("_gone")).hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")
     several = docs.join(ids.where("n > 1 and component = doc_id").select(F.col("doc_id").alias("_kept")), F.col(id_col) == F.col("_kept"), "left_semi")
     return out.unionByName(several.groupBy(id_col).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))

@@ -225,7 +225,9 @@ def train(docs: DataFrame, docs_per_language: int = 400, hold: int = 5) -> Model
         learn = [t for i, t in enumerate(texts) if i % hold] or texts
         out = train_language(learn)
         n = len(out)
-        return pa.table({"lang": [key[0].as_py()] * n, "n": [x[0] for x in out], "keys": [x[1].tobytes() for x in out], "prob": [x[2].tobytes() for x in out], "back": [x[3].tobytes() for x in out], "held": ["\x00".join(texts[::hold])] * n})
+        columns = {"lang": [key[0].as_py()] * n, "n": [x[0] for x in out], "keys": [x[1].tobytes() for x in out], "prob": [x[2].tobytes() for x in out], "back": [x[3].tobytes() for x in out], "held": ["\x00".join(texts[::hold])] * n}
+        kinds = {"lang": pa.string(), "n": pa.int64(), "keys": pa.binary(), "prob": pa.binary(), "back": pa.binary(), "held": pa.string()}
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})
 
     rows = some.select("lang", "text").groupBy("lang").applyInArrow(fit, "lang string, n long, keys binary, prob binary, back binary, held string").collect()
     trained: dict[str, list] = {}

@@ -253,5 +253,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     parts = takes.where("copy = 1").groupBy("id", "h", "turn").agg(F.collect_list(F.struct("word_from", "word_to")).alias("parts"))
     parts = materialize(parts, "takes")
     rows = given.withColumn("h_", F.xxhash64("text"))
-    met = rows.join(parts, F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("h_") == F.col("h")))
+    met = rows.join(parts.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("h_") == F.col("h")))
     return met.select(F.col("doc_id").cast("long"), "text", "lang", "source", "parts").mapInArrow(_cut, "doc_id long, text string, lang string, source string, n_chars long")
