@@ -36,21 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The shuffle files of the write are given up as soon as it has ended; what it made is in the table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def write_once(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet and give up its shuffle files as soon as the write has ended."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
-    out = spark.read.schema(df.schema).parquet(path)
+        conf.set(key, before)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    write_once(df, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, unit_hash
+from .common import pick, unit_hash, write_once
 from .hashing import slices
 
 MAGIC = b"LXT1"
@@ -259,7 +259,7 @@ def write_tokens(docs: DataFrame, to: str, tokenizer_path: str, id_col: str = "d
     dealt = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
     dealt = dealt.sortWithinPartitions(*keys, "text")
     out = dealt.mapInArrow(_writer(tokenizer_path, dictionary, segment_bytes, level), "part int, seq int, first_id long, last_id long, docs long, tokens long, segment binary")
-    out.write.parquet(f"{to}/segments")
+    write_once(out, f"{to}/segments")
 
 
 def _dictionary(spark: SparkSession, path: str) -> bytes:
