@@ -27,7 +27,9 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, in lower case."""
-    return _LETTERS(text.lower()) if text else []
+    found = _LETTERS(text.lower()) if text else []
+    # The pattern lets numeric signs such as superscripts through, too.
+    return found if all(map(str.isalpha, found)) else ["".join(filter(str.isalpha, w)) for w in found if any(map(str.isalpha, w))]
 
 
 def _symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
