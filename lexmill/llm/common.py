@@ -103,7 +103,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         least = materialize(pair_minimum(both), "cc")
         last = e
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u != v").distinct(), "cc")
+        large = materialize(large.where("u != v"), "cc")
         joined = large.join(pair_minimum(large), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         e = materialize(small.where("u != v").distinct(), "cc")

@@ -36,6 +36,8 @@ LIGHT_MOST = 40
 #: Pivots of a list in each round, and rounds at most before what is left is compared pair by pair.
 PIVOTS = 3
 ROUNDS = 4
+#: Open pairs for each row of the lists up to which comparing them all is cheap: the filters need no sets.
+CHEAP = 32
 
 
 def prefix_size(n, threshold: int):
@@ -236,11 +238,6 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ea", "eb").mapInArrow(_verify(threshold), "a long, b long")
 
 
-def _shared_only(rows: DataFrame, name: str) -> DataFrame:
-    """Elements that occur in two or more rows, with that number."""
-    return materialize(rows.groupBy("e").agg(F.count("*").alias("df")).where("df > 1"), name)
-
-
 def _size_filter(a: str, b: str, threshold: int):
     return (F.lit(100) * F.least(a, b)) >= (F.lit(threshold) * F.greatest(a, b))
 
@@ -268,34 +265,34 @@ def _edges_of_distinct(sets: DataFrame, threshold: int) -> DataFrame:
     columns = "e long, place long, id long, n long, s long, b0 long, b1 long, b2 long, b3 long"
     lists = materialize(sets.where(reach).mapInArrow(_heads(threshold), columns), "lists")
     heavy = F.greatest("na", "nb") > F.lit(boundary)
+    now = lists.withColumn("part", F.col("id"))
     for turn in range(ROUNDS):
-        parts = connected_components(edges) if boundary or turn else edges.toDF("id", "component")
-        now = lists.join(parts, "id", "left").select(*lists.columns, F.coalesce("component", "id").alias("part"))
-        was, now = lists, materialize(now, "lists")
-        # Pairs still open in a list: all, less those within one component.
-        each = now.groupBy("e", "part").agg(F.count("*").cast("double").alias("c")).groupBy("e").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        each = materialize(each.where("m * m > q"), "lists")
-        todo = each.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0)).alias("p"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("m")).first()
-        discard(was)
-        if not todo["p"]:
-            return edges
-        every, now = now, materialize(now.join(each.select("e"), "e"), "lists")
-        discard(every, each)
-        if todo["p"] <= 4 * todo["m"] or turn == ROUNDS - 1:
-            break
+        if turn:
+            parts = connected_components(edges)
+            every, now = lists, materialize(lists.join(parts, "id", "left").select(*lists.columns, F.coalesce("component", "id").alias("part")), "lists")
+            # Pairs still open in a list: all, less those within one component.
+            each = now.groupBy("e", "part").agg(F.count("*").cast("double").alias("c")).groupBy("e").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
+            each = materialize(each.where("m * m > q"), "lists")
+            todo = each.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0)).alias("p"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("m")).first()
+            discard(every)
+            if not todo["p"]:
+                return edges
+            now = now.join(each.select("e"), "e")
+            if todo["p"] <= CHEAP * todo["m"] or turn == ROUNDS - 1:
+                break
         order = lambda k: F.min(F.struct(F.xxhash64("id", F.lit(PIVOTS * turn + k)).alias("h"), *[c for c in now.columns if c != "e"]))  # noqa: B023, E731
-        pivots = now.groupBy("e").agg(F.array_distinct(F.array(*[order(k) for k in range(PIVOTS)])).alias("p"))
+        pivots = now.groupBy("e").agg(F.array_distinct(F.array(*[order(k) for k in range(PIVOTS)])).alias("p"), F.count("*").alias("c")).where("c > 1")
         pivots = materialize(pivots.select("e", F.explode("p").alias("p")).select("e", *[F.col(f"p.{c}").alias(c) for c in now.columns if c != "e"]), "pivots")
         met = _side(now, "a").join(_side(pivots, "b"), "e").where("parta <> partb").where(_may_link(threshold) & heavy)
         pairs = materialize(met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs")
-        edges = materialize(edges.unionByName(_linked(pairs, sets, threshold)).distinct(), "edges")
-        # A pivot has met all members of its list.
-        gone = pivots.select("e", "id", F.lit(True).alias("gone"))
-        lists = materialize(now.drop("part").join(gone, ["e", "id"], "left").where("gone is null").drop("gone"), "lists")
-        discard(now, pivots, pairs)
+        edges = materialize(edges.unionByName(_linked(pairs, sets, threshold)), "edges")
+        # A pivot has met all members of its list. Lists of one member have no pivot and end here.
+        gone = pivots.groupBy("e").agg(F.collect_set("id").alias("gone"))
+        lists = materialize(now.drop("part").join(gone, "e").where(~F.array_contains("gone", F.col("id"))).drop("gone"), "lists")
+        discard(pivots, pairs)
     met = _side(now, "a").join(_side(now, "b"), "e").where("ida < idb and parta <> partb").where(_may_link(threshold) & heavy)
     pairs = materialize(met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs")
-    return materialize(edges.unionByName(_linked(pairs, sets, threshold)).distinct(), "edges")
+    return materialize(edges.unionByName(_linked(pairs, sets, threshold)), "edges")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,11 +319,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85, id_col:
     # The texts of the nodes that are left, one text for each.
     again = given.where("id is not null").select(F.col("id").cast("long").alias("doc"), "text").join(alive.hint("merge"), "doc")
     whole = materialize(again.select("id", "n", "text").mapInArrow(_whole(k), "id long, n long, head binary"), "whole")
+    # The same test over whole sets, among the sets that are left.
     elements = whole.mapInArrow(_explode_ids, "e long, id long, n long")
-    shared = _shared_only(elements, "shared")
-    counted = elements.join(shared, "e").repartition("id").sortWithinPartitions("id", "df", "e")
+    counts = materialize(elements.groupBy("e").agg(F.count("*").alias("df"), F.min("id").alias("id"), F.max("id").alias("most")), "counts")
+    alone = counts.where("id = most").groupBy("id").agg(F.count("*").alias("u"))
+    whole2 = materialize(whole.join(alone, "id", "left").where(F.coalesce("u", F.lit(0)) <= lacks).select("id", "n", "head"), "whole")
+    shared = counts.where("id <> most").select("e", "df")
+    counted = whole2.mapInArrow(_explode_ids, "e long, id long, n long").join(shared, "e").repartition("id").sortWithinPartitions("id", "df", "e")
     sets = materialize(counted.select("id", "n", "e").mapInArrow(_pack(threshold), "id long, n long, es binary"), "sets")
-    discard(whole, shared, alive)
+    discard(whole, whole2, counts, alive)
     edges = _edges_of_distinct(sets, threshold)
     discard(sets)
 
