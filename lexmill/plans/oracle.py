@@ -155,6 +155,31 @@ GROUND = f"""{CITED}, {quoted('cj')}, qx as (select query_id, unnest(quotes) as
  nu as (select query_id, n_invalid, list_filter(named, lambda a, i: list_position(named, a) = i and a <> '3' and a <> (conv_id % 12)::varchar and not regexp_matches(context, concat('(?i)\\b', a, '\\b'))) as unknown from na),
  gr as (select nu.query_id, coalesce(bad_quotes, 0) as n_unverified, unknown, n_invalid, coalesce(bad_quotes, 0) = 0 and len(unknown) = 0 and n_invalid = 0 as verified from nu left join qn using (query_id))"""
 
+SPLIT = r"""string_split(regexp_replace(regexp_replace(text, '\n(\s*\(\d+[A-Z]?\)\s)', chr(2) || '\1', 'g'), '\n(\s*\([a-z]\)\s)', chr(2) || '\1', 'g'), chr(2))"""
+PIECES = rf"""flatten(list_transform({SPLIT}, lambda c: case when length(c) <= 800 then [replace(c, chr(10), ' ')] else string_split(regexp_replace(replace(c, chr(10), ' '), '([.;:])\s+([A-Z("])', '\1' || chr(2) || '\2', 'g'), chr(2)) end))"""
+
+
+def packed(src: str) -> str:
+    """CTEs (recursive) that pack the texts of ``src(kid, text)`` to ``pk(kid, piece_no, text)``."""
+    tail = "right(buf, 150)"
+    carry = f"case when strpos({tail}, '. ') > 0 then substr({tail}, strpos({tail}, '. ') + 2) else '' end"
+    return f"""pp0 as (select kid, text, unnest({PIECES}) as piece, generate_subscripts({PIECES}, 1) as n from {src} where length(text) > 900),
+ pp as (select kid, {strip('piece')} as s, row_number() over (partition by kid order by n) as k from pp0 where {strip('piece')} <> ''),
+ rc as (select kid, k, s as buf, null::varchar as done from pp where k = 1
+  union all select pp.kid, pp.k, case when length(buf) + length(s) + 1 <= 800 then buf || ' ' || s else {strip(f"concat({carry}, ' ', s)")} end, case when length(buf) + length(s) + 1 <= 800 then null else buf end from rc join pp on pp.kid = rc.kid and pp.k = rc.k + 1),
+ ck as (select kid, k, done as c from rc where done is not null union all select kid, max(k) + 1, arg_max(buf, k) from rc group by kid),
+ wn as (select kid, k, c, greatest(0, ceil((length(c) - 1800) / 650.0))::int as w from ck),
+ ws as (select kid, k, i, case when i < w then substr(c, 650 * i + 1, 800) else substr(c, 650 * i + 1) end as t from (select *, unnest(range(0, w + 1)) as i from wn) union all select kid, 1, 0, text from {src} where length(text) <= 900),
+ pk as (select kid, row_number() over (partition by kid order by k, i) - 1 as piece_no, {strip("regexp_replace(t, '" + chr(92) + "s+', ' ', 'g')")} as text from ws)"""
+
+
+BUILD = f"""with recursive {SEGMENTS}, sx as (select *, book_file || chr(1) || seg as kid from sg where text <> ''), {packed('sx')},
+ c0 as (select sx.* exclude (text), pk.piece_no, pk.text from pk join sx using (kid) join bk on bk.file = book_file where bk.include and (section_type = 'toc' or {useful('pk.text')} >= 120)),
+ c1 as (select * from c0 qualify row_number() over (partition by book_file, substr(lower(text), 1, 300) order by seg, piece_no) = 1),
+ c2 as (select c1.*, bk.title as book_title, {mentions('text')} as ms, row_number() over (order by bk.position, seg, piece_no) - 1 as id from c1 join bk on bk.file = c1.book_file)
+ select id, book_file, book_title, pdf_page, printed_page, part, chapter, coalesce(article, '') as article_numbers, article_title, array_to_string(ms, ',') as mentions, section_type, text,
+  concat(concat_ws(' — ', book_title, nullif(part, ''), nullif(chapter, ''), case when section_type = 'article' and article is not null then concat('Article ', article, case when article_title <> '' then concat(': ', article_title) else '' end) end), chr(10), text) as search_text from c2"""
+
 ORACLE: dict[str, str] = {
     "line_keys": f"select doc_id, n, {line_key('line')} as key from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents)",
     "repeating_lines": f"with {REPEATING} select book_file, key, n_pages from rep",
@@ -168,6 +193,12 @@ ORACLE: dict[str, str] = {
     "chunk_pieces": r"""with d as (select doc_id, text, string_split(regexp_replace(regexp_replace(text, '\n(\s*\(\d+[A-Z]?\)\s)', chr(2) || '\1', 'g'), '\n(\s*\([a-z]\)\s)', chr(2) || '\1', 'g'), chr(2)) as cl from documents),
  p as (select doc_id, case when length(text) <= 900 then [text] else flatten(list_transform(cl, lambda c: case when length(c) <= 800 then [replace(c, chr(10), ' ')] else string_split(regexp_replace(replace(c, chr(10), ' '), '([.;:])\s+([A-Z("])', '\1' || chr(2) || '\2', 'g'), chr(2)) end)) end as ps from d)
  select doc_id, unnest(ps) as piece, generate_subscripts(ps, 1) - 1 as n from p""",
+    "chunk_pack": f"with recursive sx as (select doc_id as kid, text from documents), {packed('sx')} select kid as id, 'text' as section_type, piece_no, text from pk where {useful('text')} >= 120",
+    "chunk_build": BUILD,
+    "rate_limit": """with recursive e as (select user_id::varchar as key, event_id as id, epoch_ms(ts) as t, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+ r as (select key, rn, id, [t] as held, true as allowed from e where rn = 1
+  union all select key, rn, id, case when len(h) < 4 then list_append(h, t) else h end, len(h) < 4 from (select e.key, e.rn, e.id, e.t, list_filter(r.held, lambda x: e.t - x < 86400000) as h from r join e on e.key = r.key and e.rn = r.rn + 1))
+ select id, allowed from r""",
     "chunk_dedupe": "select min(doc_id) as doc_id from documents group by substr(lower(text), 1, 300)",
     "chunk_ids": f"with c as ({CHUNKS}), b as ({BOOKS}) select id as old, row_number() over (order by position, id) - 1 as id from c join b on b.file = c.book_file",
     "article_mentions": f"select id, array_to_string({mentions('text')}, ',') as mentions from ({CHUNKS})",
