@@ -25,7 +25,7 @@ from (select distinct source from documents where source is not null) s
 CHUNKS = """
 select doc_id as id, source as book_file, concat('Book of ', source) as book_title, cast(doc_id % 97 + 1 as int) as pdf_page,
  case when doc_id % 5 = 0 then null else concat('Part ', case when doc_id % 4 = 0 then 'I' when doc_id % 4 = 1 then 'III' else 'IVA' end) end as part,
- case when doc_id % 3 = 0 then concat('', doc_id % 60 + 1) when doc_id % 7 = 0 then concat(doc_id % 30 + 1, 'A') end as article,
+ case when doc_id % 3 = 0 then concat('', doc_id % 61 + 1) when doc_id % 7 = 0 then concat(doc_id % 30 + 1, 'A') end as article,
  case when doc_id % 3 = 0 then 'Right of form' end as article_title,
  case when doc_id % 3 = 0 or doc_id % 7 = 0 then 'article' when doc_id % 11 = 0 then 'toc' else 'text' end as section_type,
  concat('See Article ', doc_id % 40 + 1, ' and Art. ', doc_id % 9 + 1, 'B. ', text) as text
