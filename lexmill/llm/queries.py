@@ -50,7 +50,7 @@ def token_digest(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     to = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_store.write_tokens(docs, to, tokenizer_file())
-    return token_store.digest(token_store.read_tokens(spark, to))
+    return token_store.read_tokens(spark, to, digest=True)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,7 +226,7 @@ def _writer(path: str, dictionary: bytes, segment_bytes: int, level: int):
             for a, b in slices(size, 400_000):
                 ids, texts = (batch.column(c).slice(a, b - a).to_pylist() for c in (0, 1))
                 for i, x in zip(ids, encode(texts, path, width)):
-                    frame = with_dict.compress(x.tobytes())
+                    frame = with_dict.compress(x)
                     at += len(frame)
                     total += len(x)
                     frames.append(frame)
@@ -279,8 +279,12 @@ def unpack(segment: bytes, dictionary: bytes):
         begin = int(end)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of a store: doc_id, start (ids of all documents before), n_tokens, ids (packed u4)."""
+def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """The documents of a store: doc_id, start (ids of all documents before), n_tokens, ids (packed u4).
+
+    With ``digest`` the unsigned crc32 of the packed ids, ids_crc32, is in their place, made where they are read.
+    """
+    last, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
     segments = spark.read.parquet(f"{path}/segments")
     dictionary = _dictionary(spark, path)
     # Ids before each segment: its part's beginning (a row for each written partition comes to the
@@ -300,12 +304,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for body, part, before in zip(*(batch.column(c).to_pylist() for c in ("segment", "part", "within"))):
                 at, out = begin[part] + before, ([], [], [], [])
                 for doc, ids in unpack(body, dictionary):
-                    for x, v in zip(out, (None if doc == NO_ID else doc, at, len(ids), ids.astype("<u4").tobytes())):
+                    packed = ids.astype("<u4").tobytes()
+                    for x, v in zip(out, (None if doc == NO_ID else doc, at, len(ids), zlib.crc32(packed) if digest else packed)):
                         x.append(v)
                     at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary()))], ["doc_id", "start", "n_tokens", last])
 
-    return segments.join(places, ["part", "seq"]).select("segment", "part", "within").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return segments.join(places, ["part", "seq"]).select("segment", "part", "within").mapInArrow(run, f"doc_id long, start long, n_tokens long, {last} {kind}")
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
@@ -322,14 +327,3 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
             b = _HEAD.size + index.nbytes + int(index["end"][k])
             found.append(np.frombuffer(back.decompress(segment[a:b], max_output_size=int(index["tokens"][k]) * width), f"<u{width}").tolist())
     return found
-
-
-def digest(tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of a store's documents."""
-
-    def run(batches):
-        for batch in batches:
-            crc = [zlib.crc32(x) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "n_tokens")] + [pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
