@@ -155,7 +155,7 @@ class Models:
                 i = np.searchsorted(keys, part[x][1])
                 prob[i, j], back[i, j] = part[x][2], part[x][3]
             self.keys[n], self.prob[n], self.back[n] = keys, prob, back
-        self.cut: np.ndarray | None = None
+        self.cut = np.inf
         self._codes: dict[str, int] = {}
         self._table = np.empty((0, len(self.languages)), np.float32)
         self._size = np.empty(0, np.float32)
@@ -182,8 +182,10 @@ class Models:
         score[first] = 0  # the first boundary is given
         return np.add.reduceat(score, first)
 
-    def entropies(self, texts: list[str | None], most: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per symbol of each text by language, and the number of symbols (0: no letter)."""
+    def entropies(self, texts: list[str | None], most: int = 300_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy per symbol of each text by language, the number of symbols (0: no letter), and the
+        cross-entropy where every word is scored by its own best language.
+        """
         if len(self._codes) > most:
             self._codes, self._table = {}, self._table[:0]
         code = self._codes
@@ -197,13 +199,14 @@ class Models:
             self._table = np.concatenate([self._table, fresh])
             self._size = np.concatenate([self._size[:known], size])
         total = np.zeros((len(texts), len(self.languages)))
-        n = np.zeros(len(texts))
+        n, best = np.zeros(len(texts)), np.zeros(len(texts))
         for k, r in enumerate(rows):
             if r:
-                r = np.array(r)
-                total[k] = self._table[r].sum(0, dtype=np.float64)
-                n[k] = self._size[r].sum(dtype=np.float64)
-        return -total / np.maximum(n, 1)[:, None], n
+                words = self._table[np.array(r)]
+                total[k] = words.sum(0, dtype=np.float64)
+                best[k] = words.max(1).sum(dtype=np.float64)
+                n[k] = self._size[np.array(r)].sum(dtype=np.float64)
+        return -total / np.maximum(n, 1)[:, None], n, -best / np.maximum(n, 1)
 
     def __getstate__(self):
         return self.__dict__ | {"_codes": {}, "_table": self._table[:0]}
@@ -240,13 +243,15 @@ def train(docs: DataFrame, docs_per_language: int = 400, hold: int = 5) -> Model
     if not trained:
         return None
     models = Models(trained)
-    # Rejected is what lies a whole unit above every held-back text and ten deviations above their mean.
-    models.cut = np.full(len(models.languages), np.inf)
-    for j, x in enumerate(models.languages):
-        h, n = models.entropies(held[x])
-        h = h[n >= 20, j]
-        if len(h) >= 5:
-            models.cut[j] = max(h.max() + 1, h.mean() + 10 * h.std())
+    # Rejected is what no language explains, even word by word: a whole unit above every held-back text
+    # and ten deviations above their mean. Texts in several languages are none of that.
+    cuts = [np.inf]
+    for texts in held.values():
+        _, n, low = models.entropies(texts)
+        low = low[n >= 20]
+        if len(low) >= 5:
+            cuts.append(max(low.max() + 1, low.mean() + 10 * low.std()))
+    models.cut = max(cuts[1:], default=np.inf)
     return models
 
 
@@ -259,13 +264,13 @@ def _predict(models, sharpness: float):
                 if m is None:
                     lang, score, reject = [UNKNOWN] * (b - a), [0.0] * (b - a), [True] * (b - a)
                 else:
-                    h, n = m.entropies(texts[a:b])
+                    h, n, low = m.entropies(texts[a:b])
                     best = h.argmin(1)
                     odds = np.exp(-sharpness * (h - h.min(1)[:, None]))
                     none = n == 0
                     lang = [UNKNOWN if z else m.languages[k] for z, k in zip(none, best)]
                     score = np.where(none, 0.0, 1 / odds.sum(1))
-                    reject = none | (h[np.arange(len(h)), best] > m.cut[best])
+                    reject = none | (low > m.cut)
                 keep = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(keep.columns + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(reject, pa.bool_())], [*keep.schema.names, "lang_pred", "score", "rejected"])
 
