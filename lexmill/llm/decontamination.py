@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
-from .hashing import mix, slices
+from .hashing import mix, slices, small_batches
 
 Q = 8
 #: Edits allowed as a share of an item's normalised length, and the shortest item that counts.
@@ -202,7 +202,7 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
 
 def _hits(index):
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for a, b in slices([len(t) if t else 0 for t in texts]):
                 found = index.value.find(texts[a:b])
@@ -214,7 +214,7 @@ def _hits(index):
 
 def _without(index):
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             texts = batch.column("text").to_pylist()
             keep = np.ones(len(texts), bool)
             for a, b in slices([len(t) if t else 0 for t in texts]):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -88,3 +89,10 @@ def slices(lengths: list[int], most: int = 1_500_000):
         total += n
     if a < len(lengths):
         yield a, len(lengths)
+
+
+def small_batches(batches, column: str, most: int = 1_000_000):
+    """Arrow batches cut so that a text or binary column holds about ``most`` bytes in each: bounds a task's Python memory."""
+    for batch in batches:
+        for a, b in slices(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), most):
+            yield batch.slice(a, b - a)

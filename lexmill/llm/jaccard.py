@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, materialize, pick
-from .hashing import mix, shingle_sets, slices
+from .hashing import mix, shingle_sets, slices, small_batches
 
 #: Light sets are at most this large whatever the cost estimate says.
 LIGHT_MOST = 40
@@ -56,8 +56,8 @@ def _set_hash(s: np.ndarray) -> np.int64:
 
 def _features(k: int, threshold: int):
     def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+        for batch in small_batches(batches, "text"):
+            ids, texts = batch.column("id"), batch.column("text")
             rows = texts.to_pylist()
             sizes = [len(x) if x else 0 for x in rows]
             for a, b in slices(sizes):
@@ -72,7 +72,7 @@ def _features(k: int, threshold: int):
 
 def _explode_ids(batches):
     """(id, n, packed longs) to one row (e, id, n) for each long."""
-    for batch in batches:
+    for batch in small_batches(batches, "head"):
         packed = batch.column("head").to_pylist()
         for a, b in slices([len(p) // 8 for p in packed], 200_000):
             count = np.array([len(p) // 8 for p in packed[a:b]])
@@ -85,7 +85,7 @@ def _whole(k: int):
     """Whole sets of the nodes again, packed; texts that have another set give none."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             texts, nodes = batch.column("text").to_pylist(), batch.column("id").to_pylist()
             for a, b in slices([len(t) if t else 0 for t in texts]):
                 sets = shingle_sets(texts[a:b], k)
@@ -198,7 +198,7 @@ def _side(lists: DataFrame, side: str) -> DataFrame:
 
 def _verify(threshold: int):
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, "ea"):
             keep = []
             for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ea", "eb"))):
                 x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)

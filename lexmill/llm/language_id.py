@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_of, pick, unit_hash
-from .hashing import mix, slices
+from .hashing import mix, slices, small_batches
 
 ORDER = 5
 UNKNOWN = "und"
@@ -182,7 +182,7 @@ class Models:
         score[first] = 0  # the first boundary is given
         return np.add.reduceat(score, first)
 
-    def entropies(self, texts: list[str | None], most: int = 300_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def entropies(self, texts: list[str | None], most: int = 150_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy per symbol of each text by language, the number of symbols (0: no letter), and the
         cross-entropy where every word is scored by its own best language.
         """
@@ -258,7 +258,7 @@ def train(docs: DataFrame, docs_per_language: int = 400, hold: int = 5) -> Model
 def _predict(models, sharpness: float):
     def run(batches):
         m = models.value
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             texts = batch.column("text").to_pylist()
             for a, b in slices([len(t) if t else 0 for t in texts]):
                 if m is None:
@@ -299,12 +299,12 @@ def accepted(docs: DataFrame, learn_mod: int = 4, hold_out: int = 2, id_col: str
     given = pick(docs, id_col, text_col, lang_col).toDF("id", "text", "lang")
     held = F.coalesce(bucket_of(F.col("id"), learn_mod) == hold_out, F.lit(False))
     models = docs.sparkSession.sparkContext.broadcast(train(given.where(~held)))
-    at = docs.columns.index(text_col)
+    at, docs_text = docs.columns.index(text_col), text_col
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, docs_text):
             texts = pa.RecordBatch.from_arrays([batch.column(at)], ["text"])
-            keep = [v for part in _predict(models, 8.0)([texts]) for v in part.column("rejected").to_pylist()]
-            yield batch.filter(pa.array([not v for v in keep], pa.bool_()))
+            keep = [not v for part in _predict(models, 8.0)([texts]) for v in part.column("rejected").to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

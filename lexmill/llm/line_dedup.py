@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, pick
-from .hashing import mix, slices, span_hashes
+from .hashing import mix, slices, small_batches, span_hashes
 
 MIN_WORDS = 5
 
@@ -98,7 +98,7 @@ def _line_hashes(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _lines(batches):
     """A row (doc, row hash, line number, line hash, halves) for each line with a word."""
-    for batch in batches:
+    for batch in small_batches(batches, "text"):
         texts = batch.column("text").to_pylist()
         for a, b in slices([len(t) if t else 0 for t in texts]):
             text, line, first, h = _lines_of(texts[a:b])
@@ -111,7 +111,7 @@ def _lines(batches):
 
 def _deletions(batches):
     """Variants of the lines asked for: (variant, place or -1, line hash); the words go with the line itself."""
-    for batch in batches:
+    for batch in small_batches(batches, "text"):
         texts, wanted = batch.column("text").to_pylist(), batch.column("lines").to_pylist()
         for a, b in slices([len(t) if t else 0 for t in texts], 200_000):
             out = ([], [], [], [])
@@ -148,7 +148,7 @@ def _confirm(batches):
 
 
 def _without(batches):
-    for batch in batches:
+    for batch in small_batches(batches, "text"):
         texts, gone, count = [], batch.column("gone").to_pylist(), []
         for text, drop in zip(batch.column("text").to_pylist(), gone):
             drop = set(drop or ())

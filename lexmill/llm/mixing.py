@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, pick
-from .hashing import mix
+from .hashing import mix, small_batches
 
 #: Parts in which a source's documents are ordered, each summed on its own.
 ORDER_PARTS = 512
@@ -225,7 +225,7 @@ def _cut(batches):
     import re
 
     words = re.compile(rb"[^\x20\x09-\x0D]+")
-    for batch in batches:
+    for batch in small_batches(batches, "text"):
         rows = batch.to_pylist()
         texts = []
         for r in rows:

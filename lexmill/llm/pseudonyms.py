@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
+from .hashing import small_batches
 
 ROUNDS = 8
 _DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
@@ -205,7 +206,7 @@ def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[str]]:
 
 def _replace(key: bytes):
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             done = [pseudonymise(t, key) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t for t, _ in done], pa.string()), pa.array([len(k) for _, k in done], pa.int64()), pa.array([k for _, k in done], pa.list_(pa.string()))], ["doc_id", "text", "n_replaced", "kinds"])
 

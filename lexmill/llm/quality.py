@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_of, pick, unit_hash
-from .hashing import mix, slices, span_hashes, word_spans
+from .hashing import mix, slices, small_batches, span_hashes, word_spans
 
 BITS = 18
 _SHAPE = np.full(256, ord("x"), np.uint8)
@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 12000, shard
 def _score(weights, threshold: float):
     def run(batches):
         w = weights.value
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             texts = batch.column("text").to_pylist()
             for a, b in slices([len(t) if t else 0 for t in texts]):
                 slots, values, first = features(texts[a:b])
