@@ -4,8 +4,8 @@ A document is the set of its distinct k-word shingles; two documents link when
 ``100 * |intersection| >= threshold * |union|``. Steps:
 
 1. Documents with equal sets are collapsed to one node, named by a 64-bit hash of the set.
-2. A linked set lacks few of its elements in the other. Of the elements with the lowest hashes
-   (twice as many as a set may lack) more than half must therefore occur in other sets; sets of
+2. A linked set lacks few of its elements in the other. Of its elements with the lowest hashes
+   (``head_size``) all but as many must therefore be among those of another set; sets of
    which that is not so are finished. For those that are left the elements that occur in two or
    more of them are kept; all else cannot add to an intersection.
 3. *Light* sets (up to a boundary size chosen by estimated cost) enumerate subsets of the fixed
@@ -45,6 +45,14 @@ def prefix_size(n, threshold: int):
     return n - (-((-threshold * n) // 100)) + 1
 
 
+def head_size(n: int, threshold: int) -> int:
+    """Elements of lowest hash by which a set of size n is tested for partners.
+
+    Grows so slowly with n that a set lacks no more elements in a shorter head of a linked set than it may lack in all.
+    """
+    return 2 * (100 - threshold) * n // 100 + 2
+
+
 def overlap_needed(a: int, b: int, threshold: int) -> int:
     """Least intersection size with which sets of sizes a and b link."""
     return -((-threshold * (a + b)) // (100 + threshold))
@@ -64,7 +72,7 @@ def _features(k: int, threshold: int):
                 sets = shingle_sets(rows[a:b], k)
                 n = np.array([len(s) for s in sets], np.int64)
                 node = np.array([_set_hash(s) for s in sets], np.int64)
-                heads = [s[: 2 * prefix_size(len(s), threshold)].tobytes() if len(s) else b"" for s in sets]
+                heads = [s[: head_size(len(s), threshold)].tobytes() if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(node), pa.array(heads, pa.binary())], ["id", "n", "node", "head"])
 
     return run

@@ -64,6 +64,18 @@ def test_jaccard_against_all_pairs(spark, k, threshold, seed):
     assert sorted(map(tuple, got), key=str) == sorted(components(docs, k, threshold), key=str)
 
 
+@pytest.mark.parametrize(("k", "threshold"), [(4, 85), (5, 80)])
+def test_jaccard_of_texts_with_words_more_or_less(spark, k, threshold):
+    """Pairs of every size that no third text shares shingles with: less the last or the first word, and with one to three more."""
+    docs, words = [], iter(range(10**6))
+    for n in range(1, 41):
+        for cut in (slice(None, -1), slice(1, None), slice(None, -2), slice(2, None), slice(None, -3), slice(1, -1)):
+            d = [f"w{next(words)}" for _ in range(n + k - 1)]
+            docs += [(len(docs), " ".join(d)), (len(docs) + 1, " ".join(d[cut]))]
+    got = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), k, threshold).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(components(docs, k, threshold), key=str)
+
+
 def test_jaccard_odd_tables(spark, odd):
     got = sorted((tuple(r) for r in jaccard.jaccard_components(odd).collect()), key=str)
     assert got == sorted(components([(d, t) for d, t, _, _ in ODD], 4, 85), key=str)
