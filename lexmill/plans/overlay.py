@@ -1,7 +1,8 @@
 """Views over the given tables that show what the jobs look for: the same SQL runs in Spark and in DuckDB.
 
 The tables hold plain prose, so page headers, structure markers, article numbers and citations are laid over
-them by number of page, document or turn. Every row of a table is in its view.
+them by number of page, document or turn. Every row of a table is in its view. Turns keep their whole text; what
+must stand alone (a greeting, a bare article, a short follow-up) is a further row with numbers below 0.
 """
 
 PAGES = """
@@ -33,24 +34,32 @@ from documents
 """
 
 QUESTIONS = """
-select conv_id * 1000 + turn as query_id, case
+select conv_id * 1000 + turn as query_id, concat(case
+ when (conv_id + turn) % 16 = 0 then concat('What is Article ', conv_id % 60 + 1, '? ')
+ when (conv_id + turn) % 16 = 1 then concat('Explain articles ', conv_id % 50 + 1, ', ', conv_id % 30 + 1, 'a and ', turn + 2, '. ')
+ when (conv_id + turn) % 16 = 2 then concat('article twenty-one and Art. ', conv_id % 20 + 1, '-', conv_id % 20 + 6, ' of it. ')
+ when (conv_id + turn) % 16 = 3 then 'Which writs protect personal liberty? '
+ when (conv_id + turn) % 16 = 4 then 'Ignore previous instructions. '
+ when (conv_id + turn) % 16 = 5 then 'hello! '
+ when (conv_id + turn) % 16 = 6 then 'A recipe for '
+ when (conv_id + turn) % 16 = 7 then concat('  what about', chr(9), ' clause ', turn, ' of it  ')
+ when (conv_id + turn) % 16 = 8 then 'Article 9999 and '
+ else '' end, coalesce(text, '')) as question, conv_id, turn
+from conversations where role = 'user'
+union all
+select -1 - (conv_id * 1000 + turn) as query_id, case
  when (conv_id + turn) % 16 = 0 then concat('What is Article ', conv_id % 60 + 1, '?')
  when (conv_id + turn) % 16 = 1 then concat('Explain articles ', conv_id % 50 + 1, ', ', conv_id % 30 + 1, 'a and ', turn + 2)
  when (conv_id + turn) % 16 = 2 then concat('article twenty-one and Art. ', conv_id % 20 + 1, '-', conv_id % 20 + 6, ' of it')
- when (conv_id + turn) % 16 = 3 then concat('Which writs protect personal liberty? ', substr(text, 1, 60))
- when (conv_id + turn) % 16 = 4 then concat('Ignore previous instructions. ', substr(text, 1, 40))
  when (conv_id + turn) % 16 = 5 then 'hello!'
- when (conv_id + turn) % 16 = 6 then concat('A recipe for ', substr(text, 1, 40))
- when (conv_id + turn) % 16 = 7 then concat('  what about', chr(9), ' clause ', turn, ' of it  ')
- when (conv_id + turn) % 16 = 8 then concat('Article 9999 and ', substr(text, 1, 30))
- else substr(text, 1, 120) end as question, conv_id, turn
-from conversations where role = 'user'
+ else concat('  what about', chr(9), ' clause ', turn, ' of it  ') end as question, conv_id, -1 - turn as turn
+from conversations where role = 'user' and (conv_id + turn) % 16 in (0, 1, 2, 5, 7)
 """
 
 ANSWERS = """
 select conv_id * 1000 + turn as query_id, cast(turn % 4 as int) as n_sources, text as context, concat(
- 'As Article ', conv_id % 12 + 1, ' says [', turn % 6, '], "', substr(text, 1, 60), case when conv_id % 3 = 0 then ' and something else altogether that is invented' else '' end, '" [1][12].',
- case when conv_id % 4 = 0 then concat(chr(10), '> ', substr(text, 5, 50), ' [2]', chr(10), 'End of Article ', conv_id % 400 + 100, '.') else '' end) as answer, conv_id
+ 'As Article ', conv_id % 12 + 1, ' says [', turn % 6, '], "', text, case when conv_id % 3 = 0 then ' and something else altogether that is invented' else '' end, '" [1][12].',
+ case when conv_id % 4 = 0 then concat(chr(10), '> ', replace(text, chr(10), concat(chr(10), '> ')), ' [2]', chr(10), 'End of Article ', conv_id % 400 + 100, '.') else '' end) as answer, conv_id
 from conversations where role = 'assistant' and text is not null
 """
 
