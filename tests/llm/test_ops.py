@@ -337,6 +337,18 @@ def test_wrapper_drops_constant_slots(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_each_layout_of_a_host_has_its_wrapper(spark):
+    rng, rows, want = random.Random(4), [], {}
+    for i in range(60):
+        p = [talk(rng, ["th", "he", "in"], 30) for _ in range(2 + i % 3)]
+        note, body = "This constant note of the site stands below each of its texts.", "".join(f"<p>{x}</p>" for x in p)
+        html = [f"<div class=text>{body}<h6>{note} One.</h6></div>", f"<table><tr><td>{body}<h6>{note} Two.</h6></td></tr></table>", f"<div class=stub>{body}</div>"][i % 3]
+        rows.append((i, f"http://host.example/{i}", f"<html><body>{html}</body></html>"))
+        want[i] = "\n\n".join(p)
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 def test_marked_parts_go():
     body = "<article><header><h1>Head</h1></header><p>One <i>two</i><br>three<p>Four<ul><li>a<li>b</ul><div class='share-box'>Share</div><form><p>Mail</form><aside>x</aside><section id=comments><p>Reader</section></article>"
     assert html_extract.main_text(page(body), None, set()) == "Head\n\nOne two three\n\nFour\n\na\n\nb"
