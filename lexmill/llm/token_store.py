@@ -17,19 +17,23 @@ table beside it. Both are in folders below the path given.
 
 from __future__ import annotations
 
+import decimal
+import json
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pick, unit_hash, write_once
-from .hashing import slices
+from .hashing import slices, small_batches
 
 MAGIC = b"LXT1"
 _HEAD = struct.Struct("<4sQII")
@@ -53,120 +57,108 @@ def tokenizer(path: str):
     return _STATE[path]
 
 
-class _Codes(dict):
-    """Numbers the keys asked for, in order of first use."""
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
-
-
-class _Known:
-    """Id sequences of the strings met so far, one after the other in one array."""
-
-    def __init__(self, kind: str):
-        self.kind, self.code = kind, _Codes()
-        self.flat, self.end = np.empty(1 << 20, kind), np.zeros(1, np.int64)
-
-    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
-        used = int(self.end[-1])
-        if used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(ids), len(self.flat)), self.kind)])
-        self.flat[used : used + len(ids)] = ids
-        self.end = np.concatenate([self.end, used + np.cumsum(size)])
-
-    def join(self, codes: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of sequences of strings, end to end, and the length of each sequence."""
-        c = np.concatenate([np.array(x, np.int64) for x in codes]) if codes else np.empty(0, np.int64)
-        size = self.end[c + 1] - self.end[c]
-        upto = np.cumsum(size)
-        n = int(upto[-1]) if len(c) else 0
-        ids = self.flat[np.repeat(self.end[c + 1] - upto, size) + np.arange(n)]
-        bounds = np.cumsum([0] + [len(x) for x in codes])
-        return ids, np.diff(np.concatenate([[0], upto])[bounds])
+#: White space other than single spaces and line feeds inside a text (RE2).
+_UNEVEN = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
+#: Latin letters, which end a piece where an ASCII sign follows, and ASCII signs.
+_LETTERS, _SIGNS = "A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}", r"!-/:-@\[-`{-~"
+_PLAIN = re.compile("\r?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 
 
 class Encoder:
     """Whole texts to ids with the end id, by way of their distinct words.
 
     Where all white space of a text is single spaces and line feeds, each of them begins a piece that
-    the tokenizer encodes on its own. Such words are encoded once, new ones of many texts end to end in one call,
+    the tokenizer encodes on its own. Words are split and numbered by Arrow, each distinct one is encoded once,
     and texts are put together from them. That is exact for byte-level BPE with the usual split and no
     normaliser, which is looked up in the tokenizer's file; with any other tokenizer, and for other texts and those
-    that hold the string of an added token, the whole text is encoded. At most about ``most`` words are kept.
-    """
-
-    def __init__(self, path: str, width: int, most: int = 400_000):
-        import json
+    that hold the string of an added token, the whole text is encoded. About ``most`` words are kept,
+    those met in the most batches.
 
-        import regex
+    A word also ends where a sign follows a Latin letter, and before and after a line feed. Its key is the word if a
+    space stands before it, else it begins with a carriage return.
+    """
 
+    def __init__(self, path: str, width: int, most: int = 500_000):
         self.tok, self.kind, self.most = tokenizer(path), f"<u{width}", most
         spec = json.loads(self.tok.to_str())
-        self.by_word = spec.get("normalizer") is None and spec.get("pre_tokenizer", {}) == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.added = regex.compile("|".join(map(regex.escape, added))).search if added else lambda t: None
-        # In byte-level BPE every character of a token's name stands for one byte.
-        vocabulary = self.tok.get_vocab()
-        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        self.bytes[list(vocabulary.values())] = [len(k) for k in vocabulary]
-        self.words = _Known(self.kind)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-
-    def _learn(self, new: list[str]) -> None:
-        """Keys are words after a space, or begin with a line feed, or with a carriage return for a text's first word."""
-        plain = [k if k[0] == "\n" else " " + k for k in new if k[0] != "\r"]
-        ids = self._ids("".join(plain))
-        ends = np.cumsum([len(w.encode("utf-8")) for w in plain], dtype=np.int64)
-        cuts = np.concatenate([[0], np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1]) if plain else np.zeros(1, np.int64)
-        parts, size, k = [], [], 0
-        first = [(i, w) for i, w in enumerate(new) if w[0] == "\r"]
-        at = 0
-        for i, w in first:
-            n = i - at
-            parts.append(ids[cuts[k] : cuts[k + n]])
-            size.append(np.diff(cuts[k : k + n + 1]))
-            one = self._ids(w[1:])
-            parts.append(one)
-            size.append(np.array([len(one)]))
-            k, at = k + n, i + 1
-        parts.append(ids[cuts[k] :] if plain else ids[:0])
-        size.append(np.diff(cuts[k:]))
-        self.words.add(np.concatenate(parts), np.concatenate(size))
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        self.by_word = spec.get("normalizer") is None and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
+        self.by_word &= spec.get("pre_tokenizer", {}) == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.uneven = "|".join([_UNEVEN, *(re.escape(t["content"]) for t in spec.get("added_tokens", []))])
+        self.model = self.tok.model
+        # In byte-level BPE printable bytes stand for themselves, the others for the characters from 256 on, in order.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.names = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self._forget([], None)
+
+    def _forget(self, kept: list[str], codes: np.ndarray | None) -> None:
+        """Keep only these keys."""
+        flat, end = array("H" if self.kind == "<u2" else "I"), array("q", [0])
+        if kept:
+            ids, size = self._join(codes)
+            flat.frombytes(ids.tobytes())
+            end.frombytes(np.cumsum(size).astype(np.int64).tobytes())
+        self.code, self.flat, self.end = {k: i for i, k in enumerate(kept)}, flat, end
+        self.met = np.zeros(len(kept), np.int64)
+
+    def _join(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words, end to end, and the length of each."""
+        flat, end = np.frombuffer(self.flat, self.kind) if len(self.flat) else np.empty(0, self.kind), np.frombuffer(self.end, np.int64)
+        size = end[codes + 1] - end[codes]
+        upto = np.cumsum(size)
+        return flat[np.repeat(end[codes + 1] - upto, size) + np.arange(upto[-1] if len(upto) else 0)], size
+
+    def _add(self, key: str, ids: list[int]) -> int:
+        n = self.code[key] = len(self.code)
+        self.flat.extend(ids)
+        self.end.append(len(self.flat))
+        return n
+
+    def _numbers(self, keys: list[str]) -> np.ndarray:
+        """Numbers of the keys; new ones are learned. A word of letters is one piece, others are split by the tokenizer."""
+        code, tokenize = self.code, self.model.tokenize
+        found = list(map(code.get, keys))
+        new = [i for i, n in enumerate(found) if n is None]
+        other = []
+        for i in new:
+            key = keys[i]
+            if not _PLAIN(key):
+                other.append(i)
+                continue
+            name = key[1:] if key[0] == "\r" else " " + key
+            name = "Ġ" + key if key.isascii() and key[0] != "\r" else name.encode().decode("latin-1").translate(self.names)
+            found[i] = self._add(key, [t.id for t in tokenize(name)])
+        texts = [keys[i][1:] if keys[i][0] == "\r" else " " + keys[i] for i in other]
+        for i, e in zip(other, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+            found[i] = self._add(keys[i], [END_ID] if keys[i] == "\r\r" else e.ids)
+        out = np.array(found, np.int64)
+        if len(code) > len(self.met):
+            self.met = np.concatenate([self.met, np.zeros(len(code) - len(self.met), np.int64)])
+        self.met[out] += 1
+        return out
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Meant for some hundred thousand characters at a time."""
-        if len(self.words.code) > self.most:
-            self.words = _Known(self.kind)
-        code = self.words.code
-        before, codes, whole = len(code), [], {}
-        for i, text in enumerate(texts):
-            if not text:
-                codes.append([])
-            elif not self.by_word or "\r" in text or len(text.split()) != text.count(" ") + text.count("\n") + 1 or self.added(text):
-                whole[i] = self._ids(text)
-                codes.append([])
-            else:
-                words = []
-                for line in text.split("\n"):
-                    at = len(words)
-                    words += line.split(" ")
-                    words[at] = ("\n" if at else "\r") + words[at]
-                codes.append(list(map(code.__getitem__, words)))
-        if len(code) > before:
-            self._learn(list(code)[before:])
-        ids, size = self.words.join(codes)
-        out, at = [], 0
-        for i, n in enumerate(size.tolist()):
-            x = whole[i] if i in whole else ids[at : at + n]
-            at += n
-            out.append(np.append(x, np.array([END_ID], self.kind)))
+        if len(self.code) > self.most:
+            least = np.sort(self.met)[-self.most // 2]
+            kept = np.flatnonzero(self.met > least)
+            names = list(self.code)
+            self._forget([names[i] for i in kept], kept)
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.uneven) if self.by_word else pa.array([True] * len(texts))
+        plain = pc.replace_substring_regex(pc.if_else(odd, "", texts), f"([{_LETTERS}])([{_SIGNS}])", "\\1 \r\\2")
+        plain = pc.replace_substring(plain, "\n", " \r\n \r")
+        words = pc.split_pattern(pc.binary_join_element_wise("\r", plain, " \r\r", ""), " ")
+        coded = words.flatten().dictionary_encode()
+        ids, size = self._join(self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(pc.list_value_length(words).to_numpy())]
+        out = [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        for i, e in zip(whole, self.tok.encode_batch_fast(texts.take(pa.array(whole, pa.int64())).to_pylist(), add_special_tokens=False)):
+            out[i] = np.array([*e.ids, END_ID], self.kind)
         return out
 
 
-def encode(texts: list[str | None], path: str, width: int) -> list[np.ndarray]:
+def encode(texts: pa.Array, path: str, width: int) -> list[np.ndarray]:
     """Ids of whole texts with the end id, as little-endian unsigned integers of ``width`` bytes."""
     key = (path, width)
     if key not in _STATE:
@@ -178,20 +170,24 @@ def id_width(path: str) -> int:
     return 2 if tokenizer(path).get_vocab_size() <= 1 << 16 else 4
 
 
-def train_dictionary(docs: DataFrame, path: str, samples: int = 1000, sample_chars: int = 8000, size: int = 65536) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, samples: int = 1000, sample_ids: int = 4096, size: int = 65536) -> bytes:
     """A zstandard dictionary of serialized id arrays.
 
-    Learned on about ``samples`` documents at most, chosen by a hash of their id, of each the first
-    ``sample_chars`` characters; this bounds what comes to the driver. Where there is too little to
-    learn from, the dictionary is the raw content of the samples.
+    Learned on about ``samples`` documents at most, chosen by a hash of their id; of each it takes at most
+    ``sample_ids`` ids in a row from a place chosen by hash. This bounds what comes to the driver. Where
+    there is too little to learn from, the dictionary is the raw content of the samples.
     """
     n = max(1, docs.count())
-    some = docs.where(unit_hash(F.col("id")) < F.lit(min(1.0, samples / n))).select(F.substring("text", 1, sample_chars).alias("text"))
+    some = docs.where(unit_hash(F.col("id")) < F.lit(min(1.0, samples / n))).select("text")
     width = id_width(path)
 
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in encode(batch.column(0).to_pylist(), path, width)], pa.binary())], ["ids"])
+        for batch in small_batches(batches, "text"):
+            found = []
+            for x in encode(batch.column(0), path, width):
+                a = xxhash.xxh64_intdigest(x.tobytes()) % max(1, len(x) - sample_ids + 1)
+                found.append(x[a : a + sample_ids].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["ids"])
 
     found = sorted(r["ids"] for r in some.mapInArrow(run, "ids binary").collect())
     try:
@@ -223,8 +219,8 @@ def _writer(path: str, dictionary: bytes, segment_bytes: int, level: int):
 
         for batch in batches:
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            for a, b in slices(size, 400_000):
-                ids, texts = (batch.column(c).slice(a, b - a).to_pylist() for c in (0, 1))
+            for a, b in slices(size, 1_000_000):
+                ids, texts = batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a)
                 for i, x in zip(ids, encode(texts, path, width)):
                     frame = with_dict.compress(x)
                     at += len(frame)
@@ -245,19 +241,19 @@ def write_tokens(docs: DataFrame, to: str, tokenizer_path: str, id_col: str = "d
     """Write all documents in ascending doc_id order below the path ``to``.
 
     Null texts are empty ones and hold the end id only; documents with a null id come first;
-    repeated rows are written as often as given, rows of one id in order of their text. Further
+    repeated rows are written as often as given, rows of one id in order of a hash of their text. Further
     columns are ignored. An empty table gives a store without segments.
     """
     spark = docs.sparkSession
     rows = pick(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long"), "text")
     dictionary = train_dictionary(rows, tokenizer_path)
     schema = "mark decimal(20,0), dictionary binary"
-    import decimal
-
     spark.createDataFrame([(decimal.Decimal(xxhash.xxh64_intdigest(dictionary)), bytearray(dictionary))], schema).coalesce(1).write.parquet(f"{to}/dictionary")
-    keys = [F.col("id").asc_nulls_first()]
+    # Rows of one id, or without one, are dealt out by their text's hash, copies by where they stand.
+    keys = [F.col("id").asc_nulls_first(), "h", "at"]
+    rows = rows.select("id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at"))
     dealt = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    dealt = dealt.sortWithinPartitions(*keys, "text")
+    dealt = dealt.sortWithinPartitions(*keys).select("id", "text")
     out = dealt.mapInArrow(_writer(tokenizer_path, dictionary, segment_bytes, level), "part int, seq int, first_id long, last_id long, docs long, tokens long, segment binary")
     write_once(out, f"{to}/segments")
 
@@ -294,8 +290,6 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     for part, n in parts:
         begin[part] = total
         total += n
-    from pyspark.sql import Window
-
     within = F.sum("tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     places = segments.select("part", "seq", "tokens").withColumn("within", F.coalesce(within, F.lit(0))).drop("tokens")
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +247,19 @@ def test_tokens_round_trip(spark, odd, tmp_path):
         next(token_store.unpack(bytes(spark.read.parquet(f"{tmp_path}/s/segments").first()["segment"]), b"another"))
 
 
+def test_words_give_the_ids_of_whole_texts():
+    """Random strings of letters, digits, signs and all kinds of white space against the tokenizer itself, with a cache that overflows."""
+    path = str(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    encoder, rng = token_store.Encoder(path, 2, most=2000), random.Random(5)
+    signs = ["a", "B", "é", "ß", "日", "१", "ing", "the", "1", "23", " ", " ", " ", " ", "\t", "\n", "\n", "\r", "\xa0", "\u3000", "\u2028", "\x1c", "\x85", "\u200b", "'", "'s", "'LL", ".", ",", "!?", "-", "_", "👍", "<|endoftext|>"]
+    texts = ["a  b\tc", "a b\xa0c  d", "x\n\n\ny\tz\tw", "", None, " ", "\n"] + ["".join(rng.choices(signs, k=rng.randrange(14))) for _ in range(10_000)]
+    texts += [" ".join("".join(rng.choices(signs[:10], k=rng.randrange(1, 5))) + rng.choice(["", "", ",", ".", "!?", "'s", "\nX"]) for _ in range(rng.randrange(1, 30))) for _ in range(1000)]
+    for i in range(0, len(texts), 700):
+        some = texts[i : i + 700]
+        got = [x.tolist() for x in encoder(pa.array(some, pa.string()))]
+        assert got == [[*e.ids, 2] for e in encoder.tok.encode_batch_fast([t or "" for t in some], add_special_tokens=False)]
+
+
 # --- 10 -------------------------------------------------------------------------------------------
 
 
