@@ -20,6 +20,10 @@ TOC_LINE = r"^\d{1,3}[A-Z]{0,3}\.\s+[A-Z][^—–]{2,90}$"
 TOC_MARKER = r"(?i)ARRANGEMENT OF ARTICLES|CONTENTS"
 MENTION = r"\bArt(?:icle)?s?\.?\s+(\d{1,3}[A-Z]{0,3})\b"
 
+# Where clauses begin and sentences end (Java regex).
+CLAUSE = r"\n(?=\s*\(\d+[A-Z]?\)\s)|\n(?=\s*\([a-z]\)\s)"
+SENTENCE = r"(?<=[.;:])\s+(?=[A-Z(\"])"
+
 # Sizes of chunks in characters.
 MAX_CHUNK, TARGET, OVERLAP, MIN_USEFUL = 900, 800, 150, 120
 
@@ -62,5 +66,3 @@ INJECTION = r"(?i)ignore (all |any )?(previous|prior|above) (instructions|rules)
 OFFTOPIC = r"(?i)\b(jupiter|mars|planet|galaxy|distance from earth|recipe|cook|weather|movie|cricket score|stock price|bitcoin|python|javascript|code|script|program(ming)?|malware|hack(ing)?|exploit|password|phishing|sql injection|keylogger)\b"
 PURE_ARTICLE = r"(?i)^\s*(what is|what's|what does|explain|show( me)?|define|read|quote)?\s*(the\s+)?(article|art\.?)\s*\d{1,3}[a-z]{0,3}(\s+of the (indian )?constitution( of india)?)?\s*(say|state|mean)?\s*\??\s*$"
 FOLLOW_UP = r"(?i)\b(it|this|that|its|they|them|these|those|same|above)\b"
-
-REFUSAL = "I couldn't find this in the provided constitutional documents."

@@ -1,6 +1,5 @@
 """Cleaning, segmentation and chunking: one case for each rule that is easy to get wrong."""
 
-import random
 
 import pytest
 
@@ -69,36 +68,30 @@ def test_segmentation_carries_labels(spark, books):
     ]
 
 
-def model_pack(parts):
-    """The packing rule word for word, for comparison."""
-    out, buf = [], ""
-    for p in parts:
-        p = p.strip()
-        if p == "":
-            continue
-        if buf == "" or len(buf) + 1 + len(p) <= 800:
-            buf = p if buf == "" else buf + " " + p
-        else:
-            out.append(buf)
-            tail = buf[max(0, len(buf) - 150) :]
-            k = tail.find(". ")
-            buf = ("" if k < 0 else tail[k + 2 :]) + " " + p
-            buf = buf.strip()
-    out += [buf] if buf else []
-    res = []
-    for c in out:
-        while len(c) > 1800:
-            res.append(c[:800])
-            c = c[650:]
-        res.append(c)
-    return res
-
-
-def test_packing_against_model():
-    rng = random.Random(7)
-    for _ in range(300):
-        parts = ["".join(rng.choice("abc .") for _ in range(rng.choice([0, 5, 100, 300, 700, 900, 2500]))) for _ in range(rng.randrange(8))]
-        assert K.pack_pieces(parts) == model_pack(parts)
+def test_packing(spark):
+    """Worked cases: filling up to 800 exactly, handing on after the first sentence end, pieces alone, windows."""
+    from pyspark.sql import functions as F
+
+    a, b, c = "a" * 400, "b" * 399, "c" * 400
+    end = "x" * 700 + " first. Second. third"
+    long = "".join(chr(97 + i % 26) for i in range(3000))
+    cases = [
+        ([a, b], [f"{a} {b}"]),
+        ([a, c], [a, c]),
+        ([" ", a, "\t", "", b, "d"], [f"{a} {b}", "d"]),
+        ([end, "y" * 100], [end, "Second. third " + "y" * 100]),
+        (["z" * 640 + ". " + "w" * 150, "v" * 300], ["z" * 640 + ". " + "w" * 150, "v" * 300]),
+        (["q" * 790 + ".  ", "r" * 20], ["q" * 790 + ".", "r" * 20]),
+        (["s" * 1800, "t"], ["s" * 1800, "t"]),
+        ([long], [long[:800], long[650:1450], long[1300:]]),
+        (["u" * 1801], ["u" * 800, "u" * 1151]),
+        ([], []),
+        (["  "], []),
+    ]
+    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(cases)], "i int, p array<string>")
+    got = {r["i"]: r["c"] for r in df.select("i", K.pack(F.col("p")).alias("c")).collect()}
+    for i, (_, want) in enumerate(cases):
+        assert got[i] == want, i
 
 
 def test_pieces_at_clauses_and_sentences(spark):
