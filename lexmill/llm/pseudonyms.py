@@ -12,6 +12,8 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,9 +82,10 @@ def _number(digits: str, key: bytes, tweak: str, valid=lambda d: True, keep: int
             return head + rest
 
 
-def card(text: str, key: bytes) -> str:
-    """Numbers of 13 to 19 digits; those with a valid check digit get a valid one."""
-    return _refill(text, _number(_digits(text), key, "card", luhn), str.isdigit)
+def card(text: str, key: bytes) -> str | None:
+    """Numbers of 13 to 19 digits with a valid check digit; they get a valid one."""
+    d = _digits(text)
+    return _refill(text, _number(d, key, "card", luhn), str.isdigit) if luhn(d) else None
 
 
 def iban_ok(text: str) -> bool:
@@ -100,17 +103,28 @@ def iban(text: str, key: bytes) -> str | None:
     return _refill(text, f"{s[:2]}{check:02d}{body}", lambda c: c != " ")
 
 
+@lru_cache(maxsize=4096)
+def _alphabet(c: str) -> str:
+    """The characters that one may stand for: digits, small or capital letters of ASCII; beyond it those of
+    its category in its run of 128 code points that lower case leaves as they are. None for other ASCII signs.
+    """
+    if ord(c) < 128:
+        return next((k for k in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in k), "")
+    kind, low = unicodedata.category(c), ord(c) & ~127
+    found = "".join(x for x in map(chr, range(low, low + 128)) if unicodedata.category(x) == kind and x.lower() == x)
+    return found if c in found else ""
+
+
 def mixed(text: str, key: bytes, tweak: str, letters: str = "") -> str:
-    """Letters and digits permuted within their kinds at each place; the rest stays."""
-    kinds = [letters] if letters else ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
-    at = [(i, next((k for k in kinds if c in k), None)) for i, c in enumerate(text)]
+    """Characters permuted within their alphabets at each place; the rest stays. One to one among texts of one shape."""
+    at = [(i, letters if c in letters else "" if letters else _alphabet(c)) for i, c in enumerate(text)]
     at = [(i, k) for i, k in at if k]
     x, n = 0, 1
     for i, k in at:
         x, n = x * len(k) + k.index(text[i]), n * len(k)
     if n == 1:
         return text
-    shape = "".join(str(len(k)) for _, k in at)
+    shape = "".join(k[0] if k else c for c, k in ((c, letters if c in letters else "" if letters else _alphabet(c)) for c in text))
     y = permute(x, n, key, tweak + shape)
     out = list(text)
     for i, k in reversed(at):
@@ -123,13 +137,10 @@ def email(text: str, key: bytes) -> str:
     """Local part and host names but the last are permuted by character, in lower case's sense of equal."""
     name, host = text.rsplit("@", 1)
     host, last = host.rsplit(".", 1)
-    low = f"{name}@{host}".lower()
-    out = mixed(low, key, "email")
-    if any(ord(c) > 127 for c in name):  # letters outside the alphabet have no order to permute in
-        plain = hashlib.blake2b(low.encode(), key=key, digest_size=8).hexdigest()
-        out = plain[: max(3, len(name))] + out[out.rindex("@") :]
-    if len(out) == len(low):
-        out = "".join(c.upper() if g.isupper() else c for c, g in zip(out, f"{name}@{host}"))
+    given = f"{name}@{host}"
+    out = mixed(given.lower(), key, "email")
+    if len(out) == len(given):
+        out = "".join(c.upper() if g.isupper() and c.upper().lower() == c else c for c, g in zip(out, given))
     return f"{out}.{last}"
 
 
@@ -213,13 +224,13 @@ def _replace(key: bytes):
     return run
 
 
-def pseudonymised(docs: DataFrame, key: bytes = b"lexmill", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (doc_id, text, n_replaced, kinds), values of personal data replaced by pseudonyms.
 
     Texts without a value are returned as they are; null texts stay null with nothing replaced. Values that look
-    like one kind but are not valid (addresses with parts over 255, impossible days) stay. Rows with a
-    null id and repeated rows are treated like others; further columns are ignored. Pass a secret
-    ``key`` of up to 64 bytes.
+    like one kind but are not valid (card numbers without their check digit, addresses with parts over 255, impossible
+    days) stay. Whole texts are searched, however long. Rows with a null id and repeated rows are treated like others;
+    further columns are ignored; an empty table gives an empty result. Pass a secret ``key`` of up to 64 bytes.
     """
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(_replace(key), "doc_id long, text string, n_replaced long, kinds array<string>")

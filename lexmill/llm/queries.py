@@ -10,6 +10,10 @@ from . import decontamination, embedding_dedup, html_extract, jaccard, language_
 from .common import shared_dir
 
 
+#: Not a secret: with real data pass a key of your own to ``pseudonyms.pseudonymised``.
+PSEUDONYM_KEY = b"lexmill"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,7 +42,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymised(_table(spark, sf_dir, "documents"))
+    return pseudonyms.pseudonymised(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
