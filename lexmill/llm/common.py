@@ -26,11 +26,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local mode) a folder of our own is made and set.
+    Only in local mode, as in tests, a folder of our own is made and set where that is unset; elsewhere it must be set.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lexmill-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -74,41 +76,46 @@ def unit_hash(*cols: Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def pair_minimum(edges: DataFrame) -> DataFrame:
-    """Per vertex ``u`` of symmetric ``edges(u, v)``: m = the least of itself and its neighbours.
+def least_neighbours(edges: DataFrame) -> DataFrame:
+    """(id, component) of the vertices of ``edges(u, v)``: the least neighbour of the least neighbour, themselves included.
 
-    Partial minima are built before the shuffle, so a hub costs each task one row.
+    Vertices of one component only share a value; stars have one value. Partial minima are built before the
+    shuffle, so a hub costs each task one row.
     """
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(least, "cc")
+    jumped = least.join(least.toDF("m", "component"), "m").select(F.col("u").alias("id"), "component")
+    jumped = materialize(jumped, "cc")
+    discard(least)
+    return jumped
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of ``edges(a, b)`` of longs as ``(id, component)``, component = least id.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014). Every step is a
-    minimum with map-side combine and a join whose large side may be split when skewed; each
-    round is written to the shared folder. Vertices without an edge are not returned; self
-    loops and repeated edges are ignored; an empty table gives an empty result.
+    By contraction: in each round every vertex goes over to the least neighbour of its least neighbour, and edges
+    are kept between what is left. Every step is a minimum with map-side combine or a join with unique keys on one
+    side, whose other side may be split when skewed; each round is written to the shared folder. Vertices without an
+    edge are not returned; self loops and repeated edges are ignored; an empty table gives an empty result.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    e = materialize(e, "cc")
-    for _ in range(max_rounds):
-        # Settled: every vertex has one lower neighbour at most, and that one has none.
-        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
-            e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        if ends.where("up > 1 or (up = 1 and down = 1)").isEmpty():
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(pair_minimum(both), "cc")
-        last = e
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u != v"), "cc")
-        joined = large.join(pair_minimum(large), "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        e = materialize(small.where("u != v").distinct(), "cc")
-        discard(last, least, large)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc")
+    rounds: list[DataFrame] = []
+    while not e.isEmpty():
+        if len(rounds) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        labels = least_neighbours(e)
+        rounds.append(labels)
+        left = e.join(labels.toDF("u", "x"), "u").join(labels.toDF("v", "y"), "v").where("x <> y")
+        after = materialize(left.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc")
+        discard(e)
+        e = after
+    if not rounds:
+        return e.toDF("id", "component")
+    # Names of the first round's vertices, by way of what each later round, which has far fewer, made of them.
+    whole = rounds.pop()
+    while rounds:
+        later = whole.toDF("component", "_end")
+        whole = rounds.pop().join(later, "component", "left").select("id", F.coalesce("_end", "component").alias("component"))
+        whole = materialize(whole, "cc")
+    return whole

@@ -12,9 +12,10 @@ A document is the set of its distinct k-word shingles; two documents link when
    size that a partner of each admissible size must share; equal subsets are links without
    further check.
 4. *Heavy* sets, and light ones near enough in size to have a heavy partner, scan inverted
-   lists over a rarest-first prefix. In each round every list compares its members with a few
-   pivots, which then leave the list; links found are merged into components, and only pairs in
-   different components that place and parity filters let through are compared at the end.
+   lists over a rarest-first prefix. Members leave a list where too little of them follows the element
+   for its smallest set. In each round every list compares its members with a few
+   pivots, which then leave the list; sets found to be connected need not be compared again, and only
+   pairs that place and parity filters let through are compared at the end.
 5. Components are labelled by their least document id.
 """
 
@@ -28,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize, pick
+from .common import connected_components, discard, least_neighbours, materialize, pick
 from .hashing import mix, shingle_sets, slices, small_batches
 
 #: Light sets are at most this large whatever the cost estimate says.
 LIGHT_MOST = 40
-#: Pivots of a list in each round, and rounds at most before what is left is compared pair by pair.
+#: Pivots of a list in each round, and rounds at most before what is left is compared pair by pair; it is, too, when
+#: a round has not halved the open pairs.
 PIVOTS = 3
 ROUNDS = 4
+#: Elements kept with a row of a list to tell whether a pair has met before.
+LAST = 8
 #: Open pairs for each row of the lists up to which comparing them all is cheap: the filters need no sets.
 CHEAP = 32
 
@@ -161,16 +165,17 @@ def _subsets(boundary: int, threshold: int):
 
 
 def _heads(threshold: int):
-    """Rarest-first prefixes as rows (e, place, id, n, s, bits); elements in one set only come first and are in no list.
+    """Rarest-first prefixes as rows (e, place, id, n, s, bits, last); elements in one set only come first and are in no list.
 
     ``place`` is the element's place in the whole order, ``s`` the number of elements that are in
-    other sets too, ``bits`` their parities by hash in four longs.
+    other sets too, ``bits`` their parities by hash in four longs, ``last`` the elements whose lists come just before.
     """
 
     def run(batches):
         for batch in batches:
             out = ([], [], [], [], [])
             bits: list[list[np.ndarray]] = [[], [], [], []]
+            last, length = [], []
             for i, n, packed in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "es"))):
                 e = np.frombuffer(packed, np.int64)
                 alone = n - len(e)
@@ -182,8 +187,13 @@ def _heads(threshold: int):
                     x.append(v)
                 for x, v in zip(bits, parity):
                     x.append(np.full(size, v))
-            cols = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (*out, *bits)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["e", "place", "id", "n", "s", "b0", "b1", "b2", "b3"])
+                some = np.minimum(np.arange(size), LAST)
+                length.append(some)
+                last.append(e[np.repeat(np.arange(size) - np.cumsum(some), some) + np.arange(some.sum())])
+            cols = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (*out, *bits, last, length)]
+            ends = pa.array(np.concatenate([[0], np.cumsum(cols.pop())]), pa.int32())
+            before = pa.ListArray.from_arrays(ends, pa.array(cols.pop()))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), before], ["e", "place", "id", "n", "s", "b0", "b1", "b2", "b3", "last"])
 
     return run
 
@@ -270,39 +280,58 @@ def _edges_of_distinct(sets: DataFrame, threshold: int) -> DataFrame:
 
     # Both of a pair may be light only where subsets have been enumerated for it.
     reach = F.col("n") * 100 >= F.lit(threshold * (boundary + 1))
-    columns = "e long, place long, id long, n long, s long, b0 long, b1 long, b2 long, b3 long"
+    columns = "e long, place long, id long, n long, s long, b0 long, b1 long, b2 long, b3 long, last array<long>"
     lists = materialize(sets.where(reach).mapInArrow(_heads(threshold), columns), "lists")
     heavy = F.greatest("na", "nb") > F.lit(boundary)
-    now = lists.withColumn("part", F.col("id"))
+    now = _alive(lists.withColumn("part", F.col("id")), threshold)
+    before = None
     for turn in range(ROUNDS):
         if turn:
-            parts = connected_components(edges)
-            every, now = lists, materialize(lists.join(parts, "id", "left").select(*lists.columns, F.coalesce("component", "id").alias("part")), "lists")
-            # Pairs still open in a list: all, less those within one component.
-            each = now.groupBy("e", "part").agg(F.count("*").cast("double").alias("c")).groupBy("e").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            each = materialize(each.where("m * m > q"), "lists")
-            todo = each.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0)).alias("p"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("m")).first()
-            discard(every)
+            # Sets known to be connected: not whole components, but what one step over the links shows.
+            parts = least_neighbours(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            every, now = lists, _alive(lists.join(parts, "id", "left").select(*lists.columns, F.coalesce("component", "id").alias("part")), threshold)
+            todo = now.agg(F.coalesce(F.sum("others"), F.lit(0.0)).alias("p"), F.count("*").alias("m")).first()
+            discard(every, parts)
             if not todo["p"]:
                 return edges
-            now = now.join(each.select("e"), "e")
-            if todo["p"] <= CHEAP * todo["m"] or turn == ROUNDS - 1:
+            if todo["p"] <= CHEAP * todo["m"] or before is not None and 2 * todo["p"] > before:
                 break
-        order = lambda k: F.min(F.struct(F.xxhash64("id", F.lit(PIVOTS * turn + k)).alias("h"), *[c for c in now.columns if c != "e"]))  # noqa: B023, E731
-        pivots = now.groupBy("e").agg(F.array_distinct(F.array(*[order(k) for k in range(PIVOTS)])).alias("p"), F.count("*").alias("c")).where("c > 1")
-        pivots = materialize(pivots.select("e", F.explode("p").alias("p")).select("e", *[F.col(f"p.{c}").alias(c) for c in now.columns if c != "e"]), "pivots")
+            before = todo["p"]
+        # Sets with the least share before a list's element are the likeliest partners of its others: the first of all
+        # members, and of parts of them by hash.
+        fields = ["id", "place", "n", "s", "b0", "b1", "b2", "b3", "part"]
+        order = F.struct(F.col("place") / F.col("n"), F.xxhash64("id"))
+        lot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(PIVOTS))
+        least = [F.min_by(F.struct(*fields), order), *(F.min_by(F.when(lot == k, F.struct(*fields)), F.when(lot == k, order)) for k in range(1, PIVOTS))]
+        pivots = now.groupBy("e").agg(F.array_distinct(F.array_compact(F.array(*least))).alias("p"))
+        pivots = materialize(pivots.select("e", F.explode("p").alias("p")).select("e", *[F.col(f"p.{c}").alias(c) for c in fields]), "pivots")
         met = _side(now, "a").join(_side(pivots, "b"), "e").where("parta <> partb").where(_may_link(threshold) & heavy)
         pairs = materialize(met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs")
         edges = materialize(edges.unionByName(_linked(pairs, sets, threshold)), "edges")
-        # A pivot has met all members of its list. Lists of one member have no pivot and end here.
+        # A pivot has met all members of its list.
         gone = pivots.groupBy("e").agg(F.collect_set("id").alias("gone"))
-        lists = materialize(now.drop("part").join(gone, "e").where(~F.array_contains("gone", F.col("id"))).drop("gone"), "lists")
-        discard(pivots, pairs)
-    met = _side(now, "a").join(_side(now, "b"), "e").where("ida < idb and parta <> partb").where(_may_link(threshold) & heavy)
+        lists = materialize(now.select(lists.columns).join(gone, "e").where(~F.array_contains("gone", F.col("id"))).drop("gone"), "lists")
+        discard(pivots, pairs, now)
+    # A pair that shares one of the elements just before has met in that one's list.
+    again = F.arrays_overlap("lasta", "lastb")
+    met = _side(now, "a").join(_side(now, "b"), "e").where("ida < idb and parta <> partb").where(_may_link(threshold) & heavy & ~again)
     pairs = materialize(met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs")
     return materialize(edges.unionByName(_linked(pairs, sets, threshold)), "edges")
 
 
+def _alive(lists: DataFrame, threshold: int) -> DataFrame:
+    """The rows of lists that can still have a partner in their list, with ``others``: half the members in other parts, on average.
+
+    What follows the element must be enough for the smallest set of the list, or the smallest partner that the size admits.
+    """
+    each = lists.groupBy("e", "part").agg(F.count("*").alias("c"), F.min("n").alias("low"))
+    each = each.groupBy("e").agg(F.sum("c").alias("members"), F.sum(F.col("c").cast("double") * F.col("c")).alias("q"), F.count("*").alias("parts"), F.min("low").alias("low")).where("parts > 1")
+    smallest = F.greatest("low", F.ceil(F.lit(threshold) * F.col("n") / F.lit(100)))
+    need = F.ceil(F.lit(threshold) * (F.col("n") + smallest) / F.lit(100 + threshold))
+    kept = lists.join(each, "e").where(F.col("n") - F.col("place") >= need)
+    return materialize(kept.select(*lists.columns, ((F.col("members") - F.col("q") / F.col("members")) / 2).alias("others")), "lists")
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (doc_id, n_shingles, component_id).
 
@@ -353,12 +382,19 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85, id_col:
 
 
 def one_of_each(docs: DataFrame, k: int = 4, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the least of their component, with their columns; of rows with one id one, the least.
+    """The documents that are the least of their component, with all their columns; of rows with one id one, the least.
 
-    Rows with a null id stay.
+    Rows with a null id and those with a null or blank text, which link with nothing, stay; an empty table gives an
+    empty result. Columns whose names clash are kept apart.
     """
     found = jaccard_components(docs, k, threshold, id_col, text_col).where("doc_id is not null")
     ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component")), "ids")
-    out = docs.join(ids.where("n > 1 or component <> doc_id").select(F.col("doc_id").alias("_gone")).hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")
-    several = docs.join(ids.where("n > 1 and component = doc_id").select(F.col("doc_id").alias("_kept")), F.col(id_col) == F.col("_kept"), "left_semi")
-    return out.unionByName(several.groupBy(id_col).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+    names = docs.columns
+    flat = [f"_c{i}" for i in range(len(names))]
+    rows, key = docs.toDF(*flat), flat[names.index(id_col)]
+    gone = ids.where("n > 1 or component <> doc_id").select(F.col("doc_id").alias("_id")).hint("merge")
+    kept = ids.where("n > 1 and component = doc_id").select(F.col("doc_id").alias("_id"))
+    out = rows.join(gone, F.col(key).cast("long") == F.col("_id"), "left_anti")
+    several = rows.join(kept, F.col(key).cast("long") == F.col("_id"), "left_semi")
+    several = several.groupBy(F.col(key).cast("long").alias("_id")).agg(F.min(F.struct(*flat)).alias("_row")).select("_row.*")
+    return out.unionByName(several).toDF(*names)
