@@ -3,8 +3,10 @@
 One model for each language, over the letters of words with a boundary on either side. The model
 of a language is, for each order, a sorted array of 64-bit n-gram hashes with log probabilities and
 back-off weights; the arrays of all languages are merged, so that one binary search serves all. A text
-is in the language with the lowest cross-entropy per symbol; it is rejected where that lies above
-what held-back training texts of that language show. Scores of words are kept while a task runs.
+is in the language with the lowest cross-entropy per symbol. It is rejected where no language explains its words: where the
+cross-entropy of its distinct words, each by its own best language, lies ``DEVIATIONS`` standard deviations above the mean
+of held-back texts of its language. Whatever the distribution, at most one in 1 + DEVIATIONS ** 2 texts of
+a learned language lies so far out (Cantelli's inequality). Scores of words are kept while a task runs.
 """
 
 from __future__ import annotations
@@ -13,13 +15,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import bucket_of, pick, unit_hash
+from .common import bucket_of, discard, materialize, pick, unit_hash
 from .hashing import mix, slices, small_batches
 
 ORDER = 5
+#: A false-rejection rate of 1 in 101 at most; texts of a language by a model of another lie more than 15 out.
+DEVIATIONS = 10
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -155,7 +161,8 @@ class Models:
                 i = np.searchsorted(keys, part[x][1])
                 prob[i, j], back[i, j] = part[x][2], part[x][3]
             self.keys[n], self.prob[n], self.back[n] = keys, prob, back
-        self.cut = np.inf
+        # Mean of held-back texts, variance between texts and variance of one symbol, by language.
+        self.mean, self.between, self.within = (np.full(len(self.languages), v) for v in (0.0, np.inf, 0.0))
         self._codes: dict[str, int] = {}
         self._table = np.empty((0, len(self.languages)), np.float32)
         self._size = np.empty(0, np.float32)
@@ -183,8 +190,8 @@ class Models:
         return np.add.reduceat(score, first)
 
     def entropies(self, texts: list[str | None], most: int = 150_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cross-entropy per symbol of each text by language, the number of symbols (0: no letter), and the
-        cross-entropy where every word is scored by its own best language.
+        """Cross-entropy per symbol of each text by language, and the number of symbols of its distinct words (0: no
+        letter) with their cross-entropy where each is scored by its own best language.
         """
         if len(self._codes) > most:
             self._codes, self._table = {}, self._table[:0]
@@ -199,14 +206,19 @@ class Models:
             self._table = np.concatenate([self._table, fresh])
             self._size = np.concatenate([self._size[:known], size])
         total = np.zeros((len(texts), len(self.languages)))
-        n, best = np.zeros(len(texts)), np.zeros(len(texts))
+        n, m, best = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
         for k, r in enumerate(rows):
             if r:
-                words = self._table[np.array(r)]
-                total[k] = words.sum(0, dtype=np.float64)
-                best[k] = words.max(1).sum(dtype=np.float64)
-                n[k] = self._size[np.array(r)].sum(dtype=np.float64)
-        return -total / np.maximum(n, 1)[:, None], n, -best / np.maximum(n, 1)
+                each, count = np.unique(np.array(r), return_counts=True)
+                words, size = self._table[each].astype(np.float64), self._size[each].astype(np.float64)
+                total[k], n[k] = count @ words, count @ size
+                best[k], m[k] = words.max(1).sum(), size.sum()
+        return -total / np.maximum(n, 1)[:, None], m, -best / np.maximum(m, 1)
+
+    def rejected(self, language: np.ndarray, n: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Whether texts of these languages, symbols and cross-entropies are unlike any; without a letter they are."""
+        spread = self.between[language] + self.within[language] / np.maximum(n, 1)
+        return (n == 0) | (low - self.mean[language] > DEVIATIONS * np.sqrt(spread))
 
     def __getstate__(self):
         return self.__dict__ | {"_codes": {}, "_table": self._table[:0]}
@@ -216,7 +228,8 @@ def train(docs: DataFrame, docs_per_language: int = 400, hold: int = 5) -> Model
     """Models learned from ``docs(id, text, lang)``, rows without a language or an id left out.
 
     Bounds: about ``docs_per_language`` documents of each language are learned from, chosen by a
-    hash of id and text; one in ``hold`` of them is held back to calibrate rejection.
+    hash of id and text; one in ``hold`` of them is held back to calibrate rejection, of which two numbers each come to
+    the driver. A row for each language comes to the driver, so ``lang`` must name languages.
     """
     known = docs.where("lang is not null and text is not null and id is not null")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -224,34 +237,38 @@ def train(docs: DataFrame, docs_per_language: int = 400, hold: int = 5) -> Model
         return None
     share = F.create_map(*[F.lit(v) for x, c in sizes.items() for v in (x, min(1.0, docs_per_language / c))])
     some = known.where(unit_hash(F.col("id"), F.col("text")) < share[F.col("lang")])
+    some = materialize(some.select("lang", "text", (unit_hash(F.col("id"), F.col("text"), seed=1) * hold < 1).alias("back")), "learn")
 
     def fit(key, table):
-        texts = sorted(t for t in table["text"].to_pylist())
-        learn = [t for i, t in enumerate(texts) if i % hold] or texts
-        out = train_language(learn)
-        n = len(out)
-        columns = {"lang": [key[0].as_py()] * n, "n": [x[0] for x in out], "keys": [x[1].tobytes() for x in out], "prob": [x[2].tobytes() for x in out], "back": [x[3].tobytes() for x in out], "held": ["\x00".join(texts[::hold])] * n}
-        kinds = {"lang": pa.string(), "n": pa.int64(), "keys": pa.binary(), "prob": pa.binary(), "back": pa.binary(), "held": pa.string()}
+        learn = table.filter(pc.invert(table["back"]))
+        out = train_language(sorted((learn if learn.num_rows else table)["text"].to_pylist()))
+        columns = {"lang": [key[0].as_py()] * len(out), "n": [x[0] for x in out], "keys": [x[1].tobytes() for x in out], "prob": [x[2].tobytes() for x in out], "back": [x[3].tobytes() for x in out]}
+        kinds = {"lang": pa.string(), "n": pa.int64(), "keys": pa.binary(), "prob": pa.binary(), "back": pa.binary()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})
 
-    rows = some.select("lang", "text").groupBy("lang").applyInArrow(fit, "lang string, n long, keys binary, prob binary, back binary, held string").collect()
+    rows = some.groupBy("lang").applyInArrow(fit, "lang string, n long, keys binary, prob binary, back binary").collect()
     trained: dict[str, list] = {}
-    held: dict[str, list[str]] = {}
     for r in rows:
         trained.setdefault(r["lang"], []).append((r["n"], np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["prob"]), np.frombuffer(r["back"])))
-        held[r["lang"]] = r["held"].split("\x00")
     if not trained:
+        discard(some)
         return None
     models = Models(trained)
-    # Rejected is what no language explains, even word by word: a whole unit above every held-back text
-    # and ten deviations above their mean. Texts in several languages are none of that.
-    cuts = [np.inf]
-    for texts in held.values():
-        _, n, low = models.entropies(texts)
-        low = low[n >= 20]
-        if len(low) >= 5:
-            cuts.append(max(low.max() + 1, low.mean() + 10 * low.std()))
-    models.cut = max(cuts[1:], default=np.inf)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def score(batches):
+        for batch in small_batches(batches, "text"):
+            _, n, low = shared.value.entropies(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n), pa.array(low)], ["lang", "n", "low"])
+
+    held = some.where("back").select("lang", "text").mapInArrow(score, "lang string, n double, low double").collect()
+    for j, x in enumerate(models.languages):
+        n, low = np.array([(r["n"], r["low"]) for r in held if r["lang"] == x and r["n"] >= 20]).reshape(-1, 2).T
+        if len(n) >= 5:
+            off = (low - low.mean()) ** 2
+            models.mean[j], models.between[j] = low.mean(), off.mean()
+            models.within[j] = (off * n)[n <= np.median(n)].mean()
+    discard(some)
     return models
 
 
@@ -267,10 +284,10 @@ def _predict(models, sharpness: float):
                     h, n, low = m.entropies(texts[a:b])
                     best = h.argmin(1)
                     odds = np.exp(-sharpness * (h - h.min(1)[:, None]))
-                    none = n == 0
+                    none = n == 0  # no letter
                     lang = [UNKNOWN if z else m.languages[k] for z, k in zip(none, best)]
                     score = np.where(none, 0.0, 1 / odds.sum(1))
-                    reject = none | (low > m.cut)
+                    reject = m.rejected(best, n, low)
                 keep = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(keep.columns + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(reject, pa.bool_())], [*keep.schema.names, "lang_pred", "score", "rejected"])
 
@@ -285,7 +302,8 @@ def identify(docs: DataFrame, learn_mod: int = 4, hold_out: int = 2, sharpness:
     letter or nothing could be learned; ``score`` is the winner's share in [0, 1] (0 for ``und``);
     ``rejected`` marks ``und`` and texts too unlike their language. Whole texts are scored; copies,
     repeated rows and equal scores give equal results (ties go to the first language by name). Rows with
-    a null id are predicted too and count as not held out. Further columns are ignored.
+    a null id are predicted too and count as not held out. Texts of any length are scored whole. Further columns are ignored; an
+    empty table gives an empty result.
     """
     given = pick(docs, id_col, text_col, lang_col).toDF("id", "text", "lang")
     held = F.coalesce(bucket_of(F.col("id"), learn_mod) == hold_out, F.lit(False))
@@ -295,16 +313,23 @@ def identify(docs: DataFrame, learn_mod: int = 4, hold_out: int = 2, sharpness:
 
 
 def accepted(docs: DataFrame, learn_mod: int = 4, hold_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that ``identify`` does not reject, with their columns, in one pass over the texts."""
+    """The documents that ``identify`` does not reject, with all their columns, in one pass over the texts.
+
+    Null texts and those without a letter go; repeated rows stay as often as given, rows with a null id are judged like
+    others; where nothing could be learned all go; an empty table gives an empty result.
+    """
     given = pick(docs, id_col, text_col, lang_col).toDF("id", "text", "lang")
     held = F.coalesce(bucket_of(F.col("id"), learn_mod) == hold_out, F.lit(False))
     models = docs.sparkSession.sparkContext.broadcast(train(given.where(~held)))
-    at, docs_text = docs.columns.index(text_col), text_col
+    names = docs.columns
+    flat = [f"_c{i}" for i in range(len(names))]
+    at = names.index(text_col)
 
     def run(batches):
-        for batch in small_batches(batches, docs_text):
+        for batch in small_batches(batches, flat[at]):
             texts = pa.RecordBatch.from_arrays([batch.column(at)], ["text"])
             keep = [not v for part in _predict(models, 8.0)([texts]) for v in part.column("rejected").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    kept = StructType([StructField(f, k.dataType) for f, k in zip(flat, docs.schema)])
+    return docs.toDF(*flat).mapInArrow(run, kept).toDF(*names)
