@@ -251,7 +251,8 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.93, id_col: st
         cols = ["label", "list", "qb", "db", "side", "home", "node", "w", "miss", "codes", "vec"]
         query = placed.select("*", some("nq", 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("db"), F.lit(0).alias("side")).select(cols)
         data = placed.where("list = home").select("*", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), some("nd", 2).alias("db"), F.lit(1).alias("side")).select(cols)
-        met = query.unionByName(data).groupBy("label", "list", "qb", "db").applyInArrow(_compare(quantiser, threshold, reach, kind), "node long, links long, other long")
+        # By all four, so that the blocks of a large list go to many tasks.
+        met = query.unionByName(data).repartition("label", "list", "qb", "db").groupBy("label", "list", "qb", "db").applyInArrow(_compare(quantiser, threshold, reach, kind), "node long, links long, other long")
         met = materialize(met, "met")
         links = met.groupBy("node").agg(F.sum("links").alias("links"))
         parts_ = connected_components(met.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(_same_id(rows)))
