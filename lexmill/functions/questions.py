@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from .. import params
 from .text import stripped
 
-_TENS = "twenty|thirty|forty|fifty"
+_TENS = "|".join(w for w, n in params.NUMBER_WORDS.items() if n >= 20)
 _UNITS = "|".join(params.NUMBER_WORDS)
+RANGE, SEPARATOR, NUMBER = r"(?i)^(\d{1,4})\s*(?:to|-)\s*(\d{1,4})$", r"(?i)\s*(?:,|and|&)\s*", r"(?i)^\d{1,4}[a-z]{0,3}$"
 #: One article in words: the tens, a separator only before units, the units.
 NUMBER_PHRASE = rf"(?i)\barticle\s+(?:({_TENS})(?:[-\s]({_UNITS}))?|({_UNITS}))\b"
+# Lists and ranges of article numbers.
 ARTICLE_LIST = r"(?i)\b(?:articles?|arts?\.?)\s*((?:\d{1,4}[a-z]{0,3})(?:\s*(?:,|and|&|to|-)\s*\d{1,4}[a-z]{0,3})*)"
 
 
@@ -41,14 +43,13 @@ def extract_articles(q: Column) -> Column:
     lists = F.regexp_extract_all(words_to_numbers(q), F.lit(ARTICLE_LIST), F.lit(1))
 
     def numbers(part: Column) -> Column:
-        a = F.regexp_extract(part, r"(?i)^(\d{1,4})\s*(?:to|-)\s*(\d{1,4})$", 1)
-        b = F.regexp_extract(part, r"(?i)^(\d{1,4})\s*(?:to|-)\s*(\d{1,4})$", 2)
+        a, b = F.regexp_extract(part, RANGE, 1), F.regexp_extract(part, RANGE, 2)
         low, high = a.try_cast("int"), b.try_cast("int")
         span = F.when((high > low) & (high - low <= 12), F.transform(F.sequence(low, high), lambda i: i.cast("string"))).otherwise(F.array(a))
-        one = F.when(part.rlike(r"(?i)^\d{1,4}[a-z]{0,3}$"), F.array(F.upper(part))).otherwise(F.array().cast("array<string>"))
+        one = F.when(part.rlike(NUMBER), F.array(F.upper(part))).otherwise(F.array().cast("array<string>"))
         return F.when(a != "", span).otherwise(one)
 
-    return F.array_distinct(F.flatten(F.transform(lists, lambda s: F.flatten(F.transform(F.split(s, r"(?i)\s*(?:,|and|&)\s*"), numbers)))))
+    return F.array_distinct(F.flatten(F.transform(lists, lambda s: F.flatten(F.transform(F.split(s, SEPARATOR), numbers)))))
 
 
 def concept_hits(q: Column, concepts=params.CONCEPTS) -> Column:

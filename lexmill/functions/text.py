@@ -32,7 +32,7 @@ def line_key(line: Column) -> Column:
 
 def normalise(text: Column, compat: bool = True) -> Column:
     """NFKC, no soft hyphens or zero-width signs, hyphenated words joined, blanks squeezed."""
-    t = nfkc(text) if compat else text
+    t = F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text) if compat else text
     t = F.regexp_replace(t, r"[\u00ad\u200b\ufeff]", "")
     t = F.regexp_replace(t, r"(?U)(\w)-\n(\w)", "$1$2")
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n")
@@ -53,8 +53,12 @@ def mostly_devanagari(text: Column) -> Column:
 
 def stem(t: Column) -> Column:
     """One suffix off; words that begin with a digit or are shorter than five stay."""
-    cut = F.when(t.endswith("ies"), F.regexp_replace(t, "ies$", "y")).otherwise(F.regexp_replace(t, "(ments|ment|ings|ing|edly|ed|es|s)$", ""))
-    return F.when(t.rlike("^[0-9]") | (F.length(t) < 5), t).otherwise(cut)
+    less = lambda n: t.substr(F.lit(1), F.length(t) - n)
+    cut = F.when(t.endswith("ies"), F.concat(less(3), F.lit("y")))
+    for suffix in params.SUFFIXES:
+        cut = cut.when(t.endswith(suffix), less(len(suffix)))
+    digit = (t >= "0") & (t < ":")  # the sign after 9
+    return F.when(digit | (F.length(t) < 5), t).otherwise(cut.otherwise(t))
 
 
 def tokens(text: Column, compat: bool = False) -> Column:
@@ -65,8 +69,7 @@ def tokens(text: Column, compat: bool = False) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     t = nfkc(t) if compat else t
     words = F.split(F.regexp_replace(t, "[^a-z0-9ऀ-ॿ]+", " "), " ")
-    stop = F.array(*[F.lit(w) for w in params.STOP_WORDS])
-    return F.transform(F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)), stem)
+    return F.transform(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(params.STOP_WORDS)), stem)
 
 
 def coverage(query: Column, text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import quote_support, stripped
 
+# Citation markers, quotes and named articles in answers.
 MARK = r"\[(\d{1,2})\]"
 QUOTED = r"[\"“]([^\"”]{20,})[\"”]"
 NAMED = r"(?i)\bArticles?\s+(\d{1,3}[A-Z]{0,3})\b"

@@ -12,20 +12,24 @@ from ..functions.text import tokens
 SMALL = 200_000
 
 
-def postings(chunks: DataFrame, text="text", compat: bool = False) -> DataFrame:
-    """(term, chunk_id, tf, len) of ``chunks(id, text)``: terms are counted inside the row before anything moves."""
-    rows = chunks.select(F.col("id").alias("chunk_id"), tokens(F.col(text), compat).alias("toks"))
-    rows = rows.select("chunk_id", F.size("toks").alias("len"), "toks", F.explode(F.array_distinct("toks")).alias("term"))
-    return rows.select("term", "chunk_id", F.size(F.filter("toks", lambda t: t == F.col("term"))).alias("tf"), "len")
-
-
 def postings_counted(chunks: DataFrame, text="text", compat: bool = False) -> DataFrame:
-    """As ``postings``, by a group on chunk and term: better for long texts, where counting inside the row is quadratic."""
+    """(term, chunk_id, tf, len) of ``chunks(id, text)``, by a group on chunk and term with partial counts before the shuffle."""
     rows = chunks.select(F.col("id").alias("chunk_id"), tokens(F.col(text), compat).alias("toks"))
     rows = rows.select("chunk_id", F.size("toks").alias("len"), F.explode("toks").alias("term"))
     return rows.groupBy("term", "chunk_id", "len").agg(F.count("*").cast("int").alias("tf")).select("term", "chunk_id", "tf", "len")
 
 
+def index(chunks: DataFrame, text="text", compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) of ``postings_counted`` and ``corpus_stats``; every text is tokenised once, and both are stored."""
+    from ..plans.stages import stage
+
+    rows = stage(chunks.select(F.col("id").alias("chunk_id"), tokens(F.col(text), compat).alias("toks")))
+    stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("toks")), F.lit(0.0)).alias("avgdl"))
+    terms = rows.select("chunk_id", F.size("toks").alias("len"), F.explode("toks").alias("term"))
+    post = terms.groupBy("term", "chunk_id", "len").agg(F.count("*").cast("int").alias("tf")).select("term", "chunk_id", "tf", "len")
+    return stage(post), stage(stats)
+
+
 def corpus_stats(chunks: DataFrame, text="text", compat: bool = False) -> DataFrame:
     """One row (n, avgdl); chunks without tokens count."""
     return chunks.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(tokens(F.col(text), compat))), F.lit(0.0)).alias("avgdl"))
@@ -58,7 +62,10 @@ def search(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int = param
     """
     from ..plans.sizes import small
 
-    terms = weighted_terms(query_terms(queries, text), document_frequency(post), stats)
+    asked = query_terms(queries, text)
+    # Document frequencies are counted for the query's terms only.
+    wanted = small(asked.select("term").distinct(), SMALL)
+    terms = weighted_terms(asked, document_frequency(post.join(wanted, "term", "left_semi")), stats)
     terms = small(terms.select("query_id", "term", "tpos", "idf", "avgdl"), SMALL)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl"))
     part = F.col("idf") * (F.col("tf") * (k1 + 1) / norm)
@@ -70,7 +77,11 @@ def search(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int = param
 
 def ideal_score(queries: DataFrame, post: DataFrame, stats: DataFrame, k1: float = params.K1, text="question") -> DataFrame:
     """(query_id, ideal): half the greatest score that a query's distinct terms allow; 0 without tokens."""
-    terms = weighted_terms(query_terms(queries, text), document_frequency(post), stats)
+    from ..plans.sizes import small
+
+    asked = query_terms(queries, text)
+    wanted = small(asked.select("term").distinct(), SMALL)
+    terms = weighted_terms(asked, document_frequency(post.join(wanted, "term", "left_semi")), stats)
     parts = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("tpos", (F.col("idf") * (k1 + 1) * 0.5).alias("w")))).alias("ws"))
     parts = parts.select("query_id", F.aggregate("ws", F.lit(0.0), lambda acc, x: acc + x["w"]).alias("ideal"))
     return queries.select("query_id").join(parts, "query_id", "left").select("query_id", F.coalesce("ideal", F.lit(0.0)).alias("ideal"))

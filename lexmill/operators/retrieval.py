@@ -55,9 +55,16 @@ def fuse(lists: list[DataFrame], k: int = params.RRF_K) -> DataFrame:
     return out.select("query_id", "chunk_id", "rrf", F.col("at.list").alias("first_list"), F.col("at.rank").alias("first_rank"))
 
 
+def tokens_of(chunks: DataFrame, rows: DataFrame, text: str, *more) -> DataFrame:
+    """(chunk_id, toks, …) of the chunks in ``rows`` only, each tokenised once."""
+    wanted = rows.select("chunk_id").distinct()
+    found = chunks.select(F.col("id").alias("chunk_id"), F.col(text).alias("_text"), *more).join(wanted, "chunk_id", "left_semi")
+    return found.withColumn("toks", tokens(F.col("_text"))).drop("_text")
+
+
 def rerank(fused: DataFrame, asked: DataFrame, chunks: DataFrame, keep: int = params.RERANK_KEEP, weight: float = params.COVERAGE_WEIGHT) -> DataFrame:
     """(query_id, chunk_id, score, rank): fused score plus weighted coverage of the expanded question, the best ``keep``."""
-    rows = fused.join(asked.select("query_id", tokens(F.col("expanded")).alias("qt")), "query_id").join(chunks.select(F.col("id").alias("chunk_id"), tokens(F.col("search_text")).alias("ct")), "chunk_id")
+    rows = fused.join(asked.select("query_id", tokens(F.col("expanded")).alias("qt")), "query_id").join(tokens_of(chunks, fused, "search_text").withColumnRenamed("toks", "ct"), "chunk_id")
     rows = rows.withColumn("score", F.col("rrf") + weight * coverage(F.col("qt"), F.col("ct")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "first_list", "first_rank")
     return rows.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < keep).select("query_id", "chunk_id", "score", "rank")
@@ -88,7 +95,10 @@ def select_diverse(pins: DataFrame, ranked: DataFrame, chunks: DataFrame) -> Dat
     """(query_id, chunk_id, score, pinned, n): the selection for each query, n from 1; a query brings its pins and 12 rows."""
     rows = pins.select("query_id", "chunk_id", F.lit(1.0).alias("score"), F.lit(True).alias("pinned"), F.col("place").alias("at"))
     rows = rows.unionByName(ranked.select("query_id", "chunk_id", "score", F.lit(False).alias("pinned"), F.col("rank").alias("at")))
-    text = chunks.select(F.col("id").alias("chunk_id"), "section_type", F.length("text").alias("n_chars"), F.array_distinct(tokens(F.col("text"))).alias("toks"))
+    from ..plans.stages import stage
+
+    rows = stage(rows)
+    text = tokens_of(chunks, rows, "text", "section_type", F.length("text").alias("n_chars")).withColumn("toks", F.array_distinct("toks"))
     rows = rows.join(text, "chunk_id")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +124,7 @@ def confidence_ladder():
 def confidence(asked: DataFrame, selected: DataFrame, pins: DataFrame, hints: DataFrame, bm: DataFrame, ideal: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, confidence, cov, ratio, exact_hit, pure_article)."""
     top = selected.groupBy("query_id").agg(F.min(F.struct("pinned", "n", "chunk_id")).alias("t")).select("query_id", F.col("t.chunk_id").alias("chunk_id"))
-    top = top.join(chunks.select(F.col("id").alias("chunk_id"), tokens(F.col("search_text")).alias("ct")), "chunk_id").drop("chunk_id")
+    top = top.join(tokens_of(chunks, top, "search_text").withColumnRenamed("toks", "ct"), "chunk_id").drop("chunk_id")
     has = lambda df, name: df.select("query_id").distinct().withColumn(name, F.lit(True))
     best = bm.where("rank = 0").select("query_id", F.col("score").alias("best"))
     rows = asked.join(top, "query_id", "left").join(has(pins, "exact_hit"), "query_id", "left").join(has(hints, "has_hints"), "query_id", "left").join(best, "query_id", "left").join(ideal, "query_id", "left")
@@ -129,22 +139,25 @@ def confidence(asked: DataFrame, selected: DataFrame, pins: DataFrame, hints: Da
 def retrieve(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, text="search_text") -> tuple[DataFrame, DataFrame]:
     """(one row per question, selected chunks) for a table of questions against an index.
 
-    Greetings and injections retrieve nothing. Vectors are optional: with both the mode is hybrid.
+    Questions are sanitised; with a column ``history``, an array of (role, content), those that lean on the turn before
+    are rewritten. Greetings and injections retrieve nothing. Vectors are optional: with both the mode is hybrid.
     """
     from ..plans.stages import stage
 
-    asked = stage(understand(questions))
+    clean = Q.sanitise(F.col("question"))
+    if "history" in questions.columns:
+        clean = Q.follow_up(clean, F.col("history"))
+    asked = stage(understand(questions.withColumn("question", clean)))
     live = asked.where(~F.col("intent").isin("greeting", "injection"))
     with_mentions = chunks.withColumn("indexed", F.concat_ws(" ", F.col(text), F.array_join("mentions", " ")))
-    post = stage(lexical.postings_counted(with_mentions, "indexed"))
-    stats = stage(lexical.corpus_stats(with_mentions, "indexed"))
+    post, stats = lexical.index(with_mentions, "indexed")
     arts = stage(article_postings(chunks))
     pins, hints = stage(pinned(live, arts)), stage(hinted(live, arts))
     bm = stage(lexical.search(live, post, stats, text="expanded"))
     lists = [bm]
     if query_vectors is not None and chunk_vectors is not None:
         lists.append(stage(dense_ops.dense_topk(query_vectors.join(live.select("query_id"), "query_id", "left_semi"), chunk_vectors)))
-    ranked = rerank(fuse([*lists, hints]), live, chunks)
+    ranked = rerank(stage(fuse([*lists, hints])), live, chunks)
     selected = stage(select_diverse(pins, ranked, chunks))
     sure = confidence(live, selected, pins, hints, bm, lexical.ideal_score(live, post, stats), chunks)
     out = asked.join(sure, "query_id", "left").withColumn("mode", F.lit("hybrid" if len(lists) == 2 else "bm25"))
@@ -157,6 +170,11 @@ def plan_kind():
     return F.when(F.col("intent").isin("greeting", "injection"), "canned").when(F.col("confidence") == "low", "refusal").otherwise("answer")
 
 
+def plan_reason():
+    """Why a plan is no answer: the intent, or that too little was found; null for answers."""
+    return F.when(F.col("intent").isin("greeting", "injection"), F.col("intent")).when(F.col("confidence") == "low", F.when(F.col("intent") == "offtopic", "offtopic").otherwise("low confidence"))
+
+
 def sources(planned: DataFrame, selected: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, n, chunk_id, book, pdf_page, article, snippet, score): numbered citations; refusals keep three, off-topic ones none."""
     rows = selected.join(planned.select("query_id", "kind", "intent"), "query_id")

@@ -8,6 +8,9 @@ STOP_WORDS = (
     "define meaning mean says say said give list"
 ).split()
 
+# Suffixes that a stem goes without, longer ones first.
+SUFFIXES = ("ments", "ment", "ings", "edly", "ing", "ed", "es", "s")
+
 # Page and structure markers (Java regex, matched against stripped lines).
 HEADER = r"(?i)^\s*THE\s+CONSTITUTION\s+OF\s+INDIA\s*(\(.*?\))?\s*[\d\[\]A-Z]*\s*$"
 HEADER_PART = r"(?i)\(Part\s+([IVXLC]+[A-Z]?)\s*\.?\s*[—–-]?\s*([^)]*)\)"

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .. import params
-from .overlay import ANSWERS, BOOKS, CHUNKS, PAGES, QUESTIONS
+from ..functions import questions as Q
+from .overlay import ANSWERS, BOOKS, CHUNKS, EXPECTED, PAGES, QUESTIONS
 
 
 def _text(s: str) -> str:
@@ -108,14 +109,27 @@ LEX = f"""tk as (select doc_id, {toks('text')} as ts from documents), post as (s
  wq as (select query_id, qt.term, tpos, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) as idf, avgdl from qt left join dfs using (term) cross join st)"""
 TOPK = f"""{LEX}, sc as (select query_id, chunk_id, sum(idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) order by tpos) as score from wq join post using (term) group by all),
  tk30 as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from sc where score > 0 qualify rank < 30)"""
-FUSED = f"""{TOPK}, oth as (select query_id, (chunk_id * 7 + 3) % 1000 as chunk_id, rank from tk30 where rank < 20), ls as (select query_id, chunk_id, 0 as l, rank from tk30 union all select query_id, chunk_id, 1, rank from oth),
+#: The vectors whose id is twenty times a question's, against all; ids of vectors are those of documents.
+DENSE = """de as (select vec_id, list_transform(embedding, lambda v: v::double) as e from embeddings), dn as (select q.vec_id // 20 as query_id, d.vec_id as chunk_id, list_inner_product(q.e, d.e) as score from de q, de d where q.vec_id % 20 = 0),
+ oth as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from dn where query_id in (select item_id from benchmark) qualify rank < 30)"""
+FUSED = f"""{TOPK}, {DENSE}, ls as (select query_id, chunk_id, 0 as l, rank from tk30 union all select query_id, chunk_id, 1, rank from oth),
  fz as (select query_id, chunk_id, coalesce(max(1.0::double / (61 + rank)) filter (where l = 0), 0) + coalesce(max(1.0::double / (61 + rank)) filter (where l = 1), 0) as rrf, min(l * 1000 + rank) // 1000 as first_list, min(l * 1000 + rank) % 1000 as first_rank from ls group by all)"""
 
 TURNS = f"bt as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as before from conversations)"
 
 SAN = "trim(regexp_replace(regexp_replace(question, '[\\x00-\\x08\\x0b-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g'))"
-NUMBERS = "replace(q0, 'article twenty-one', 'Article 21')"
-ALIST = _re(r"(?i)\b(?:articles?|arts?\.?)\s*((?:\d{1,4}[a-z]{0,3})(?:\s*(?:,|and|&|to|-)\s*\d{1,4}[a-z]{0,3})*)")
+ALIST = _re(Q.ARTICLE_LIST)
+
+
+def numbers(x: str) -> str:
+    """Articles in words as digits: first tens with what follows, then single words."""
+    words, sums = params.NUMBER_WORDS, {}
+    for t in (w for w, n in words.items() if n >= 20):
+        for u, n in words.items():
+            sums.setdefault(words[t] + n, []).append(f"{t}[-\\s]{u}")
+    for value, phrases in [*sums.items(), *((n, [w]) for w, n in words.items())]:
+        x = f"regexp_replace({x}, '(?i)\\barticle\\s+(?:{'|'.join(phrases)})\\b', 'Article {value}', 'g')"
+    return x
 
 
 def articles(x: str) -> str:
@@ -127,16 +141,17 @@ def articles(x: str) -> str:
     return f"flatten(list_transform({parts}, lambda p: {one}))"
 
 
-ASKED = f"""q1 as (select query_id, {SAN} as question from ({QUESTIONS})), q2 as (select query_id, question, replace(question, 'article twenty-one', 'Article 21') as qn from q1),
+ASKED = f"""q1 as (select query_id, {SAN} as question from ({QUESTIONS})), q2 as (select query_id, question, {numbers('question')} as qn from q1),
  qa as (select query_id, question, {articles('qn')} as al from q2), asked as (select query_id, question, list_filter(al, lambda a, i: list_position(al, a) = i) as articles from qa)"""
 HINTS = "flatten([" + ", ".join(f"case when regexp_matches(question, {_re('(?i)' + p)}) then [{', '.join(map(_text, a))}] else [] end" for p, a, _ in params.CONCEPTS) + "])"
 TERMS = "list_filter([question, " + ", ".join(f"case when regexp_matches(question, {_re('(?i)' + p)}) then {_text(t)} end" for p, _, t in params.CONCEPTS) + "], lambda x: x is not null)"
 APOST = f"{CH}, ap as (select article, id as chunk_id, row_number() over (partition by article order by id) - 1 as pos from ch where article is not null)"
 
-ANS = f"an as ({ANSWERS})"
+ANS = f"an as (select *, ['3', (conv_id % 12)::varchar] as known from ({ANSWERS}))"
 VALID = "(k::int between 1 and n_sources)"
-CITED = f"""{ANS}, ci as (select query_id, conv_id, n_sources, context, answer, regexp_extract_all(answer, '\\[(\\d{{1,2}})\\]', 1) as ks, string_split(regexp_replace(answer, '\\[(\\d{{1,2}})\\]', chr(1), 'g'), chr(1)) as bits from an),
+CITED_IN = f"""ci as (select query_id, known, n_sources, context, answer, regexp_extract_all(answer, '\\[(\\d{{1,2}})\\]', 1) as ks, string_split(regexp_replace(answer, '\\[(\\d{{1,2}})\\]', chr(1), 'g'), chr(1)) as bits from an),
  cj as (select *, list_filter(ks, lambda k: not {VALID}) as bad, array_to_string(list_transform(bits, lambda b, i: concat(b, case when i <= len(ks) and (ks[i]::int between 1 and n_sources) then concat('[', ks[i], ']') else '' end)), '') as text from ci)"""
+CITED = f"{ANS}, {CITED_IN}"
 BLOCK = f"array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda l: regexp_matches({strip('l')}, '^>')), lambda l: {strip(chr(114) + 'egexp_replace(regexp_replace(l, ' + chr(39) + '^' + chr(92) + 's*>' + chr(92) + 's?' + chr(39) + ', ' + chr(39) * 2 + '), ' + chr(39) + chr(92) + '[[0-9]+' + chr(92) + ']' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}), ' ')"
 
 
@@ -150,10 +165,68 @@ def support(q: str, c: str) -> str:
     return f"(case when {comparable(q)} = '' or contains({comparable(c)}, {comparable(q)}) then 1.0 else len(list_filter({g}, lambda g: contains({comparable(c)}, g))) / len({g})::double end)"
 
 
-GROUND = f"""{CITED}, {quoted('cj')}, qx as (select query_id, unnest(quotes) as quote, context from qs), qn as (select query_id, count(*) filter (where {support('quote', 'context')} < 0.9) as bad_quotes from qx group by query_id),
- na as (select query_id, conv_id, context, len(bad) as n_invalid, list_transform(regexp_extract_all(text, '(?i)\\bArticles?\\s+(\\d{{1,3}}[A-Z]{{0,3}})\\b', 1), lambda a: upper(a)) as named from cj),
- nu as (select query_id, n_invalid, list_filter(named, lambda a, i: list_position(named, a) = i and a <> '3' and a <> (conv_id % 12)::varchar and not regexp_matches(context, concat('(?i)\\b', a, '\\b'))) as unknown from na),
+GROUND_IN = f"""{CITED_IN}, {quoted('cj')}, qx as (select query_id, unnest(quotes) as quote, context from qs), qn as (select query_id, count(*) filter (where {support('quote', 'context')} < 0.9) as bad_quotes from qx group by query_id),
+ na as (select query_id, known, context, len(bad) as n_invalid, list_transform(regexp_extract_all(text, '(?i)\\bArticles?\\s+(\\d{{1,3}}[A-Z]{{0,3}})\\b', 1), lambda a: upper(a)) as named from cj),
+ nu as (select query_id, n_invalid, list_filter(named, lambda a, i: list_position(named, a) = i and not list_contains(known, a) and not regexp_matches(context, concat('(?i)\\b', a, '\\b'))) as unknown from na),
  gr as (select nu.query_id, coalesce(bad_quotes, 0) as n_unverified, unknown, n_invalid, coalesce(bad_quotes, 0) = 0 and len(unknown) = 0 and n_invalid = 0 as verified from nu left join qn using (query_id))"""
+GROUND = f"{ANS}, {GROUND_IN}"
+
+
+def retrieved(dense: bool) -> str:
+    """CTEs from ``asked(query_id, question, articles)`` and ``ap``, ``ch`` to ``planned`` and ``selected``, as the plans define them."""
+    hint = 2 if dense else 1
+    jac = "len(list_intersect(z, toks)) > 0.8 * greatest(1, len(list_distinct(list_concat(z, toks))))"
+    ok = f"not list_contains(ids, chunk_id) and n_chars <= room and (pinned or (n < 7 and not (section_type = 'toc' and n > 2) and len(list_filter(sets, lambda z: {jac})) = 0))"
+    return f"""un as (select *, {HINTS} as h0, array_to_string({TERMS}, ' ') as expanded, regexp_matches(question, {_re(params.PURE_ARTICLE)}) as pure,
+  case when regexp_matches(question, {_re(params.INJECTION)}) then 'injection' when regexp_matches(question, {_re(params.GREETING)}) then 'greeting' when regexp_matches(question, {_re(params.OFFTOPIC)}) then 'offtopic' else 'question' end as intent from asked),
+ live as (select *, list_filter(h0, lambda a, i: list_position(h0, a) = i) as hints, {toks('expanded')} as et, {toks('question')} as ot from un where intent not in ('greeting', 'injection')),
+ ct as (select id as chunk_id, section_type, length(text) as n_chars, {toks("concat_ws(' ', search_text, array_to_string(mentions, ' '))")} as ts, {toks('search_text')} as ss, list_distinct({toks('text')}) as toks from ch),
+ post as (select term, chunk_id, count(*)::int as tf, any_value(len) as len from (select chunk_id, len(ts) as len, unnest(ts) as term from ct) group by all),
+ dfs as (select term, count(*) as df from post group by term), st as (select count(*) as n, avg(len(ts)) as avgdl from ct),
+ qt as (select query_id, unnest(dt) as term, generate_subscripts(dt, 1) as tpos from (select query_id, list_filter(et, lambda t, i: list_position(et, t) = i) as dt from live)),
+ oq as (select query_id, unnest(dt) as term, generate_subscripts(dt, 1) as tpos from (select query_id, list_filter(ot, lambda t, i: list_position(ot, t) = i) as dt from live)),
+ wq as (select query_id, term, tpos, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) as idf, avgdl from qt left join dfs using (term) cross join st),
+ idl as (select query_id, sum(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) * 2.5 * 0.5 order by tpos) as ideal from oq left join dfs using (term) cross join st group by 1),
+ sc as (select query_id, chunk_id, sum(idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) order by tpos) as score from wq join post using (term) group by all),
+ bm as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from sc where score > 0 qualify rank < 30),
+ pa as (select query_id, chunk_id, min(apos * 10 + pos) as k from (select query_id, unnest(articles) as article, generate_subscripts(articles, 1) as apos from live) join ap using (article) where pos < 3 group by all),
+ pins as (select query_id, chunk_id, row_number() over (partition by query_id order by k) - 1 as place from pa),
+ ha as (select query_id, chunk_id, min(apos) as k from (select query_id, unnest(hints) as article, generate_subscripts(hints, 1) as apos from live where len(articles) = 0) join ap using (article) where pos = 0 group by all),
+ hn as (select query_id, chunk_id, row_number() over (partition by query_id order by k, chunk_id) - 1 as rank from ha),
+ ls as (select query_id, chunk_id, 0 as l, rank from bm union all select query_id, chunk_id, {hint}, rank from hn {"union all select query_id, chunk_id, 1, rank from oth where query_id in (select query_id from live)" if dense else ""}),
+ fz as (select query_id, chunk_id, {' + '.join(f"coalesce(max(1.0::double / (61 + rank)) filter (where l = {l}), 0)" for l in range(hint + 1))} as rrf, min(l * 1000 + rank) as first from ls group by all),
+ rk as (select query_id, chunk_id, rrf + 0.02::double * {coverage('et', 'ss')} as score, row_number() over (partition by query_id order by rrf + 0.02::double * {coverage('et', 'ss')} desc, first) - 1 as rank from fz join live using (query_id) join ct using (chunk_id) qualify rank < 12),
+ cand as (select c.*, section_type, n_chars, toks, row_number() over (partition by query_id order by pinned desc, pos, chunk_id) as k
+  from (select query_id, chunk_id, 1.0::double as score, true as pinned, place as pos from pins union all select query_id, chunk_id, score, false, rank from rk) c join ct using (chunk_id)),
+ rc(query_id, k, ids, sets, room, n, chunk_id, score, pinned, took) as (select distinct query_id, 0::bigint, []::bigint[], []::varchar[][], 14000::bigint, 0, null::bigint, null::double, null::boolean, false from cand
+  union all select query_id, k, case when take then list_append(ids, chunk_id) else ids end, case when take then list_append(sets, toks) else sets end, case when take then room - n_chars else room end, case when take then n + 1 else n end, chunk_id, score, pinned, take
+  from (select rc.query_id, cand.k, ids, sets, room, n, cand.chunk_id, cand.score, cand.pinned, toks, n_chars, ({ok.replace('chunk_id', 'cand.chunk_id').replace('pinned', 'cand.pinned')}) as take from rc join cand on cand.query_id = rc.query_id and cand.k = rc.k + 1)),
+ selected as (select query_id, chunk_id, score, pinned, n from rc where took),
+ tp as (select query_id, arg_min(chunk_id, pinned::int * 1000 + n) as chunk_id from selected group by query_id),
+ cf as (select live.query_id, live.query_id in (select query_id from pins) as exact, live.query_id in (select query_id from hn) as hinted, case when ss is not null then {coverage('ot', 'ss')} else 0.0 end as cov, coalesce(bm.score / greatest(1e-6, coalesce(ideal, 0)), 0) as ratio
+  from live left join tp using (query_id) left join ct on ct.chunk_id = tp.chunk_id left join bm on bm.query_id = live.query_id and bm.rank = 0 left join idl on idl.query_id = live.query_id),
+ pl0 as (select un.query_id, question, intent, articles, case when cf.query_id is null then 'low' when exact then 'high' when len(articles) > 0 then 'low' when intent = 'offtopic' then case when cov >= 0.8 and ratio > 0.6 then 'medium' else 'low' end
+   when hinted and cov >= 0.3 then 'high' when cov >= 0.6 and ratio > 0.35 then 'high' when cov >= 0.4 and ratio > 0.2 then 'medium' else 'low' end as confidence,
+  case when cf.query_id is null then 'bm25' else '{"hybrid" if dense else "bm25"}' end as mode, coalesce(exact and pure, false) as pure_article from un left join cf using (query_id)),
+ planned as (select *, case when intent in ('greeting', 'injection') then 'canned' when confidence = 'low' then 'refusal' else 'answer' end as kind,
+  case when intent in ('greeting', 'injection') then intent when confidence = 'low' then case when intent = 'offtopic' then 'offtopic' else 'low confidence' end end as reason from pl0)"""
+
+
+#: Questions with the turns before them.
+WITH_HISTORY = f"""q0 as ({QUESTIONS}), t0 as (select c.conv_id, c.turn, c.role, q0.query_id, coalesce(q0.question, c.text) as content from conversations c left join q0 on q0.conv_id = c.conv_id and q0.turn = c.turn where c.role in ('user', 'assistant')),
+ h0 as (select *, list({{'r': role, 'c': content}}) over (partition by conv_id order by turn rows between 6 preceding and 1 preceding) as hist from t0),
+ h1 as (select query_id, {SAN} as content, hist from (select query_id, content as question, hist from h0 where query_id is not null union all select query_id, question, [] from q0 where query_id < 0)),
+ h2 as (select *, list_filter(hist, lambda x: x.r = 'user' and x.c is not null and x.c <> content)[-1].c as prev from h1), h3 as (select *, {articles('cn')} as own, {articles('pn')} as pr from (select *, {numbers('content')} as cn, {numbers('prev')} as pn from h2)),
+ h4 as (select query_id, case when len(own) = 0 and regexp_matches(content, {_re(params.FOLLOW_UP)}) and length(content) < 120 and prev is not null then case when len(pr) > 0 then concat(content, ' (Article ', array_to_string(list_filter(pr, lambda a, i: list_position(pr, a) = i), ', Article '), ')') else concat(content, ' (context: ', substr(prev, 1, 150), ')') end else content end as question from h3),
+ h5 as (select query_id, question, {articles('qn')} as al from (select *, {numbers('question')} as qn from h4)), asked as (select query_id, question, list_filter(al, lambda a, i: list_position(al, a) = i) as articles from h5)"""
+RETRIEVED = f"{WITH_HISTORY}, {APOST}, {retrieved(False)}"
+HYBRID = f"""b0 as (select item_id as query_id, text as question from benchmark), b1 as (select query_id, {SAN} as question from b0), b2 as (select query_id, question, {articles('qn')} as al from (select *, {numbers('question')} as qn from b1)),
+ asked as (select query_id, question, list_filter(al, lambda a, i: list_position(al, a) = i) as articles from b2), {APOST}, {DENSE}, {retrieved(True)}"""
+PLANS = "query_id, question, intent, array_to_string(articles, ',') as articles, confidence, mode, pure_article, kind, reason"
+CONTEXT = """cx as (select query_id, count(*)::int as n_sources, string_agg(text, chr(10) order by n) as context, list_distinct(flatten(list(list_concat(article_numbers, mentions)))) as known from selected join ch on ch.id = chunk_id group by query_id)"""
+BLOCKS = "string_agg(concat('[', n, '] (', concat_ws(' | ', concat('Book: ', book_title), concat('PDF p. ', pdf_page), part, case when article is not null then concat('Article ', article) end), ')', chr(10), text), chr(10) || chr(10) order by n)"
+OUTCOMES = f"""{CONTEXT}, ex as ({EXPECTED}), oc as (select query_id, not refuse as positive, kind <> 'answer' as refused, confidence, question, case when refuse then kind <> 'answer'
+  else kind = 'answer' and (len(list_intersect(list_filter(string_split(ex.articles, ','), lambda a: a <> ''), coalesce(known, []))) > 0 or len(list_filter(string_split(keywords, ','), lambda w: w <> '' and contains(lower(coalesce(context, '')), lower(w)))) > 0) end as ok from ex join planned using (query_id) left join cx using (query_id))"""
 
 SPLIT = r"""string_split(regexp_replace(regexp_replace(text, '\n(\s*\(\d+[A-Z]?\)\s)', chr(2) || '\1', 'g'), '\n(\s*\([a-z]\)\s)', chr(2) || '\1', 'g'), chr(2))"""
 PIECES = rf"""flatten(list_transform({SPLIT}, lambda c: case when length(c) <= 800 then [replace(c, chr(10), ' ')] else string_split(regexp_replace(replace(c, chr(10), ' '), '([.;:])\s+([A-Z("])', '\1' || chr(2) || '\2', 'g'), chr(2)) end))"""
@@ -186,7 +259,7 @@ ORACLE: dict[str, str] = {
     "clean_pages": f"with {CLEAN} select book_file, pdf_page, printed_page, header_part, text from clean",
     "page_filter": f"with {CLEAN} select book_file, pdf_page, useful, devanagari, kept from pf",
     "book_preview": f"with pg as ({PAGES}) select book_file, count(*) as pages, arg_min(substr({strip('text')}, 1, 800), pdf_page) filter (where pdf_page <= 3 and {strip('text')} <> '') as text from pg group by book_file",
-    "book_registry": f"with b as ({BOOKS}) select file, title, case when file in (select source from documents where source <> 'src3') then 'ok' else 'missing' end as status from b where include",
+    "book_registry": f"with b as ({BOOKS}) select file, title, case when file in (select source from documents) then 'ok' else 'missing' end as status from b where include",
     "toc_pages": f"with pg as ({PAGES}) select book_file, pdf_page, {toc('text')} as toc from pg",
     "line_markers": f"with {EVENTS} select book_file, kind, count(*) as n from ev group by all",
     "segments": f"with {SEGMENTS} select * from sg where text <> ''",
@@ -203,7 +276,7 @@ ORACLE: dict[str, str] = {
     "chunk_ids": f"with c as ({CHUNKS}), b as ({BOOKS}) select id as old, row_number() over (order by position, id) - 1 as id from c join b on b.file = c.book_file",
     "article_mentions": f"select id, array_to_string({mentions('text')}, ',') as mentions from ({CHUNKS})",
     "search_text": f"with {CH} select id, search_text from ch",
-    "book_stats": f"with {CLEAN}, c as ({CHUNKS}), n as (select book_file, count(*) as chunks from c where book_file <> 'src2' group by 1) select book_file, count(*) as pages, count(*) filter (where not kept) as pages_dropped, coalesce(max(chunks), 0) as chunks from pf left join n using (book_file) group by book_file",
+    "book_stats": f"with {CLEAN}, c as ({CHUNKS}), n as (select book_file, count(*) as chunks from c group by 1) select book_file, count(*) as pages, count(*) filter (where not kept) as pages_dropped, coalesce(max(chunks), 0) as chunks from pf left join n using (book_file) group by book_file",
     "quality_report": f"with {CH}, j as (select *, regexp_matches(text, {HDR}) or ({useful('text')} < 120 and section_type <> 'toc') as junk from ch) select count(*) as n_chunks, round(sum(length(text)) / greatest(count(*), 1)::double, 6) as avg_chars, round(100.0::double * count(*) filter (where len(article_numbers) > 0) / greatest(count(*), 1), 6) as tagged_pct, count(*) filter (where junk) as n_junk, round(count(*) filter (where junk) / greatest(count(*), 1)::double, 6) as junk_share from j",
     "junk_chunks": f"with {CH} select id from ch where regexp_matches(text, {HDR}) or ({useful('text')} < 120 and section_type <> 'toc')",
     "chunk_sample": "select doc_id as id from documents order by md5(concat('seed', doc_id)), doc_id limit 10",
@@ -222,7 +295,7 @@ ORACLE: dict[str, str] = {
     "dense_topk": "select query_id, vec_id, round(score, 6) as score from (select q.vec_id as query_id, e.vec_id, list_inner_product(list_transform(q.embedding, lambda v: v::double), list_transform(e.embedding, lambda v: v::double)) as score from embeddings q, embeddings e where q.vec_id % 20 = 0) qualify row_number() over (partition by query_id order by score desc, vec_id) <= 30",
     "attach_vectors": "select doc_id as id, case when ok then 'hybrid' else 'bm25' end as mode, ok and vec_id is not null as has_vector from documents left join embeddings on vec_id = doc_id cross join (select (select count(*) from documents) = count(*) and count(*) = count(*) filter (where len(embedding) = 64) as ok from embeddings)",
     "sanitise_questions": f"with {ASKED} select query_id, question from q1",
-    "extract_articles": f"with q1 as (select query_id, question from ({QUESTIONS})), q2 as (select query_id, replace(question, 'article twenty-one', 'Article 21') as qn from q1), qa as (select query_id, {articles('qn')} as al from q2) select query_id, array_to_string(list_filter(al, lambda a, i: list_position(al, a) = i), ',') as articles from qa",
+    "extract_articles": f"with q1 as (select query_id, question from ({QUESTIONS})), q2 as (select query_id, {numbers('question')} as qn from q1), qa as (select query_id, {articles('qn')} as al from q2) select query_id, array_to_string(list_filter(al, lambda a, i: list_position(al, a) = i), ',') as articles from qa",
     "expand_questions": f"with q as ({QUESTIONS}), h as (select query_id, question, {HINTS} as hs from q) select query_id, array_to_string({TERMS}, ' ') as expanded, array_to_string(list_filter(hs, lambda a, i: list_position(hs, a) = i), ',') as hints from h",
     "question_intent": f"with q as ({QUESTIONS}) select query_id, case when regexp_matches(question, {_re(params.INJECTION)}) then 'injection' when regexp_matches(question, {_re(params.GREETING)}) then 'greeting' when regexp_matches(question, {_re(params.OFFTOPIC)}) then 'offtopic' else 'question' end as intent, regexp_matches(question, {_re(params.PURE_ARTICLE)}) as pure from q",
     "article_keys": f"select id, article as key from ({CHUNKS}) where article is not null",
@@ -230,18 +303,37 @@ ORACLE: dict[str, str] = {
     "follow_up": f"""with q as ({QUESTIONS}), t as (select c.conv_id, c.turn, c.role, coalesce(q.question, c.text) as content from conversations c left join q on q.conv_id = c.conv_id and q.turn = c.turn where c.role in ('user', 'assistant')),
  h as (select *, list({{'r': role, 'c': content}}) over (partition by conv_id order by turn rows between 6 preceding and 1 preceding) as hist from t),
  u as (select conv_id, turn, content, list_filter(hist, lambda x: x.r = 'user' and x.c is not null and x.c <> content)[-1].c as prev from h where role = 'user'),
- v as (select *, {articles("replace(content, 'article twenty-one', 'Article 21')")} as own, {articles("replace(prev, 'article twenty-one', 'Article 21')")} as pa from u)
+ v as (select *, {articles('cn')} as own, {articles('pn')} as pa from (select *, {numbers('content')} as cn, {numbers('prev')} as pn from u))
  select conv_id, turn, case when len(own) = 0 and regexp_matches(content, {_re(params.FOLLOW_UP)}) and length(content) < 120 and prev is not null then case when len(pa) > 0 then concat(content, ' (Article ', array_to_string(list_filter(pa, lambda a, i: list_position(pa, a) = i), ', Article '), ')') else concat(content, ' (context: ', substr(prev, 1, 150), ')') end else content end as question from v""",
     "article_lookup": f"with {ASKED}, {APOST}, ua as (select query_id, unnest(articles) as article from asked) select query_id, article, chunk_id, pos from ua join ap using (article)",
     "pinned_chunks": f"with {ASKED}, {APOST}, ua as (select query_id, unnest(articles) as article, generate_subscripts(articles, 1) as apos from asked), m as (select query_id, chunk_id, min(apos * 10 + pos) as place_key from ua join ap using (article) where pos < 3 group by all) select query_id, chunk_id, row_number() over (partition by query_id order by place_key) - 1 as place from m",
     "hint_chunks": f"with {ASKED}, {APOST}, hh as (select query_id, {HINTS} as hs from asked where len(articles) = 0), ua as (select query_id, unnest(hs) as article, generate_subscripts(hs, 1) as apos from hh), m as (select query_id, chunk_id, min(apos) as place_key from ua join ap using (article) where pos = 0 group by all) select query_id, chunk_id, row_number() over (partition by query_id order by place_key, chunk_id) - 1 as rank from m",
     "rank_fusion": f"with {FUSED} select query_id, chunk_id, round(rrf, 9) as rrf, first_list, first_rank from fz",
     "rerank_questions": f"with {FUSED}, rr as (select fz.query_id, chunk_id, first_list, first_rank, rrf + 0.02::double * {coverage(toks('b.text'), toks('d.text'))} as score from fz join benchmark b on b.item_id = fz.query_id join documents d on d.doc_id = fz.chunk_id) select query_id, chunk_id, round(score, 9) as score, row_number() over (partition by query_id order by score desc, first_list, first_rank) - 1 as rank from rr qualify rank < 12",
+    "question_plans": f"with recursive {RETRIEVED} select {PLANS} from planned",
+    "hybrid_plans": f"with recursive {HYBRID} select {PLANS} from planned",
+    "diverse_selection": f"with recursive {RETRIEVED} select query_id, chunk_id, round(score, 9) as score, pinned, n from selected",
+    "source_citations": f"""with recursive {RETRIEVED} select query_id, n, chunk_id, book_title as book, pdf_page, null::int as printed_page, part, article, article_title, text as snippet, floor(least(1.0, case when pinned then 1.0 else score * 20 end) * 100 + 0.5) / 100 as score
+ from selected join planned using (query_id) join ch on ch.id = chunk_id where kind = 'answer' or (kind = 'refusal' and intent <> 'offtopic' and n <= 3)""",
+    "prompt_messages": f"""with recursive {RETRIEVED}, bl as (select query_id, {BLOCKS} as context from selected join ch on ch.id = chunk_id group by query_id)
+ select query_id, 2 as n_messages, concat('QUESTION: ', question, chr(10), chr(10), 'CONTEXT:', chr(10), coalesce(context, ''), case when pure_article then concat(chr(10), chr(10), 'Quote the article.') else '' end) as content from planned left join bl using (query_id) where kind = 'answer'""",
+    "answer_log": f"""with recursive {RETRIEVED}, cl as (select query_id, string_agg(chunk_id::varchar, ',' order by n) as chunks from selected group by query_id)
+ select query_id, substr(question, 1, 200) as q, array_to_string(articles, ',') as articles, confidence, mode, coalesce(chunks, '') as chunks, case when kind = 'answer' then 'model' end as model, query_id % 1000 as ms, kind, null::boolean as verified from planned left join cl using (query_id)""",
+    "question_stream": f"""with recursive {ASKED}, {APOST}, {retrieved(False)}, cl as (select query_id, string_agg(chunk_id::varchar, ',' order by n) as chunks from selected group by query_id)
+ select query_id, substr(question, 1, 200) as q, array_to_string(articles, ',') as articles, confidence, mode, coalesce(chunks, '') as chunks, kind from planned left join cl using (query_id)""",
+    "outcomes": f"with recursive {RETRIEVED}, {OUTCOMES} select query_id, positive, refused, ok, concat(case when ok then 'PASS' else 'FAIL' end, '  [', rpad(confidence, 6, ' '), '] ', question) as line from oc",
+    "evaluation": f"""with recursive {RETRIEVED}, {OUTCOMES}, an as (select query_id, answer, coalesce(n_sources, 0) as n_sources, coalesce(context, '') as context, coalesce(known, []) as known from (select query_id - 1 as query_id, answer from ({ANSWERS})) a left join cx using (query_id)), {GROUND_IN}
+ select round(100.0::double * avg(ok::int) filter (where positive), 1) as hit_rate, round(100.0::double * avg(ok::int) filter (where not positive), 1) as refusal_accuracy,
+ (select round(100.0::double * count(*) filter (where not verified) / greatest(1, count(*)), 1) from gr join oc using (query_id) where positive and not refused) as flag_rate from oc""",
+    "page_numbers": "select source as book_file, row_number() over (partition by source order by doc_id)::int as pdf_page, md5(text) as digest from documents",
+    "chunk_files": f"with {CH} select id, book_file, pdf_page, part, article, array_to_string(mentions, ',') as mentions, section_type, md5(search_text) as digest from ch",
+    "article_index_file": f"with {APOST} select article, chunk_id, pos from ap",
+    "index_health": f"with {CH} select case when ok then 'hybrid' else 'bm25' end as mode, (select count(*) from ch) as chunks, (select count(distinct article) from ch)::int as articles, ok as embeddings from (select count(*) = (select count(*) from ch) and count(*) filter (where len(embedding) = 64) = (select count(*) from ch) as ok from embeddings)",
     "context_blocks": f"with {APOST}, sel as (select regexp_replace(article, '[^0-9]', '', 'g')::bigint as query_id, chunk_id from ap where pos < 3), se as (select *, row_number() over (partition by query_id order by chunk_id) as n from sel) select query_id, string_agg(concat('[', n, '] (', concat_ws(' | ', concat('Book: ', book_title), concat('PDF p. ', pdf_page), part, case when article is not null then concat('Article ', article) end), ')', chr(10), text), chr(10) || chr(10) order by n) as context from se join ch on ch.id = se.chunk_id group by query_id",
     "citation_check": f"with {CITED} select query_id, text, array_to_string(list_transform(bad, lambda k: k::int::varchar), ',') as invalid from cj",
     "answer_quotes": f"with {ANS}, {quoted('(select query_id, answer as text from an)')} select query_id, array_to_string(quotes, '|') as quotes from qs",
     "quote_support": f"with {ANS}, {quoted('(select query_id, answer as text, context from an)')}, u as (select query_id, context, unnest(quotes) as quote, generate_subscripts(quotes, 1) - 1 as n from qs) select query_id, n, round({support('quote', 'context')}, 6) as support from u",
     "grounding": f"with {GROUND} select query_id, verified, n_unverified, array_to_string(unknown, ',') as unknown, n_invalid from gr",
-    "regeneration": f"with {GROUND}, r as (select query_id, verified, not verified and (n_unverified > 0 or len(unknown) > 0) and query_id % 2 = 0 and query_id % 3 = 0 as regenerated from gr) select query_id, verified or regenerated as verified, regenerated from r",
+    "regeneration": f"with {GROUND}, r as (select query_id, verified, not verified and (n_unverified > 0 or len(unknown) > 0) and query_id % 3 = 0 as regenerated from gr) select query_id, verified or regenerated as verified, regenerated from r",
     "flag_rate": f"with {GROUND} select count(*) as answers, round(100.0::double * count(*) filter (where not verified) / greatest(1, count(*)), 1) as flag_rate from gr",
 }

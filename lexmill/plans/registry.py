@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import params
+from .. import params, schemas
 from ..functions import questions as Q
 from ..functions import text as X
 from ..operators import chunks as K
@@ -18,10 +18,11 @@ from ..operators import quality as A
 from ..operators import retrieval as R
 from ..operators import segments as S
 from ..sources import io
+from ..streaming.questions import plan_stream
 from ..streaming.rate_limit import rate_limit as limit_rows
 from .oracle import ORACLE  # noqa: F401
 from .overlay import VIEWS
-from .stages import stage
+from .stages import scratch, stage
 
 QUERIES: dict = {}
 
@@ -37,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of ``overlay`` over the tables of a folder."""
-    source = "conversations" if name in ("questions_view", "answers_view") else "documents"
+    source = "conversations" if name in ("questions_view", "answers_view", "expected_view") else "documents"
     return spark.sql(VIEWS[name].replace(f"from {source}", "from {src}"), src=table(spark, sf_dir, source))
 
 
@@ -94,7 +95,7 @@ def book_preview(spark, sf_dir):
 def book_registry(spark, sf_dir):
     """Included books with pages, and those without any."""
     books = view(spark, sf_dir, "books_view")
-    pages = view(spark, sf_dir, "pages_view").where("book_file <> 'src3'")
+    pages = view(spark, sf_dir, "pages_view")
     have, lack = io.included_books(books, pages)
     return have.select("file", "title", F.lit("ok").alias("status")).unionByName(lack.select("file", "title", F.lit("missing").alias("status")))
 
@@ -165,7 +166,7 @@ def chunk_build(spark, sf_dir):
 def book_stats(spark, sf_dir):
     pages = view(spark, sf_dir, "pages_view")
     filtered = P.page_filter(P.clean_pages(pages, 0.1))
-    return A.book_stats(filtered, view(spark, sf_dir, "chunks_view").where("book_file <> 'src2'"))
+    return A.book_stats(filtered, view(spark, sf_dir, "chunks_view"))
 
 
 @query
@@ -217,22 +218,20 @@ def bm25_index(spark, sf_dir):
 
 @query
 def bm25_idf(spark, sf_dir):
-    docs = documents_as_chunks(spark, sf_dir)
-    df = L.document_frequency(L.postings_counted(docs))
-    return df.crossJoin(F.broadcast(L.corpus_stats(docs))).select("term", "df", F.round(L.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    post, stats = L.index(documents_as_chunks(spark, sf_dir))
+    return L.document_frequency(post).crossJoin(F.broadcast(stats)).select("term", "df", F.round(L.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query
 def bm25_topk(spark, sf_dir):
-    docs = documents_as_chunks(spark, sf_dir)
-    found = L.search(benchmark_questions(spark, sf_dir), L.postings_counted(docs), L.corpus_stats(docs))
+    post, stats = L.index(documents_as_chunks(spark, sf_dir))
+    found = L.search(benchmark_questions(spark, sf_dir), post, stats)
     return found.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query
 def bm25_ideal(spark, sf_dir):
-    docs = documents_as_chunks(spark, sf_dir)
-    found = L.ideal_score(benchmark_questions(spark, sf_dir), L.postings_counted(docs), L.corpus_stats(docs))
+    found = L.ideal_score(benchmark_questions(spark, sf_dir), *L.index(documents_as_chunks(spark, sf_dir)))
     return found.select("query_id", F.round("ideal", 6).alias("ideal"))
 
 
@@ -354,12 +353,19 @@ def hint_chunks(spark, sf_dir):
     return R.hinted(_asked(spark, sf_dir), A.article_postings(chunk_table(spark, sf_dir)))
 
 
+def _vectors(spark, sf_dir):
+    """(question vectors, chunk vectors): every twentieth vector is that of a question, all are those of the documents by id."""
+    e = stage(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")))
+    return e.where("chunk_id % 20 = 0").select((F.col("chunk_id") / 20).cast("long").alias("query_id"), "vector"), e
+
+
 def _ranked_lists(spark, sf_dir):
-    """A lexical and a vector-like list for each benchmark item, ranked by rounded scores."""
-    docs = documents_as_chunks(spark, sf_dir)
-    lex = stage(L.search(benchmark_questions(spark, sf_dir), L.postings_counted(docs), L.corpus_stats(docs)))
-    other = lex.select("query_id", ((F.col("chunk_id") * 7 + 3) % 1000).alias("chunk_id"), F.col("rank")).where("rank < 20").dropDuplicates(["query_id", "chunk_id"])
-    return lex.select("query_id", "chunk_id", "rank"), other
+    """The lexical and the dense list of each benchmark item."""
+    post, stats = L.index(documents_as_chunks(spark, sf_dir))
+    asked = benchmark_questions(spark, sf_dir)
+    queries, vectors = _vectors(spark, sf_dir)
+    dense = D.dense_topk(queries.join(asked.select("query_id"), "query_id", "left_semi"), vectors)
+    return stage(L.search(asked, post, stats)).select("query_id", "chunk_id", "rank"), dense.select("query_id", "chunk_id", "rank")
 
 
 @query
@@ -373,14 +379,24 @@ def rerank_questions(spark, sf_dir):
     lex, other = _ranked_lists(spark, sf_dir)
     asked = benchmark_questions(spark, sf_dir).withColumn("expanded", F.col("question"))
     docs = documents_as_chunks(spark, sf_dir).withColumn("search_text", F.col("text"))
-    return R.rerank(R.fuse([lex, other]), asked, docs).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+    return R.rerank(stage(R.fuse([lex, other])), asked, docs).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
+def _questions(spark, sf_dir):
+    """Questions of the view with the turns before them."""
+    q = view(spark, sf_dir, "questions_view").select("query_id", "conv_id", "turn", "question")
+    t = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").join(q, ["conv_id", "turn"], "left")
+    content = F.coalesce("question", F.col("text"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-6, -1)
+    t = t.withColumn("history", F.collect_list(F.struct("role", content.alias("content"))).over(before))
+    t = t.where("query_id is not null").select("query_id", content.alias("question"), "history")
+    return t.unionByName(q.where("query_id < 0").select("query_id", "question", F.array().cast(schemas.TURN).alias("history")))
 
 
 def _retrieved(spark, sf_dir):
-    q = view(spark, sf_dir, "questions_view").select("query_id", Q.sanitise(F.col("question")).alias("question"))
     c = stage(chunk_table(spark, sf_dir))
-    planned, selected = R.retrieve(q, c)
-    return planned.withColumn("kind", R.plan_kind()), selected, c
+    planned, selected = R.retrieve(_questions(spark, sf_dir), c)
+    return stage(planned.withColumn("kind", R.plan_kind()).withColumn("reason", R.plan_reason())), selected, c
 
 
 @query
@@ -395,6 +411,13 @@ def question_plans(spark, sf_dir):
     return planned.withColumn("articles", joined(F.col("articles"), ","))
 
 
+@query
+def hybrid_plans(spark, sf_dir):
+    """Benchmark items planned with vectors."""
+    planned, _ = R.retrieve(benchmark_questions(spark, sf_dir), stage(chunk_table(spark, sf_dir)), *_vectors(spark, sf_dir))
+    return planned.withColumn("kind", R.plan_kind()).withColumn("reason", R.plan_reason()).withColumn("articles", joined(F.col("articles"), ","))
+
+
 @query
 def source_citations(spark, sf_dir):
     planned, selected, c = _retrieved(spark, sf_dir)
@@ -421,16 +444,77 @@ def prompt_messages(spark, sf_dir):
 @query
 def answer_log(spark, sf_dir):
     planned, selected, _ = _retrieved(spark, sf_dir)
-    out = io.answer_log(planned, selected)
+    out = io.answer_log(planned, selected, calls=planned.select("query_id", F.lit("model").alias("model"), (F.col("query_id") % 1000).alias("ms")))
     return out.withColumns({"articles": joined(F.col("articles"), ","), "chunks": F.array_join(F.transform("chunks", lambda i: i.cast("string")), ",")})
 
 
 @query
-def evaluation(spark, sf_dir):
-    """Outcomes of the questions: those that name an article expect it, injections and greetings expect refusal."""
+def question_stream(spark, sf_dir):
+    """Questions that arrive as files, planned by micro-batch, and their log read back."""
+    folder = scratch(spark, "stream")
+    view(spark, sf_dir, "questions_view").select("query_id", "question").write.parquet(f"{folder}/in")
+    source = spark.readStream.schema("query_id long, question string").parquet(f"{folder}/in")
+    plan_stream(source, stage(chunk_table(spark, sf_dir)), f"{folder}/log", f"{folder}/state").awaitTermination()
+    log = "query_id long, q string, articles array<string>, confidence string, mode string, chunks array<string>, kind string, batch int"
+    got = spark.read.schema(log).json(f"{folder}/log")
+    return got.select("query_id", "q", joined(F.col("articles"), ",").alias("articles"), "confidence", "mode", joined(F.col("chunks"), ",").alias("chunks"), "kind")
+
+
+def _outcomes(spark, sf_dir):
     planned, selected, c = _retrieved(spark, sf_dir)
-    expected = planned.select("query_id", "articles", F.split("question", " ").alias("keywords"), F.col("intent").isin("injection", "greeting", "offtopic").alias("refuse"))
-    return E.metrics(E.outcomes(expected, planned, G.context_of(selected, c)))
+    words = lambda col: F.filter(F.split(col, ","), lambda w: w != "")
+    expected = view(spark, sf_dir, "expected_view").select("query_id", words("articles").alias("articles"), words("keywords").alias("keywords"), "refuse")
+    context = stage(G.context_of(selected, c))
+    return stage(E.outcomes(expected, planned, context)), planned, context
+
+
+@query
+def outcomes(spark, sf_dir):
+    """Outcome and report line of each question with expectations: articles or keywords to be found, or a refusal."""
+    results, planned, _ = _outcomes(spark, sf_dir)
+    return results.join(E.report_lines(results, planned), "query_id")
+
+
+@query
+def evaluation(spark, sf_dir):
+    """Hit rate, refusal accuracy, and the share of the answered positives whose answer, the turn after the question, is not grounded."""
+    results, _, context = _outcomes(spark, sf_dir)
+    answers = view(spark, sf_dir, "answers_view").select((F.col("query_id") - 1).alias("query_id"), "answer")
+    return E.metrics(results, G.check_grounding(answers, context))
+
+
+# --- files ---------------------------------------------------------------------------------------
+
+
+@query
+def page_numbers(spark, sf_dir):
+    raw = table(spark, sf_dir, "documents").select(F.col("source").alias("book_file"), "text", "doc_id")
+    return io.number_pages(raw, ["doc_id"]).select("book_file", "pdf_page", F.md5("text").alias("digest"))
+
+
+@query
+def chunk_files(spark, sf_dir):
+    """Chunks written as JSON lines by book and read back."""
+    folder = scratch(spark, "chunks")
+    io.write_chunks(chunk_table(spark, sf_dir).select(*[c.split()[0] for c in schemas.CHUNK.split(", ")]), folder)
+    got = io.read_chunks(spark, folder)
+    return got.select("id", "book_file", "pdf_page", "part", F.get("article_numbers", F.lit(0)).alias("article"), joined(F.col("mentions"), ",").alias("mentions"), "section_type", F.md5("search_text").alias("digest"))
+
+
+@query
+def article_index_file(spark, sf_dir):
+    """The article index written and read back as postings."""
+    folder = scratch(spark, "index")
+    io.write_article_index(A.article_index(chunk_table(spark, sf_dir)), folder)
+    return io.read_article_index(spark, folder)
+
+
+@query
+def index_health(spark, sf_dir):
+    c = chunk_table(spark, sf_dir)
+    none = c.groupBy("book_file").agg(F.count("*").alias("chunks"), F.lit(0).alias("pages"), F.lit(0).alias("pages_dropped"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("vector"))
+    return io.health(io.manifest(c, none, "model", 64), c, vectors, 64)
 
 
 # --- grounding -----------------------------------------------------------------------------------
@@ -468,13 +552,13 @@ def grounding(spark, sf_dir):
 @query
 def regeneration(spark, sf_dir):
     first = _reports(spark, sf_dir)
-    second = first.where("query_id % 2 = 0").select("query_id", F.lit("second").alias("text"), (F.col("query_id") % 3 == 0).alias("verified"))
+    second = first.select("query_id", F.lit("second").alias("text"), (F.col("query_id") % 3 == 0).alias("verified"))
     return G.choose_regenerated(first, second).select("query_id", "verified", "regenerated")
 
 
 @query
 def flag_rate(spark, sf_dir):
-    """Share of unverified reports among all answers."""
+    """Share of unverified reports among all answers; ``evaluation`` has that among answered questions."""
     r = _reports(spark, sf_dir)
     return r.agg(F.count("*").alias("answers"), F.round(100 * F.count_if(~F.col("verified")) / F.greatest(F.lit(1), F.count("*")), 1).alias("flag_rate"))
 

@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """``df`` by way of a reliable checkpoint in ``spark.checkpoint.dir``, a folder that all executors share.
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, a folder that all executors share.
 
-    Only where that is unset a folder of our own is made, as in tests.
+    Only in local mode, as in tests, a folder of our own is made where that is unset; elsewhere it must be set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
+        found = sc.getConf().get("spark.checkpoint.dir", None)
+        if not found and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="lexmill-"))
+    return (sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()).rstrip("/")
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` by way of a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

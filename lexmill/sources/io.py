@@ -110,11 +110,28 @@ def validate_requests(requests: DataFrame, most: int = 500, turns: int = 6) -> D
     return requests.select("query_id", q.alias("question"), F.coalesce(kept, F.array().cast(schemas.TURN)).alias("history"), reason.alias("reason"))
 
 
-def answer_log(planned: DataFrame, selected: DataFrame, reports: DataFrame | None = None) -> DataFrame:
-    """(query_id, q, articles, confidence, mode, chunks, kind, verified): one record for each question."""
+def health(manifest_row: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, dim: int = 0) -> DataFrame:
+    """One row: mode, chunks, articles and embeddings of an index; hybrid with as many vectors of the right length as chunks."""
+    row = manifest_row.select(F.col("count").alias("chunks"), F.col("articles_indexed").alias("articles"))
+    if vectors is None:
+        return row.select(F.lit("bm25").alias("mode"), "chunks", "articles", F.lit(False).alias("embeddings"))
+    have = vectors.agg(F.count("*").alias("vectors"), F.count_if(F.size("vector") == dim).alias("right"))
+    full = (F.col("vectors") == F.col("chunks")) & (F.col("right") == F.col("chunks"))
+    return row.crossJoin(F.broadcast(have)).select(F.when(full, "hybrid").otherwise("bm25").alias("mode"), "chunks", "articles", full.alias("embeddings"))
+
+
+def answer_log(planned: DataFrame, selected: DataFrame, reports: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
+    """(query_id, q, articles, confidence, mode, chunks, model, ms, kind, verified): one record for each question.
+
+    ``calls(query_id, model, ms)`` holds what answered and how long it took, ``reports(query_id, verified)`` the checks.
+    """
     ids = selected.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "chunk_id"))).alias("c"))
     rows = planned.join(ids.select("query_id", F.transform("c", lambda x: x["chunk_id"]).alias("chunks")), "query_id", "left")
+    if calls is None:
+        calls = planned.select("query_id", F.lit(None).cast("string").alias("model"), F.lit(None).cast("long").alias("ms"))
+    rows = rows.join(calls.select("query_id", "model", "ms"), "query_id", "left")
+    model = F.when(F.col("kind") == "answer", F.col("model"))
     verified = F.lit(None).cast("boolean")
     if reports is not None:
         rows, verified = rows.join(reports.select("query_id", "verified"), "query_id", "left"), F.col("verified")
-    return rows.select("query_id", F.substring("question", 1, 200).alias("q"), "articles", "confidence", "mode", F.coalesce("chunks", F.array().cast("array<long>")).alias("chunks"), "kind", verified.alias("verified"))
+    return rows.select("query_id", F.substring("question", 1, 200).alias("q"), "articles", "confidence", "mode", F.coalesce("chunks", F.array().cast("array<long>")).alias("chunks"), model.alias("model"), "ms", "kind", verified.alias("verified"))
