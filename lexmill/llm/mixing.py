@@ -23,7 +23,7 @@ from .common import materialize, pick
 from .hashing import mix, small_batches
 
 #: Documents of a part of a source, about; each part is ordered and summed on its own.
-PART_DOCS = 20_000
+PART_DOCS = 1000
 #: Sources up to which their table (five numbers and the name a row) is broadcast.
 FEW_SOURCES = 10_000
 #: Shards that one row of the slot plan stands for when running totals are built.
