@@ -16,8 +16,8 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility normal form. Spark has no such function, so texts cross to Python once."""
-    return _nfkc(text)
+    """Compatibility normal form. Spark has no such function, so texts that are not ASCII, on which alone it acts, cross to Python."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def stripped(text: Column) -> Column:
@@ -32,7 +32,7 @@ def line_key(line: Column) -> Column:
 
 def normalise(text: Column, compat: bool = True) -> Column:
     """NFKC, no soft hyphens or zero-width signs, hyphenated words joined, blanks squeezed."""
-    t = F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text) if compat else text
+    t = nfkc(text) if compat else text
     t = F.regexp_replace(t, r"[\u00ad\u200b\ufeff]", "")
     t = F.regexp_replace(t, r"(?U)(\w)-\n(\w)", "$1$2")
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
+from .ranking import best
 
 #: Query vectors that one pass over the corpus takes with it.
 QUERY_BLOCK = 4096
@@ -21,11 +22,11 @@ def l2_normalised(v):
 
 def mean_pool(rows: DataFrame, dim: int) -> DataFrame:
     """(id, vector): the mean of the token vectors ``rows(id, vector)``; null where a length is not ``dim``."""
-    flat = rows.select("id", F.size("vector").alias("d"), F.posexplode("vector").alias("i", "x"))
-    cells = flat.groupBy("id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"), F.min("d").alias("lo"), F.max("d").alias("hi"))
-    pooled = cells.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # One partial sum for each place and id leaves a task, however many token vectors it has.
+    means = [F.avg(F.get("vector", F.lit(i)).cast("double")).alias(f"x{i}") for i in range(dim)]
+    pooled = rows.groupBy("id").agg(F.min(F.size("vector")).alias("lo"), F.max(F.size("vector")).alias("hi"), *means)
     ok = (F.col("lo") == dim) & (F.col("hi") == dim)
-    return pooled.select("id", F.when(ok, F.transform("v", lambda c: c["x"])).alias("vector"))
+    return pooled.select("id", F.when(ok, F.array(*[f"x{i}" for i in range(dim)])).alias("vector"))
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = params.POOL) -> DataFrame:
@@ -63,8 +64,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = params.POOL) -> D
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return out.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
+    return best(out, k, F.desc("score"), "chunk_id")
 
 
 def attach_vectors(chunks: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.text import tokens
+from .ranking import best
 
 #: Query-term rows up to which they are broadcast.
 SMALL = 200_000
@@ -71,8 +72,7 @@ def search(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int = param
     part = F.col("idf") * (F.col("tf") * (k1 + 1) / norm)
     hits = post.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("tpos", part.alias("w")))).alias("ws"))
     hits = hits.select("query_id", "chunk_id", F.aggregate("ws", F.lit(0.0), lambda acc, x: acc + x["w"]).alias("score")).where("score > 0")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
+    return best(hits, k, F.desc("score"), "chunk_id")
 
 
 def ideal_score(queries: DataFrame, post: DataFrame, stats: DataFrame, k1: float = params.K1, text="question") -> DataFrame:

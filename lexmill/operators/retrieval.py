@@ -15,6 +15,11 @@ from ..functions.text import coverage, tokens
 from . import dense as dense_ops
 from . import lexical
 from .quality import article_postings
+from .ranking import best
+
+
+#: Articles that questions name up to which their table is broadcast.
+FEW_ARTICLES = 200_000
 
 
 def understand(questions: DataFrame) -> DataFrame:
@@ -66,8 +71,7 @@ def rerank(fused: DataFrame, asked: DataFrame, chunks: DataFrame, keep: int = pa
     """(query_id, chunk_id, score, rank): fused score plus weighted coverage of the expanded question, the best ``keep``."""
     rows = fused.join(asked.select("query_id", tokens(F.col("expanded")).alias("qt")), "query_id").join(tokens_of(chunks, fused, "search_text").withColumnRenamed("toks", "ct"), "chunk_id")
     rows = rows.withColumn("score", F.col("rrf") + weight * coverage(F.col("qt"), F.col("ct")))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "first_list", "first_rank")
-    return rows.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < keep).select("query_id", "chunk_id", "score", "rank")
+    return best(rows, keep, F.desc("score"), "first_list", "first_rank").select("query_id", "chunk_id", "score", "rank")
 
 
 def choose(rows: list[tuple], most: int = params.FINAL_CHUNKS, budget: int = params.CONTEXT_CHARS, alike: float = 0.8) -> list[int]:
@@ -126,8 +130,8 @@ def confidence(asked: DataFrame, selected: DataFrame, pins: DataFrame, hints: Da
     top = selected.groupBy("query_id").agg(F.min(F.struct("pinned", "n", "chunk_id")).alias("t")).select("query_id", F.col("t.chunk_id").alias("chunk_id"))
     top = top.join(tokens_of(chunks, top, "search_text").withColumnRenamed("toks", "ct"), "chunk_id").drop("chunk_id")
     has = lambda df, name: df.select("query_id").distinct().withColumn(name, F.lit(True))
-    best = bm.where("rank = 0").select("query_id", F.col("score").alias("best"))
-    rows = asked.join(top, "query_id", "left").join(has(pins, "exact_hit"), "query_id", "left").join(has(hints, "has_hints"), "query_id", "left").join(best, "query_id", "left").join(ideal, "query_id", "left")
+    top_score = bm.where("rank = 0").select("query_id", F.col("score").alias("best"))
+    rows = asked.join(top, "query_id", "left").join(has(pins, "exact_hit"), "query_id", "left").join(has(hints, "has_hints"), "query_id", "left").join(top_score, "query_id", "left").join(ideal, "query_id", "left")
     rows = rows.select(
         "query_id", "intent", "pure", F.size("articles").alias("n_articles"), F.coalesce("exact_hit", F.lit(False)).alias("exact_hit"), F.coalesce("has_hints", F.lit(False)).alias("has_hints"),
         F.when(F.col("ct").isNotNull(), coverage(tokens(F.col("question")), F.col("ct"))).otherwise(F.lit(0.0)).alias("cov"),
@@ -142,6 +146,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame |
     Questions are sanitised; with a column ``history``, an array of (role, content), those that lean on the turn before
     are rewritten. Greetings and injections retrieve nothing. Vectors are optional: with both the mode is hybrid.
     """
+    from ..plans.sizes import small
     from ..plans.stages import stage
 
     clean = Q.sanitise(F.col("question"))
@@ -151,7 +156,8 @@ def retrieve(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame |
     live = asked.where(~F.col("intent").isin("greeting", "injection"))
     with_mentions = chunks.withColumn("indexed", F.concat_ws(" ", F.col(text), F.array_join("mentions", " ")))
     post, stats = lexical.index(with_mentions, "indexed")
-    arts = stage(article_postings(chunks))
+    named = live.select(F.explode(F.concat("articles", "hints")).alias("article")).select(Q.article_key("article").alias("article")).distinct()
+    arts = stage(article_postings(chunks, small(named, FEW_ARTICLES), params.PINNED_PER_ARTICLE))
     pins, hints = stage(pinned(live, arts)), stage(hinted(live, arts))
     bm = stage(lexical.search(live, post, stats, text="expanded"))
     lists = [bm]

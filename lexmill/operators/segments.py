@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.text import stripped, title_case
+from ..plans.sizes import small
 
 
 def toc_lines(text):
@@ -28,7 +29,7 @@ def mark_lines(pages: DataFrame, books: DataFrame) -> DataFrame:
     ``kind`` is header, toc, text (the empty segment after a contents page), part, title, chapter, schedule, article or
     line. Marker lines are told apart in books of kind ``constitution`` only.
     """
-    p = pages.join(F.broadcast(books.select(F.col("file").alias("book_file"), F.col("kind").alias("book_kind"))), "book_file")
+    p = pages.join(small(books.select(F.col("file").alias("book_file"), F.col("kind").alias("book_kind")), 100_000), "book_file")
     toc = is_toc_page(F.col("text"))
     lines = F.filter(F.transform(F.split("text", "\n", -1), stripped), lambda s: s != "")
     event = lambda kind, s: F.struct(F.lit(kind).alias("kind"), s.alias("s"))
