@@ -50,7 +50,11 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_digest(docs: DataFrame) -> DataFrame:
-    """Write documents to a token store in the shared folder and read it back."""
+    """Write documents to a token store in the shared folder and read it back: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts hold the end id only; repeated rows and rows with a null id have a row each; an empty table gives
+    an empty store and result. The store stays, for the result is read from it.
+    """
     spark = docs.sparkSession
     to = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_store.write_tokens(docs, to, tokenizer_file())

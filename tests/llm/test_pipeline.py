@@ -73,3 +73,32 @@ def test_stages(spark, tmp_path):
     assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(len(got))]
     assert sorted(r["doc_id"] for r in docs.collect()) == [r["doc_id"] for r in got]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(got)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, blank and long texts, repeated rows, clashing column names and empty tables, through each stage."""
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    rows = [(i, talk(rng, SOUNDS["en"], 30), "en", "s1", 1) for i in range(30)]
+    rows += [(50, rows[0][1] + " more", None, None, None), (51, rows[3][1], "en", "s2", 1), (51, rows[3][1], "en", "s2", 1), (None, talk(rng, SOUNDS["en"], 30), "en", "s1", 1), (None, None, None, None, None)]
+    rows += [(60, "", "en", "s1", 0), (61, "word " * 20000, "en", "s1", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, "an item that no text holds at all"), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = spark.createDataFrame(rows, schema)
+    odd = plain.selectExpr("*", "doc_id as DOC_ID", "lang as Lang", "'kept' as note")
+    names = odd.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == names, name
+        got = [tuple(r) for r in out.collect()]
+        assert got and all(r[5] == r[0] and r[6] == r[2] and r[7] == "kept" for r in got), name
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0, name
+        if name == "language identification":
+            assert sorted((r[0] for r in got), key=str) == sorted((i for i, t, *_ in rows if t), key=str)
+        if name == "n-gram Jaccard join":
+            assert sorted((r[0] for r in got), key=str) == sorted({i for i, *_ in rows if i not in (None, 50, 51)} | {None}, key=str) + [None]
+        if name == "benchmark decontamination":
+            assert len(got) == len(rows)
+    out = corpus_pipeline.STAGES[-1][1](spark, odd, str(tmp_path))
+    assert out.count() == len(rows) and corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), str(tmp_path)).count() == 0
