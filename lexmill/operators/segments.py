@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.text import stripped, title_case
 from ..plans.sizes import small
+from ..plans.stages import stage
+from .carry import carried
 
 
 def toc_lines(text):
@@ -48,38 +50,35 @@ def mark_lines(pages: DataFrame, books: DataFrame) -> DataFrame:
     bare = (F.col("kind") == "part") & (F.trim(F.coalesce(F.regexp_extract("s", params.PART, 2), F.lit(""))) == "")
     # Only line rows clear a pending title, so only they are looked back over.
     on_line = ~F.col("kind").isin("header", "toc", "text")
-    order = Window.partitionBy("book_file", F.col("on_line")).orderBy("pdf_page", "n")
-    rows = rows.withColumn("on_line", on_line).withColumn("pending", F.coalesce(F.lag(bare).over(order), F.lit(False)))
+    rows = carried(stage(rows), {"pending": F.when(on_line, bare)}, before=True).withColumn("on_line", on_line)
     capital = (F.upper("s") == s) & (F.lower("s") != s) & (F.length(s) < 60)
-    return rows.withColumn("kind", F.when(F.col("on_line") & F.col("pending") & capital & (F.col("kind") != "part"), "title").otherwise(F.col("kind"))).drop("on_line", "pending")
+    return rows.withColumn("kind", F.when(F.col("on_line") & F.coalesce("pending", F.lit(False)) & capital & (F.col("kind") != "part"), "title").otherwise(F.col("kind"))).drop("on_line", "pending")
 
 
 def segment(pages: DataFrame, books: DataFrame) -> DataFrame:
     """(book_file, seg, pdf_page, printed_page, part, chapter, article, article_title, section_type, text).
 
     Segments begin at parts, schedules, articles and contents pages and keep the page on which they begin. Labels are
-    carried forward by windows over a book's events in order; the text column is attached afterwards,
-    by segment. Books are independent; within one only narrow rows are ordered.
+    carried forward within blocks of pages, then from block to block, so a large book is many tasks.
     """
-    rows = mark_lines(pages, books)
-    order = Window.partitionBy("book_file").orderBy("pdf_page", "n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = stage(mark_lines(pages, books))
     kind, s = F.col("kind"), F.col("s")
     title = F.trim(F.coalesce(F.regexp_extract("s", params.PART, 2), F.lit("")))
     part = F.concat(F.lit("Part "), F.regexp_extract("s", params.PART, 1), F.when(title != "", F.concat(F.lit(" — "), title_case(title))).otherwise(""))
     base = F.when(kind == "header", s).when(kind == "part", part)
-    rows = rows.withColumn("base", F.last(base, True).over(order))
+    rows = carried(rows, {"base": base})
     named = F.when(kind == "title", F.concat("base", F.lit(" — "), title_case(s)))
-    rows = rows.withColumn("event", F.coalesce(base, named)).withColumn("run_part", F.last("event", True).over(order))
     chapter_title = F.trim(F.regexp_extract("s", params.CHAPTER, 2))
     chapter = F.concat(F.lit("Chapter "), F.upper(F.regexp_extract("s", params.CHAPTER, 1)), F.when(chapter_title != "", F.concat(F.lit(" — "), title_case(chapter_title))).otherwise(""))
     # A struct tells "reset to none" from "nothing happened".
     reset = F.when(kind == "chapter", F.struct(chapter.alias("v"))).when(kind == "part", F.struct(F.lit(None).cast("string").alias("v")))
-    rows = rows.withColumn("run_chapter", F.last(reset, True).over(order)["v"])
     opens = kind.isin("toc", "text", "part", "schedule", "article")
-    first = F.row_number().over(Window.partitionBy("book_file").orderBy("pdf_page", "n")) == 1
-    rows = rows.withColumn("opens", opens).withColumn("seg", F.sum((opens | (first & ~opens)).cast("int")).over(order))
-    head = F.col("opens") | (F.row_number().over(Window.partitionBy("book_file", "seg").orderBy("pdf_page", "n")) == 1)
-    rows = rows.withColumn("head", head)
+    # What stands before the first opening event of a book is a segment, too.
+    begin = rows.groupBy("book_file").agg(F.min(F.struct("pdf_page", "n")).alias("begin"))
+    rows = rows.join(small(begin, 100_000), "book_file")
+    head = opens | (F.struct("pdf_page", "n") == F.col("begin"))
+    rows = carried(stage(rows), {"run_part": F.coalesce(base, named), "run_chapter": reset}, counts={"seg": head.cast("int")})
+    rows = rows.withColumn("run_chapter", F.col("run_chapter.v")).withColumn("head", head)
     pick = lambda c: F.max(F.when(F.col("head"), c))
     schedule = F.concat(title_case(F.regexp_extract("s", params.SCHEDULE, 1)), F.lit(" Schedule"))
     own_part = F.when(kind == "schedule", schedule).otherwise(F.col("run_part"))
