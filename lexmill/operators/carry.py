@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stages import stage
+
 #: Pages of a block.
 BLOCK = 32
 
@@ -27,3 +29,18 @@ def carried(rows: DataFrame, values: dict[str, Column], before: bool = False, co
     rows = rows.join(blocks, ["book_file", "_block"])
     found = {k: F.coalesce(F.last(f"_v_{k}", True).over(inner), F.col(f"_b_{k}")) for k in values} | {k: F.coalesce(F.sum(f"_c_{k}").over(inner), F.lit(0)) + F.col(f"_b_{k}") for k in counts}
     return rows.withColumns(found).drop("_block", *[c for k in values for c in (f"_v_{k}", f"_b_{k}")], *[c for k in counts for c in (f"_c_{k}", f"_b_{k}")])
+
+
+def numbered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: the place of each row within its ``key`` in ``order``, from 1; rows that tie have places in no set order.
+
+    Rows are dealt out by ranges of key and order, numbered within a range, and ranges hand on their counts, so a large
+    key is many tasks.
+    """
+    dealt = stage(rows.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(key, "_part").agg(F.count("*").alias("_size"))
+    sizes = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
+    met = dealt.join(sizes, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    return met.withColumn(name, (within + F.col("_before")).cast("long")).drop("_part", "_key", "_p", "_before")

@@ -16,6 +16,8 @@ select book_file, pdf_page, case when pdf_page % 25 = 9 then concat('CONTENTS',
  text, chr(10), 'Gazette page ', pdf_page, chr(10), pdf_page) end as text
 from (select source as book_file, cast(row_number() over (partition by source order by doc_id) as int) as pdf_page, text from documents) raw
 """
+#: What numbers the pages in DuckDB; in Spark ``sources.io.number_pages`` does.
+NUMBERED = "(select source as book_file, cast(row_number() over (partition by source order by doc_id) as int) as pdf_page, text from documents) raw"
 
 BOOKS = """
 select concat('', source) as file, concat('Book of ', source) as title, case when source < 'src5' then 'constitution' else 'commentary' end as kind,

@@ -21,7 +21,7 @@ from ..sources import io
 from ..streaming.questions import plan_stream
 from ..streaming.rate_limit import rate_limit as limit_rows
 from .oracle import ORACLE  # noqa: F401
-from .overlay import VIEWS
+from .overlay import NUMBERED, VIEWS
 from .stages import scratch, stage
 
 QUERIES: dict = {}
@@ -38,6 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of ``overlay`` over the tables of a folder."""
+    if name == "pages_view":
+        raw = table(spark, sf_dir, "documents").select(F.col("source").alias("book_file"), "text", "doc_id")
+        return spark.sql(VIEWS[name].replace(NUMBERED, "{src}"), src=io.number_pages(raw, ["doc_id"]))
     source = "conversations" if name in ("questions_view", "answers_view", "expected_view") else "documents"
     return spark.sql(VIEWS[name].replace(f"from {source}", "from {src}"), src=table(spark, sf_dir, source))
 

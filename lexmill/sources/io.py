@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import stripped
+from ..operators.carry import numbered
 
 
 def number_pages(raw: DataFrame, order: list[str]) -> DataFrame:
     """Raw page texts ``(book_file, text, …)`` numbered from 1 within each book by ``order``; all pages are kept."""
-    n = F.row_number().over(Window.partitionBy("book_file").orderBy(*order))
-    return raw.select("book_file", n.alias("pdf_page"), "text")
+    rows = numbered(raw.select("book_file", "text", *order), "book_file", order, "pdf_page")
+    return rows.select("book_file", F.col("pdf_page").cast("int").alias("pdf_page"), "text")
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
