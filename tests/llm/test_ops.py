@@ -1,6 +1,7 @@
 """Each training-data operator against brute force, an exact round trip or held-out accuracy, and on odd tables."""
 
 import datetime
+import math
 import random
 import re
 import zlib
@@ -174,6 +175,29 @@ def test_kneser_ney_sums_to_one():
     assert 0.9 < total <= 1.0001
 
 
+def test_ftrl_against_one_coordinate_at_a_time():
+    rng = random.Random(12)
+    rows = []
+    for _ in range(60):
+        slots = sorted(rng.sample(range(9), rng.randrange(1, 6)))
+        rows.append((np.array([*slots, 9]), np.array([rng.uniform(0.1, 1) for _ in slots] + [1.0]), rng.randrange(2)))
+    alpha, beta, l1, l2, z, n = 0.15, 1.0, 0.02, 0.5, [0.0] * 10, [0.0] * 10
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for slots, values, label in rows:
+            w = [weight(i) for i in slots]
+            error = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, values)))) - label
+            for i, x, old in zip(slots, values, w):
+                g = error * x
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * old
+                n[i] += g * g
+    got = quality.ftrl(rows, np.zeros(10), 3, alpha, beta, l1, l2)
+    assert np.allclose(got, [weight(i) for i in range(10)], atol=1e-12) and np.abs(got).max() > 0
+
+
 def test_quality_held_out_accuracy(spark, odd):
     rng = random.Random(6)
     docs, labels = [], []
