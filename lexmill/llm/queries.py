@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, html_extract, jaccard, language_id, line_dedup, mixing, pseudonyms, quality, token_store
+from . import decontamination, embedding_dedup, exact_dedup, html_extract, jaccard, language_id, line_dedup, mixing, pseudonyms, quality, token_store
 from .common import shared_dir
 
 
@@ -78,8 +78,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = (op1_html_extraction, op2_source_mixing, op3_quality_classifier, op4_line_dedup, op5_pseudonyms, op6_token_output, op7_language_id, op8_ngram_jaccard, op9_embedding_dedup, op10_decontamination)
+    found = (op1_html_extraction, op2_source_mixing, op3_quality_classifier, op4_line_dedup, op5_pseudonyms, op6_token_output, op7_language_id, op8_ngram_jaccard, op9_embedding_dedup, op10_decontamination, op12_exact_dedup)
     return {f.__name__: f for f in found}
 
 
@@ -106,6 +110,13 @@ from embeddings left join (select x as vec_id, count(*) as n from p group by x)
 """
 
 
+#: Groups of equal texts.
+OP12_SQL = """
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window w as (partition by coalesce(text, ''))
+"""
+
+
 def oracle_sql() -> dict:
-    """SQL can express the exact joins; the other queries are tested by brute force, round trip or held-out accuracy."""
-    return {"op8_ngram_jaccard": OP8_SQL, "op9_embedding_dedup": OP9_SQL}
+    """SQL can express the exact joins and groups; the other queries are tested by brute force, round trip or held-out accuracy."""
+    return {"op8_ngram_jaccard": OP8_SQL, "op9_embedding_dedup": OP9_SQL, "op12_exact_dedup": OP12_SQL}
