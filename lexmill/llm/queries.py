@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, exact_dedup, html_extract, jaccard, language_id, line_dedup, mixing, pseudonyms, quality, token_store
+from . import alignment, decontamination, embedding_dedup, exact_dedup, html_extract, jaccard, language_id, line_dedup, mixing, pseudonyms, quality, token_store
 from .common import shared_dir
 
 
@@ -78,12 +78,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned(_table(spark, sf_dir, "documents"), tokenizer_file(), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    found = (op1_html_extraction, op2_source_mixing, op3_quality_classifier, op4_line_dedup, op5_pseudonyms, op6_token_output, op7_language_id, op8_ngram_jaccard, op9_embedding_dedup, op10_decontamination, op12_exact_dedup)
+    found = (op1_html_extraction, op2_source_mixing, op3_quality_classifier, op4_line_dedup, op5_pseudonyms, op6_token_output, op7_language_id, op8_ngram_jaccard, op9_embedding_dedup, op10_decontamination, op12_exact_dedup, op13_tokenizer_alignment)
     return {f.__name__: f for f in found}
 
 
