@@ -73,13 +73,13 @@ def _digits(text: str) -> str:
     return re.sub(r"\D", "", text)
 
 
-def _number(digits: str, key: bytes, tweak: str, valid=lambda d: True, keep: int = 0) -> str:
-    """Digits permuted among those of their length whose validity is the same; the first ``keep`` stay."""
-    head, rest, want = digits[:keep], digits[keep:], valid(digits)
+def _number(digits: str, key: bytes, tweak: str, valid=lambda d: True) -> str:
+    """Digits permuted among those of their length whose validity is the same."""
+    want = valid(digits)
     while True:
-        rest = str(permute(int(rest), 10 ** len(rest), key, f"{tweak}{len(digits)}{head}")).zfill(len(rest))
-        if valid(head + rest) == want:
-            return head + rest
+        digits = str(permute(int(digits), 10 ** len(digits), key, f"{tweak}{len(digits)}")).zfill(len(digits))
+        if valid(digits) == want:
+            return digits
 
 
 def card(text: str, key: bytes) -> str | None:
@@ -138,9 +138,9 @@ def email(text: str, key: bytes) -> str:
     name, host = text.rsplit("@", 1)
     host, last = host.rsplit(".", 1)
     given = f"{name}@{host}"
-    out = mixed(given.lower(), key, "email")
-    if len(out) == len(given):
-        out = "".join(c.upper() if g.isupper() and c.upper().lower() == c else c for c, g in zip(out, given))
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in given)
+    out = mixed(low, key, "email")
+    out = "".join(c.upper() if g.isupper() and c.upper().lower() == c else c for c, g in zip(out, given))
     return f"{out}.{last}"
 
 
@@ -162,14 +162,33 @@ def ssn(text: str, key: bytes) -> str | None:
     return _refill(text, _number(d, key, "ssn", ssn_ok), str.isdigit) if ssn_ok(d) else None
 
 
+# Calling codes of one and of two digits; all others have three.
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def phone_parts(text: str) -> tuple[str, str, int]:
+    """(country, national number, digits written before it) of a number, however it is written.
+
+    After a + the country is told by the table of calling codes; numbers in the North American form without one are of country 1. A
+    zero in parentheses after the country is no part of the national number.
+    """
+    d = _digits(text)
+    if not text.startswith("+"):
+        before = len(d) - 10
+        return ("1", d[before:], before) if before == 0 or before == 1 and d[0] == "1" else ("", d, 0)
+    size = 1 if d.startswith(ONE_DIGIT) else 2 if d[:2] in TWO_DIGITS else 3
+    before = size + (re.match(r"\+\d{%d}[ .-]?\(0\)" % size, text) is not None)
+    return d[:size], d[before:], before
+
+
 def phone(text: str, key: bytes) -> str | None:
-    """Numbers of 7 to 15 digits; what stands before the first separator after a + is the country and stays."""
+    """Numbers of 7 to 15 digits: the national number is permuted among those of its country and length, and written in the given form."""
     d = _digits(text)
     if not 7 <= len(d) <= 15:
         return None
-    m = re.match(r"\+(\d{1,3})[ .(-]", text)
-    keep = len(m[1]) if m else 0
-    return _refill(text, _number(d, key, "phone", keep=keep), str.isdigit)
+    country, national, before = phone_parts(text)
+    return _refill(text, d[:before] + _number(national, key, f"phone{country}|"), str.isdigit)
 
 
 def date(text: str, key: bytes) -> str | None:
