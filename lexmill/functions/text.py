@@ -90,18 +90,50 @@ def comparable(text: Column, compat: bool = False) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, "[“”\"'‘’]", ""), "[^a-z0-9]+", " "))
 
 
-def trigrams(words: Column) -> Column:
-    """Three words each, joined by spaces; all words as one where there are fewer."""
-    three = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " "))
-    return F.when(F.size(words) < 3, F.array(F.array_join(words, " "))).otherwise(three)
+def supports(quotes: list[str | None], context: str) -> list[float | None]:
+    """For quotes (null for null) and a context in comparable form: 1 for a blank or contained quote, else the share of its word trigrams that are contained.
+
+    A contained trigram may begin and end inside a word, but its middle word is a whole one. So the context's words are looked
+    up by their places, which are found once, and their neighbours decide.
+    """
+    words = context.split(" ")
+    places: dict[str, list[int]] = {}
+    for i in range(1, len(words) - 1):
+        places.setdefault(words[i], []).append(i)
+    known: dict[tuple, bool] = {}
+
+    def holds(gram: tuple) -> bool:
+        if gram not in known:
+            left, middle, right = gram
+            known[gram] = any(words[i - 1].endswith(left) and words[i + 1].startswith(right) for i in places.get(middle, ()))
+        return known[gram]
+
+    out = []
+    for q in quotes:
+        w = (q or "").split(" ")
+        if q is None:
+            out.append(None)
+        elif q == "" or q in context:
+            out.append(1.0)
+        else:
+            grams = list(zip(w, w[1:], w[2:]))
+            out.append(sum(map(holds, grams)) / max(1, len(grams)))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _supports(quotes: pd.Series, context: pd.Series) -> pd.Series:
+    return pd.Series([[] if q is None else supports(list(q), c) for q, c in zip(quotes, context)])
+
+
+def quote_supports(quotes: Column, context: Column) -> Column:
+    """``supports`` of an array of quotes; the context is brought to comparable form and indexed once for all of them."""
+    return _supports(F.transform(quotes, lambda q: comparable(q)), comparable(F.coalesce(context, F.lit(""))))
 
 
 def quote_support(quote: Column, context: Column) -> Column:
     """1 if the quote is blank or contained in the context, else the share of its word trigrams that are."""
-    q, c = comparable(quote), comparable(context)
-    grams = trigrams(F.split(q, " "))
-    share = F.size(F.filter(grams, lambda g: F.contains(c, g))) / F.size(grams)
-    return F.when((q == "") | F.contains(c, q), F.lit(1.0)).otherwise(share)
+    return F.get(quote_supports(F.array(quote), context), F.lit(0))
 
 
 def mentions(text: Column) -> Column:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.sizes import small
 from ..plans.stages import stage
 
+#: Numbered keys up to which their table is broadcast, so that the rows need not move.
+FEW_KEYS = 200_000
 #: Pages of a block.
 BLOCK = 32
 
@@ -34,13 +37,22 @@ def carried(rows: DataFrame, values: dict[str, Column], before: bool = False, co
 def numbered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     """Adds ``name``: the place of each row within its ``key`` in ``order``, from 1; rows that tie have places in no set order.
 
-    Rows are dealt out by ranges of key and order, numbered within a range, and ranges hand on their counts, so a large
-    key is many tasks.
+    Only keys and order are dealt out by ranges: they are counted up within a range, and ranges hand on their sums, so a large
+    key is many tasks and no other column moves for it. The rows meet their numbers afterwards.
     """
-    dealt = stage(rows.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
+    keys = rows.groupBy(key, *order).agg(F.count("*").alias("_m"))
+    dealt = stage(keys.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
     earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy(key, "_part").agg(F.count("*").alias("_size"))
+    sizes = dealt.groupBy(key, "_part").agg(F.sum("_m").alias("_size"))
     sizes = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
+    within = F.coalesce(F.sum("_m").over(Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     met = dealt.join(sizes, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
-    return met.withColumn(name, (within + F.col("_before")).cast("long")).drop("_part", "_key", "_p", "_before")
+    met = met.select(*[F.col(c).alias(f"_{c}") for c in (key, *order)], (within + F.col("_before") + 1).cast("long").alias(name))
+    met = small(met, FEW_KEYS)
+    on = F.lit(True)
+    for c in (key, *order):
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = rows.join(met, on).drop(*[f"_{c}" for c in (key, *order)])
+    if not dealt.where("_m > 1").isEmpty():
+        out = out.withColumn(name, F.col(name) + F.row_number().over(Window.partitionBy(key, *order).orderBy(F.lit(0))) - 1)
+    return out

@@ -67,6 +67,12 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = params.POOL) -> D
     return best(out, k, F.desc("score"), "chunk_id")
 
 
+def usable_dim(vectors: DataFrame, n: int) -> int:
+    """The length of chunk vectors if there are ``n`` of them and all have it, else 0: an index without vectors for all has none."""
+    row = vectors.agg(F.count("vector").alias("n"), F.min(F.size("vector")).alias("lo"), F.max(F.size("vector")).alias("hi")).first()
+    return row["hi"] if n and row["n"] == n and row["lo"] == row["hi"] and row["hi"] > 0 else 0
+
+
 def attach_vectors(chunks: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """Chunks with ``vector`` and ``mode``: hybrid if there are as many vectors of the right length as chunks, else bm25 and none."""
     n = chunks.agg(F.count("*").alias("chunks"))

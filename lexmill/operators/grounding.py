@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import quote_support, stripped
+from ..functions.text import quote_supports, stripped
 
 # Citation markers, quotes and named articles in answers.
 MARK = r"\[(\d{1,2})\]"
@@ -52,7 +52,8 @@ def check_grounding(answers: DataFrame, context: DataFrame, least: float = 0.9)
     rows = rows.select("query_id", "answer", F.coalesce("n_sources", F.lit(0)).alias("n"), F.coalesce("context", F.lit("")).alias("context"), F.coalesce("known", F.array().cast("array<string>")).alias("known"))
     text, invalid = citations(F.col("answer"), F.col("n"))
     rows = rows.withColumn("text", text).withColumn("invalid_citations", invalid)
-    rows = rows.withColumn("unverified_quotes", F.filter(quotes(F.col("text")), lambda q: quote_support(q, F.col("context")) < least))
+    rows = rows.withColumn("quotes", quotes(F.col("text"))).withColumn("supports", quote_supports(F.col("quotes"), F.col("context")))
+    rows = rows.withColumn("unverified_quotes", F.filter("quotes", lambda q, i: F.get("supports", i) < least))
     rows = rows.withColumn("unknown_articles", unknown_articles(F.col("text"), F.col("known"), F.col("context")))
     fine = (F.size("unverified_quotes") == 0) & (F.size("unknown_articles") == 0) & (F.size("invalid_citations") == 0)
     return rows.select("query_id", "text", fine.alias("verified"), "unverified_quotes", "unknown_articles", "invalid_citations")

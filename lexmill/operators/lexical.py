@@ -58,8 +58,7 @@ def weighted_terms(terms: DataFrame, df: DataFrame, stats: DataFrame) -> DataFra
 def search(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int = params.POOL, k1: float = params.K1, b: float = params.B, text="question") -> DataFrame:
     """(query_id, chunk_id, score, rank): the best ``k`` chunks by BM25, rank from 0, ties by chunk id.
 
-    ``stats`` is one row. Term weights are summed in the order of the query's terms, so scores do not depend on
-    partitioning. Queries are broadcast only below a counted size; beyond it the join is by shuffle.
+    ``stats`` is one row. Queries are broadcast only below a counted size; beyond it the join is by shuffle.
     """
     from ..plans.sizes import small
 
@@ -67,6 +66,16 @@ def search(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int = param
     # Document frequencies are counted for the query's terms only.
     wanted = small(asked.select("term").distinct(), SMALL)
     terms = weighted_terms(asked, document_frequency(post.join(wanted, "term", "left_semi")), stats)
+    return scored(terms, post, k, k1, b)
+
+
+def scored(terms: DataFrame, post: DataFrame, k: int = params.POOL, k1: float = params.K1, b: float = params.B) -> DataFrame:
+    """``search`` for weighted terms ``(query_id, term, tpos, idf, avgdl)``.
+
+    Term weights are summed in the order of the query's terms, so scores do not depend on partitioning.
+    """
+    from ..plans.sizes import small
+
     terms = small(terms.select("query_id", "term", "tpos", "idf", "avgdl"), SMALL)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl"))
     part = F.col("idf") * (F.col("tf") * (k1 + 1) / norm)
@@ -82,6 +91,11 @@ def ideal_score(queries: DataFrame, post: DataFrame, stats: DataFrame, k1: float
     asked = query_terms(queries, text)
     wanted = small(asked.select("term").distinct(), SMALL)
     terms = weighted_terms(asked, document_frequency(post.join(wanted, "term", "left_semi")), stats)
+    return ideal(queries, terms, k1)
+
+
+def ideal(queries: DataFrame, terms: DataFrame, k1: float = params.K1) -> DataFrame:
+    """``ideal_score`` for weighted terms ``(query_id, tpos, idf)``."""
     parts = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("tpos", (F.col("idf") * (k1 + 1) * 0.5).alias("w")))).alias("ws"))
     parts = parts.select("query_id", F.aggregate("ws", F.lit(0.0), lambda acc, x: acc + x["w"]).alias("ideal"))
     return queries.select("query_id").join(parts, "query_id", "left").select("query_id", F.coalesce("ideal", F.lit(0.0)).alias("ideal"))

@@ -5,7 +5,6 @@ Chunks are in the schema of ``schemas.CHUNK``; questions are ``(query_id, questi
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +13,10 @@ from ..functions import questions as Q
 from ..functions.text import coverage, tokens
 from . import dense as dense_ops
 from . import lexical
-from .quality import article_postings
+from .index import Index, hashes, write_index
 from .ranking import best
 
 
-#: Articles that questions name up to which their table is broadcast.
-FEW_ARTICLES = 200_000
-
-
 def understand(questions: DataFrame) -> DataFrame:
     """Questions with intent, articles, expanded text, hint articles and pure-article flag."""
     q = F.col("question")
@@ -60,59 +55,55 @@ def fuse(lists: list[DataFrame], k: int = params.RRF_K) -> DataFrame:
     return out.select("query_id", "chunk_id", "rrf", F.col("at.list").alias("first_list"), F.col("at.rank").alias("first_rank"))
 
 
-def tokens_of(chunks: DataFrame, rows: DataFrame, text: str, *more) -> DataFrame:
-    """(chunk_id, toks, …) of the chunks in ``rows`` only, each tokenised once."""
+def words_of(chunks: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """(chunk_id, search_set) of the chunks in ``rows`` only, for a table of chunks without an index."""
     wanted = rows.select("chunk_id").distinct()
-    found = chunks.select(F.col("id").alias("chunk_id"), F.col(text).alias("_text"), *more).join(wanted, "chunk_id", "left_semi")
-    return found.withColumn("toks", tokens(F.col("_text"))).drop("_text")
+    found = chunks.select(F.col("id").alias("chunk_id"), F.col(text).alias("_text")).join(wanted, "chunk_id", "left_semi")
+    return found.select("chunk_id", hashes(tokens(F.col("_text"))).alias("search_set"))
 
 
-def rerank(fused: DataFrame, asked: DataFrame, chunks: DataFrame, keep: int = params.RERANK_KEEP, weight: float = params.COVERAGE_WEIGHT) -> DataFrame:
-    """(query_id, chunk_id, score, rank): fused score plus weighted coverage of the expanded question, the best ``keep``."""
-    rows = fused.join(asked.select("query_id", tokens(F.col("expanded")).alias("qt")), "query_id").join(tokens_of(chunks, fused, "search_text").withColumnRenamed("toks", "ct"), "chunk_id")
-    rows = rows.withColumn("score", F.col("rrf") + weight * coverage(F.col("qt"), F.col("ct")))
+def rerank(fused: DataFrame, asked: DataFrame, words: DataFrame, keep: int = params.RERANK_KEEP, weight: float = params.COVERAGE_WEIGHT) -> DataFrame:
+    """(query_id, chunk_id, score, rank): fused score plus weighted coverage of the expanded question, the best ``keep``.
+
+    ``words``: (chunk_id, search_set), token hashes as in ``index.hashes``.
+    """
+    rows = fused.join(asked.select("query_id", hashes(tokens(F.col("expanded"))).alias("qt")), "query_id").join(words.select("chunk_id", "search_set"), "chunk_id")
+    rows = rows.withColumn("score", F.col("rrf") + weight * coverage(F.col("qt"), F.col("search_set")))
     return best(rows, keep, F.desc("score"), "first_list", "first_rank").select("query_id", "chunk_id", "score", "rank")
 
 
-def choose(rows: list[tuple], most: int = params.FINAL_CHUNKS, budget: int = params.CONTEXT_CHARS, alike: float = 0.8) -> list[int]:
-    """Indices of the rows kept of (chunk_id, pinned, section_type, n_chars, token set), given in order.
+_KEPT = "array<struct<chunk_id:bigint,score:double,pinned:boolean,words:array<bigint>>>"
 
-    Pinned rows are kept whatever their likeness or number; others stop at ``most``. A row that exceeds what is left
-    of the budget is passed over, as is one too like a kept row and a contents row once three are kept.
+
+def select_diverse(pins: DataFrame, ranked: DataFrame, words: DataFrame, most: int = params.FINAL_CHUNKS, budget: int = params.CONTEXT_CHARS, alike: float = 0.8) -> DataFrame:
+    """(query_id, chunk_id, score, pinned, n): the selection for each query, n from 1.
+
+    ``words``: (chunk_id, text_set, section_type, n_chars). Pinned rows come first and are kept whatever their likeness or number;
+    others stop at ``most``. A row that exceeds what is left of the budget is passed over, as is one too like a kept row and
+    a contents row once three are kept. One fold over the pins and at most a dozen ranked rows of a query.
     """
-    out, ids, sets, left = [], set(), [], budget
-    for i, (chunk, pin, kind, size, words) in enumerate(rows):
-        if not pin and len(out) >= most:
-            break
-        if chunk in ids or size > left or not pin and kind == "toc" and len(out) > 2:
-            continue
-        if not pin and any(len(s & words) > alike * max(1, len(s | words)) for s in sets):
-            continue
-        out.append(i)
-        ids.add(chunk)
-        sets.append(words)
-        left -= size
-    return out
-
-
-def select_diverse(pins: DataFrame, ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score, pinned, n): the selection for each query, n from 1; a query brings its pins and 12 rows."""
     rows = pins.select("query_id", "chunk_id", F.lit(1.0).alias("score"), F.lit(True).alias("pinned"), F.col("place").alias("at"))
     rows = rows.unionByName(ranked.select("query_id", "chunk_id", "score", F.lit(False).alias("pinned"), F.col("rank").alias("at")))
-    from ..plans.stages import stage
+    rows = rows.join(words.select("chunk_id", "text_set", "section_type", "n_chars"), "chunk_id")
+    row = F.struct((~F.col("pinned")).alias("late"), "at", "chunk_id", "score", "section_type", "n_chars", "text_set")
+
+    def fold(acc, x):
+        kept, pin = acc["kept"], ~x["late"]
 
-    rows = stage(rows)
-    text = tokens_of(chunks, rows, "text", "section_type", F.length("text").alias("n_chars")).withColumn("toks", F.array_distinct("toks"))
-    rows = rows.join(text, "chunk_id")
+        def like(k):
+            both = F.size(F.array_intersect(k["words"], x["text_set"]))
+            return both > alike * F.greatest(F.lit(1), F.size(k["words"]) + F.size(x["text_set"]) - both)
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pinned", "at", "chunk_id"], ascending=[False, True, True])
-        got = choose([(r.chunk_id, r.pinned, r.section_type, r.n_chars, set(r.toks)) for r in pdf.itertuples()])
-        out = pdf.iloc[got][["query_id", "chunk_id", "score", "pinned"]].copy()
-        out["n"] = range(1, len(out) + 1)
-        return out
+        fits = ~F.exists(kept, lambda k: k["chunk_id"] == x["chunk_id"]) & (x["n_chars"] <= acc["room"])
+        other = (F.size(kept) < most) & ~((x["section_type"] == "toc") & (F.size(kept) > 2)) & ~F.exists(kept, like)
+        taken = F.struct(x["chunk_id"].alias("chunk_id"), x["score"].alias("score"), pin.alias("pinned"), x["text_set"].alias("words"))
+        more = F.struct(F.concat(kept, F.array(taken)).cast(_KEPT).alias("kept"), (acc["room"] - x["n_chars"]).alias("room"))
+        return F.when(fits & (pin | other), more).otherwise(acc)
 
-    return rows.groupBy("query_id").applyInPandas(pick, "query_id long, chunk_id long, score double, pinned boolean, n int")
+    start = F.struct(F.array().cast(_KEPT).alias("kept"), F.lit(budget).alias("room"))
+    one = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    one = one.select("query_id", F.posexplode(F.aggregate("rows", start, fold)["kept"]).alias("pos", "k"))
+    return one.select("query_id", "k.chunk_id", "k.score", "k.pinned", (F.col("pos") + 1).alias("n"))
 
 
 def confidence_ladder():
@@ -125,50 +116,64 @@ def confidence_ladder():
     )
 
 
-def confidence(asked: DataFrame, selected: DataFrame, pins: DataFrame, hints: DataFrame, bm: DataFrame, ideal: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, confidence, cov, ratio, exact_hit, pure_article)."""
+def confidence(asked: DataFrame, selected: DataFrame, pins: DataFrame, hints: DataFrame, bm: DataFrame, ideal: DataFrame, words: DataFrame) -> DataFrame:
+    """(query_id, confidence, exact_hit, pure_article)."""
     top = selected.groupBy("query_id").agg(F.min(F.struct("pinned", "n", "chunk_id")).alias("t")).select("query_id", F.col("t.chunk_id").alias("chunk_id"))
-    top = top.join(tokens_of(chunks, top, "search_text").withColumnRenamed("toks", "ct"), "chunk_id").drop("chunk_id")
+    top = top.join(words.select("chunk_id", F.col("search_set").alias("ct")), "chunk_id").drop("chunk_id")
     has = lambda df, name: df.select("query_id").distinct().withColumn(name, F.lit(True))
     top_score = bm.where("rank = 0").select("query_id", F.col("score").alias("best"))
     rows = asked.join(top, "query_id", "left").join(has(pins, "exact_hit"), "query_id", "left").join(has(hints, "has_hints"), "query_id", "left").join(top_score, "query_id", "left").join(ideal, "query_id", "left")
     rows = rows.select(
         "query_id", "intent", "pure", F.size("articles").alias("n_articles"), F.coalesce("exact_hit", F.lit(False)).alias("exact_hit"), F.coalesce("has_hints", F.lit(False)).alias("has_hints"),
-        F.when(F.col("ct").isNotNull(), coverage(tokens(F.col("question")), F.col("ct"))).otherwise(F.lit(0.0)).alias("cov"),
+        F.when(F.col("ct").isNotNull(), coverage(hashes(tokens(F.col("question"))), F.col("ct"))).otherwise(F.lit(0.0)).alias("cov"),
         F.coalesce(F.col("best") / F.greatest(F.lit(1e-6), F.col("ideal")), F.lit(0.0)).alias("ratio"),
     )
-    return rows.select("query_id", confidence_ladder().alias("confidence"), "cov", "ratio", "exact_hit", (F.col("exact_hit") & F.col("pure")).alias("pure_article"))
+    return rows.select("query_id", confidence_ladder().alias("confidence"), "exact_hit", (F.col("exact_hit") & F.col("pure")).alias("pure_article"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, text="search_text") -> tuple[DataFrame, DataFrame]:
-    """(one row per question, selected chunks) for a table of questions against an index.
+def retrieve(questions: DataFrame, index: Index | DataFrame, query_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, text="search_text") -> tuple[DataFrame, DataFrame]:
+    """(one row per question, selected chunks) for a table of questions against a stored index, or a table of chunks that is indexed first.
 
     Questions are sanitised; with a column ``history``, an array of (role, content), those that lean on the turn before
-    are rewritten. Greetings and injections retrieve nothing. Vectors are optional: with both the mode is hybrid.
+    are rewritten, and the column is handed on for the prompt. Greetings and injections retrieve nothing. A question is
+    planned in mode ``hybrid`` if the index has a vector of one length for each chunk and the question has one of that length,
+    else in mode ``bm25``. With an index no text of the corpus is read.
     """
-    from ..plans.sizes import small
-    from ..plans.stages import stage
+    from ..plans.stages import scratch, stage
 
-    clean = Q.sanitise(F.col("question"))
-    if "history" in questions.columns:
+    spark = questions.sparkSession
+    if not isinstance(index, Index):
+        index = write_index(index, scratch(spark, "index"), text)
+    clean, more = Q.sanitise(F.col("question")), [c for c in ("history",) if c in questions.columns]
+    if more:
         clean = Q.follow_up(clean, F.col("history"))
     asked = stage(understand(questions.withColumn("question", clean)))
     live = asked.where(~F.col("intent").isin("greeting", "injection"))
-    with_mentions = chunks.withColumn("indexed", F.concat_ws(" ", F.col(text), F.array_join("mentions", " ")))
-    post, stats = lexical.index(with_mentions, "indexed")
     named = live.select(F.explode(F.concat("articles", "hints")).alias("article")).select(Q.article_key("article").alias("article")).distinct()
-    arts = stage(article_postings(chunks, small(named, FEW_ARTICLES), params.PINNED_PER_ARTICLE))
-    pins, hints = stage(pinned(live, arts)), stage(hinted(live, arts))
-    bm = stage(lexical.search(live, post, stats, text="expanded"))
-    lists = [bm]
-    if query_vectors is not None and chunk_vectors is not None:
-        lists.append(stage(dense_ops.dense_topk(query_vectors.join(live.select("query_id"), "query_id", "left_semi"), chunk_vectors)))
-    ranked = rerank(stage(fuse([*lists, hints])), live, chunks)
-    selected = stage(select_diverse(pins, ranked, chunks))
-    sure = confidence(live, selected, pins, hints, bm, lexical.ideal_score(live, post, stats), chunks)
-    out = asked.join(sure, "query_id", "left").withColumn("mode", F.lit("hybrid" if len(lists) == 2 else "bm25"))
+    arts = stage(index.articles(stage(named), params.PINNED_PER_ARTICLE))
+    pins, hints = pinned(live, arts), hinted(live, arts)
+
+    terms = stage(lexical.query_terms(live, "expanded").withColumn("of", F.lit("expanded")).unionByName(lexical.query_terms(live).withColumn("of", F.lit("question"))))
+    wanted = stage(terms.select("term").distinct())
+    weighted = stage(lexical.weighted_terms(terms, index.frequencies(wanted), index.stats))
+    bm = stage(lexical.scored(weighted.where("of = 'expanded'"), index.postings(wanted)))
+    lists, asked_by_vector = [bm], live.select("query_id").where(F.lit(False))
+    if query_vectors is not None and chunk_vectors is not None and (dim := dense_ops.usable_dim(chunk_vectors, index.n)):
+        good = stage(query_vectors.where(F.size("vector") == dim).join(live.select("query_id"), "query_id", "left_semi"))
+        asked_by_vector = good.select("query_id")
+        lists.append(stage(dense_ops.dense_topk(good, chunk_vectors)))
+
+    fused = stage(fuse([*lists, hints]))
+    words = stage(index.words(stage(fused.select("chunk_id").union(pins.select("chunk_id")).distinct())))
+    selected = stage(select_diverse(pins, rerank(fused, live, words), words))
+    sure = confidence(live, selected, pins, hints, bm, lexical.ideal(live, weighted.where("of = 'question'")), words)
+    mode = asked_by_vector.distinct().withColumn("mode", F.lit("hybrid"))
+    out = asked.join(sure, "query_id", "left").join(mode, "query_id", "left")
     quiet = F.col("intent").isin("greeting", "injection")
-    return out.select("query_id", "question", "intent", "articles", F.when(quiet, "low").otherwise(F.col("confidence")).alias("confidence"), F.when(quiet, "bm25").otherwise(F.col("mode")).alias("mode"), F.coalesce("pure_article", F.lit(False)).alias("pure_article")), selected
+    return out.select(
+        "query_id", "question", "intent", "articles", F.when(quiet, "low").otherwise(F.col("confidence")).alias("confidence"), F.coalesce("mode", F.lit("bm25")).alias("mode"),
+        F.coalesce("pure_article", F.lit(False)).alias("pure_article"), *more,
+    ), selected
 
 
 def plan_kind():

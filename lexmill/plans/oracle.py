@@ -52,6 +52,9 @@ def mentions(x: str) -> str:
 CH = f"""ch as (select *, case when article is null then [] else [article] end as article_numbers, {mentions('text')} as mentions,
  concat(concat_ws(' — ', book_title, nullif(part, ''), case when section_type = 'article' and article is not null then concat('Article ', article, case when article_title is not null then concat(': ', article_title) else '' end) end), chr(10), text) as search_text from ({CHUNKS}))"""
 
+#: What is searched of each chunk.
+INDEXED = f"ix as (select id as chunk_id, {toks("concat_ws(' ', search_text, array_to_string(mentions, ' '))")} as ts from ch)"
+
 NORMAL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\\x{00AD}\\x{200B}\\x{FEFF}]', '', 'g'), '(\\w)-\\n(\\w)', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10)||chr(10), 'g')"
 REPEATING = f"""pg as ({PAGES}), pl as (select book_file, pdf_page, list_transform(string_split(coalesce(text,''), chr(10)), lambda l: {strip('l')}) as lines from pg),
  edge as (select book_file, pdf_page, unnest(list_distinct(list_filter(list_transform(list_concat(lines[1:3], lines[greatest(1,len(lines)-2):]), lambda l: {line_key('l')}), lambda k: length(k) > 3))) as key from pl),
@@ -112,6 +115,12 @@ TOPK = f"""{LEX}, sc as (select query_id, chunk_id, sum(idf * (tf * 2.5 / (tf +
 #: The vectors whose id is twenty times a question's, against all; ids of vectors are those of documents.
 DENSE = """de as (select vec_id, list_transform(embedding, lambda v: v::double) as e from embeddings), dn as (select q.vec_id // 20 as query_id, d.vec_id as chunk_id, list_inner_product(q.e, d.e) as score from de q, de d where q.vec_id % 20 = 0),
  oth as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from dn where query_id in (select item_id from benchmark) qualify rank < 30)"""
+#: The same for an index with a vector for each document, that of its id modulo their number; ``qv`` are the questions that have one.
+DENSE_ALL = """de as (select vec_id, list_transform(embedding, lambda v: v::double) as e from embeddings), nv as (select count(*) as m from embeddings),
+ ok as (select (select count(*) from documents) = count(*) and min(len(e)) = max(len(e)) as full, max(len(e)) as dim from documents, nv join de on true where vec_id = doc_id % m),
+ qv as (select vec_id // 20 as query_id, e from de, ok where vec_id % 20 = 0 and ok.full and len(e) = ok.dim and vec_id // 20 in (select item_id from benchmark)),
+ dn as (select q.query_id, doc_id as chunk_id, list_inner_product(q.e, d.e) as score from qv q, documents, nv, de d where d.vec_id = doc_id % m),
+ oth as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from dn qualify rank < 30)"""
 FUSED = f"""{TOPK}, {DENSE}, ls as (select query_id, chunk_id, 0 as l, rank from tk30 union all select query_id, chunk_id, 1, rank from oth),
  fz as (select query_id, chunk_id, coalesce(max(1.0::double / (61 + rank)) filter (where l = 0), 0) + coalesce(max(1.0::double / (61 + rank)) filter (where l = 1), 0) as rrf, min(l * 1000 + rank) // 1000 as first_list, min(l * 1000 + rank) % 1000 as first_rank from ls group by all)"""
 
@@ -207,7 +216,7 @@ def retrieved(dense: bool) -> str:
   from live left join tp using (query_id) left join ct on ct.chunk_id = tp.chunk_id left join bm on bm.query_id = live.query_id and bm.rank = 0 left join idl on idl.query_id = live.query_id),
  pl0 as (select un.query_id, question, intent, articles, case when cf.query_id is null then 'low' when exact then 'high' when len(articles) > 0 then 'low' when intent = 'offtopic' then case when cov >= 0.8 and ratio > 0.6 then 'medium' else 'low' end
    when hinted and cov >= 0.3 then 'high' when cov >= 0.6 and ratio > 0.35 then 'high' when cov >= 0.4 and ratio > 0.2 then 'medium' else 'low' end as confidence,
-  case when cf.query_id is null then 'bm25' else '{"hybrid" if dense else "bm25"}' end as mode, coalesce(exact and pure, false) as pure_article from un left join cf using (query_id)),
+  {"case when cf.query_id is not null and un.query_id in (select query_id from qv) then 'hybrid' else 'bm25' end" if dense else "'bm25'"} as mode, coalesce(exact and pure, false) as pure_article from un left join cf using (query_id)),
  planned as (select *, case when intent in ('greeting', 'injection') then 'canned' when confidence = 'low' then 'refusal' else 'answer' end as kind,
   case when intent in ('greeting', 'injection') then intent when confidence = 'low' then case when intent = 'offtopic' then 'offtopic' else 'low confidence' end end as reason from pl0)"""
 
@@ -221,7 +230,7 @@ WITH_HISTORY = f"""q0 as ({QUESTIONS}), t0 as (select c.conv_id, c.turn, c.role,
  h5 as (select query_id, question, {articles('qn')} as al from (select *, {numbers('question')} as qn from h4)), asked as (select query_id, question, list_filter(al, lambda a, i: list_position(al, a) = i) as articles from h5)"""
 RETRIEVED = f"{WITH_HISTORY}, {APOST}, {retrieved(False)}"
 HYBRID = f"""b0 as (select item_id as query_id, text as question from benchmark), b1 as (select query_id, {SAN} as question from b0), b2 as (select query_id, question, {articles('qn')} as al from (select *, {numbers('question')} as qn from b1)),
- asked as (select query_id, question, list_filter(al, lambda a, i: list_position(al, a) = i) as articles from b2), {APOST}, {DENSE}, {retrieved(True)}"""
+ asked as (select query_id, question, list_filter(al, lambda a, i: list_position(al, a) = i) as articles from b2), {APOST}, {DENSE_ALL}, {retrieved(True)}"""
 PLANS = "query_id, question, intent, array_to_string(articles, ',') as articles, confidence, mode, pure_article, kind, reason"
 CONTEXT = """cx as (select query_id, count(*)::int as n_sources, string_agg(text, chr(10) order by n) as context, list_distinct(flatten(list(list_concat(article_numbers, mentions)))) as known from selected join ch on ch.id = chunk_id group by query_id)"""
 BLOCKS = "string_agg(concat('[', n, '] (', concat_ws(' | ', concat('Book: ', book_title), concat('PDF p. ', pdf_page), part, case when article is not null then concat('Article ', article) end), ')', chr(10), text), chr(10) || chr(10) order by n)"
@@ -315,12 +324,17 @@ ORACLE: dict[str, str] = {
     "diverse_selection": f"with recursive {RETRIEVED} select query_id, chunk_id, round(score, 9) as score, pinned, n from selected",
     "source_citations": f"""with recursive {RETRIEVED} select query_id, n, chunk_id, book_title as book, pdf_page, null::int as printed_page, part, article, article_title, text as snippet, floor(least(1.0, case when pinned then 1.0 else score * 20 end) * 100 + 0.5) / 100 as score
  from selected join planned using (query_id) join ch on ch.id = chunk_id where kind = 'answer' or (kind = 'refusal' and intent <> 'offtopic' and n <= 3)""",
-    "prompt_messages": f"""with recursive {RETRIEVED}, bl as (select query_id, {BLOCKS} as context from selected join ch on ch.id = chunk_id group by query_id)
- select query_id, 2 as n_messages, concat('QUESTION: ', question, chr(10), chr(10), 'CONTEXT:', chr(10), coalesce(context, ''), case when pure_article then concat(chr(10), chr(10), 'Quote the article.') else '' end) as content from planned left join bl using (query_id) where kind = 'answer'""",
+    "prompt_messages": f"""with recursive {RETRIEVED}, bl as (select query_id, {BLOCKS} as context from selected join ch on ch.id = chunk_id group by query_id),
+ ht as (select query_id, list_transform(coalesce(hist, [])[greatest(1, len(coalesce(hist, [])) - 3):], lambda t: concat(t.r, ': ', coalesce(substr(t.c, 1, 600), ''))) as turns from h1)
+ select query_id, 2 + len(turns) as n_messages, array_to_string(list_concat(['system: Answer from the context only.'], turns, [concat('user: QUESTION: ', question, chr(10), chr(10), 'CONTEXT:', chr(10), coalesce(context, ''), case when pure_article then concat(chr(10), chr(10), 'Quote the article.') else '' end)]), chr(30)) as messages
+ from planned left join bl using (query_id) join ht using (query_id) where kind = 'answer'""",
     "answer_log": f"""with recursive {RETRIEVED}, cl as (select query_id, string_agg(chunk_id::varchar, ',' order by n) as chunks from selected group by query_id)
- select query_id, substr(question, 1, 200) as q, array_to_string(articles, ',') as articles, confidence, mode, coalesce(chunks, '') as chunks, case when kind = 'answer' then 'model' end as model, query_id % 1000 as ms, kind, null::boolean as verified from planned left join cl using (query_id)""",
-    "question_stream": f"""with recursive {ASKED}, {APOST}, {retrieved(False)}, cl as (select query_id, string_agg(chunk_id::varchar, ',' order by n) as chunks from selected group by query_id)
- select query_id, substr(question, 1, 200) as q, array_to_string(articles, ',') as articles, confidence, mode, coalesce(chunks, '') as chunks, kind from planned left join cl using (query_id)""",
+ select query_id, substr(question, 1, 200) as q, array_to_string(articles, ',') as articles, confidence, mode, coalesce(chunks, '') as chunks, case when kind = 'answer' then 'model' end as model, abs(query_id % 1000) as ms, kind, null::boolean as verified from planned left join cl using (query_id)""",
+    "question_stream": f"""with recursive {RETRIEVED}, cl as (select query_id, string_agg(chunk_id::varchar, ',' order by n) as chunks from selected group by query_id)
+ select query_id, substr(question, 1, 200) as q, array_to_string(articles, ',') as articles, confidence, mode, coalesce(chunks, '') as chunks, case when kind = 'answer' then 'model' end as model, abs(query_id % 1000) as ms, kind from planned left join cl using (query_id)""",
+    "index_merge": f"with {CH}, {INDEXED} select term, chunk_id, count(*)::int as tf, any_value(len) as len from (select chunk_id, len(ts) as len, unnest(ts) as term from ix) group by term, chunk_id",
+    "index_versions": f"""with {CH}, {INDEXED}, v as (select 1 as version, * from ix union all select unnest([2, 3]), * from ix where chunk_id % 5 <> 0), t as (select version, term from (select version, unnest(ts) as term from v))
+ select version, n, avgdl, terms, tokens from (select version, count(*) as n, round(avg(len(ts)), 6) as avgdl from v group by version) join (select version, count(distinct term) as terms, count(*) as tokens from t group by version) using (version)""",
     "outcomes": f"with recursive {RETRIEVED}, {OUTCOMES} select query_id, positive, refused, ok, concat(case when ok then 'PASS' else 'FAIL' end, '  [', rpad(confidence, 6, ' '), '] ', question) as line from oc",
     "evaluation": f"""with recursive {RETRIEVED}, {OUTCOMES}, an as (select query_id, answer, coalesce(n_sources, 0) as n_sources, coalesce(context, '') as context, coalesce(known, []) as known from (select query_id - 1 as query_id, answer from ({ANSWERS})) a left join cx using (query_id)), {GROUND_IN}
  select round(100.0::double * avg(ok::int) filter (where positive), 1) as hit_rate, round(100.0::double * avg(ok::int) filter (where not positive), 1) as refusal_accuracy,
@@ -337,3 +351,5 @@ ORACLE: dict[str, str] = {
     "regeneration": f"with {GROUND}, r as (select query_id, verified, not verified and (n_unverified > 0 or len(unknown) > 0) and query_id % 3 = 0 as regenerated from gr) select query_id, verified or regenerated as verified, regenerated from r",
     "flag_rate": f"with {GROUND} select count(*) as answers, round(100.0::double * count(*) filter (where not verified) / greatest(1, count(*)), 1) as flag_rate from gr",
 }
+#: Late rows leave no trace in the stream.
+ORACLE["rate_limit_stream"] = ORACLE["rate_limit"]

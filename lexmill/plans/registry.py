@@ -12,16 +12,19 @@ from ..operators import chunks as K
 from ..operators import dense as D
 from ..operators import evaluation as E
 from ..operators import grounding as G
+from ..operators import index as I
 from ..operators import lexical as L
 from ..operators import pages as P
 from ..operators import quality as A
 from ..operators import retrieval as R
 from ..operators import segments as S
 from ..sources import io
-from ..streaming.questions import plan_stream
+from ..streaming.questions import plan_stream, with_history
 from ..streaming.rate_limit import rate_limit as limit_rows
+from ..streaming.rate_limit import rate_limit_stream as limit_stream
 from .oracle import ORACLE  # noqa: F401
 from .overlay import NUMBERED, VIEWS
+from .sizes import small
 from .stages import scratch, stage
 
 QUERIES: dict = {}
@@ -339,21 +342,30 @@ def _asked(spark, sf_dir):
     return R.understand(q)
 
 
+def _postings_of(asked, spark, sf_dir, column):
+    """Articles of the questions' numbers only, the first few chunks of each."""
+    named = asked.select(F.explode(column).alias("article")).select(Q.article_key("article").alias("article")).distinct()
+    return A.article_postings(chunk_table(spark, sf_dir), small(named, 200_000), params.PINNED_PER_ARTICLE)
+
+
 @query
 def article_lookup(spark, sf_dir):
     """Chunks of the articles that questions name."""
     rows = _asked(spark, sf_dir).select("query_id", F.explode("articles").alias("article"))
-    return R.lookup(rows, A.article_postings(chunk_table(spark, sf_dir))).select("query_id", "article", "chunk_id", "pos")
+    named = small(rows.select(Q.article_key("article").alias("article")).distinct(), 200_000)
+    return R.lookup(rows, A.article_postings(chunk_table(spark, sf_dir), named)).select("query_id", "article", "chunk_id", "pos")
 
 
 @query
 def pinned_chunks(spark, sf_dir):
-    return R.pinned(_asked(spark, sf_dir), A.article_postings(chunk_table(spark, sf_dir)))
+    asked = _asked(spark, sf_dir)
+    return R.pinned(asked, _postings_of(asked, spark, sf_dir, "articles"))
 
 
 @query
 def hint_chunks(spark, sf_dir):
-    return R.hinted(_asked(spark, sf_dir), A.article_postings(chunk_table(spark, sf_dir)))
+    asked = _asked(spark, sf_dir)
+    return R.hinted(asked, _postings_of(asked, spark, sf_dir, "hints"))
 
 
 def _vectors(spark, sf_dir):
@@ -381,27 +393,62 @@ def rank_fusion(spark, sf_dir):
 def rerank_questions(spark, sf_dir):
     lex, other = _ranked_lists(spark, sf_dir)
     asked = benchmark_questions(spark, sf_dir).withColumn("expanded", F.col("question"))
-    docs = documents_as_chunks(spark, sf_dir).withColumn("search_text", F.col("text"))
-    return R.rerank(stage(R.fuse([lex, other])), asked, docs).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+    fused = stage(R.fuse([lex, other]))
+    return R.rerank(fused, asked, R.words_of(documents_as_chunks(spark, sf_dir), fused, "text")).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
-def _questions(spark, sf_dir):
-    """Questions of the view with the turns before them."""
+def _turns(spark, sf_dir):
+    """(conv_id, turn, role, content, query_id) of all turns; questions that stand alone are conversations of their own."""
     q = view(spark, sf_dir, "questions_view").select("query_id", "conv_id", "turn", "question")
     t = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").join(q, ["conv_id", "turn"], "left")
-    content = F.coalesce("question", F.col("text"))
+    t = t.select("conv_id", "turn", "role", F.coalesce("question", F.col("text")).alias("content"), "query_id")
+    alone = q.where("query_id < 0").select(F.col("query_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.col("question").alias("content"), "query_id")
+    return t.unionByName(alone)
+
+
+def _questions(spark, sf_dir):
+    """Questions of the view with the turns before them."""
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-6, -1)
-    t = t.withColumn("history", F.collect_list(F.struct("role", content.alias("content"))).over(before))
-    t = t.where("query_id is not null").select("query_id", content.alias("question"), "history")
-    return t.unionByName(q.where("query_id < 0").select("query_id", "question", F.array().cast(schemas.TURN).alias("history")))
+    t = _turns(spark, sf_dir).withColumn("history", F.collect_list(F.struct("role", "content")).over(before))
+    return t.where("query_id is not null").select("query_id", F.col("content").alias("question"), "history")
 
 
 def _retrieved(spark, sf_dir):
-    c = stage(chunk_table(spark, sf_dir))
-    planned, selected = R.retrieve(_questions(spark, sf_dir), c)
+    c = chunk_table(spark, sf_dir)
+    planned, selected = R.retrieve(_questions(spark, sf_dir), I.write_index(c, scratch(spark, "index")))
     return stage(planned.withColumn("kind", R.plan_kind()).withColumn("reason", R.plan_reason())), selected, c
 
 
+@query
+def index_merge(spark, sf_dir):
+    """Postings of an index that was built of drafts of three quarters of the chunks and then given the chunks as they are.
+
+    Some chunks are new to the merge, some differ from their draft, most are as they were, and one that is no chunk any more goes.
+    """
+    path, c = scratch(spark, "index"), chunk_table(spark, sf_dir)
+    draft = c.where("id % 4 <> 3").withColumn("search_text", F.when(F.col("id") % 4 == 2, F.concat(F.lit("Draft of old words. "), "search_text")).otherwise(F.col("search_text")))
+    gone = draft.limit(1).withColumn("id", F.lit(-1).cast("long"))
+    I.write_index(draft.unionByName(gone), path)
+    merged = I.merge(I.open_index(spark, path), c, removed=spark.createDataFrame([(-1,)], "chunk_id long"))
+    return merged.postings()
+
+
+@query
+def index_versions(spark, sf_dir):
+    """Counts of an index after a build, a merge of the same chunks without every fifth, and a compaction; the first is still readable."""
+    path, c = scratch(spark, "index"), chunk_table(spark, sf_dir)
+    first = I.write_index(c, path)
+    second = I.merge(first, c, removed=c.where("id % 5 = 0").select(F.col("id").alias("chunk_id")))
+    third = I.compact(second)
+    out = None
+    for v in (first.version, second.version, third.version):
+        at = I.open_index(spark, path, v)
+        terms = at.postings().agg(F.countDistinct("term").alias("terms"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+        row = terms.crossJoin(F.broadcast(at.stats)).select(F.lit(v).alias("version"), "n", F.round("avgdl", 6).alias("avgdl"), "terms", "tokens")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query
 def diverse_selection(spark, sf_dir):
     _, selected, _ = _retrieved(spark, sf_dir)
@@ -411,13 +458,21 @@ def diverse_selection(spark, sf_dir):
 @query
 def question_plans(spark, sf_dir):
     planned, _, _ = _retrieved(spark, sf_dir)
-    return planned.withColumn("articles", joined(F.col("articles"), ","))
+    return planned.drop("history").withColumn("articles", joined(F.col("articles"), ","))
+
+
+def _vectors_of_all(spark, sf_dir):
+    """Question vectors as in ``_vectors``; every document's vector is that of its id modulo the number of vectors."""
+    queries, e = _vectors(spark, sf_dir)
+    n = e.agg(F.count("*").alias("vectors"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).crossJoin(F.broadcast(n))
+    return queries, d.select("id", (F.col("id") % F.col("vectors")).alias("chunk_id")).join(e, "chunk_id").select(F.col("id").alias("chunk_id"), "vector")
 
 
 @query
 def hybrid_plans(spark, sf_dir):
-    """Benchmark items planned with vectors."""
-    planned, _ = R.retrieve(benchmark_questions(spark, sf_dir), stage(chunk_table(spark, sf_dir)), *_vectors(spark, sf_dir))
+    """Benchmark items planned over an index with a vector for each chunk; items without a vector are planned by words alone."""
+    planned, _ = R.retrieve(benchmark_questions(spark, sf_dir), chunk_table(spark, sf_dir), *_vectors_of_all(spark, sf_dir))
     return planned.withColumn("kind", R.plan_kind()).withColumn("reason", R.plan_reason()).withColumn("articles", joined(F.col("articles"), ","))
 
 
@@ -441,26 +496,42 @@ def context_blocks(spark, sf_dir):
 def prompt_messages(spark, sf_dir):
     planned, selected, c = _retrieved(spark, sf_dir)
     m = R.prompts(planned, R.context_blocks(selected, c), "Answer from the context only.", "Quote the article.")
-    return m.select("query_id", F.size("messages").alias("n_messages"), F.element_at("messages", -1)["content"].alias("content"))
+    turns = F.transform("messages", lambda t: F.concat(t["role"], F.lit(": "), F.coalesce(t["content"], F.lit(""))))
+    return m.select("query_id", F.size("messages").alias("n_messages"), F.array_join(turns, "\x1e").alias("messages"))
 
 
 @query
 def answer_log(spark, sf_dir):
     planned, selected, _ = _retrieved(spark, sf_dir)
-    out = io.answer_log(planned, selected, calls=planned.select("query_id", F.lit("model").alias("model"), (F.col("query_id") % 1000).alias("ms")))
+    out = io.answer_log(planned, selected, calls=_called(planned, selected))
     return out.withColumns({"articles": joined(F.col("articles"), ","), "chunks": F.array_join(F.transform("chunks", lambda i: i.cast("string")), ",")})
 
 
 @query
 def question_stream(spark, sf_dir):
-    """Questions that arrive as files, planned by micro-batch, and their log read back."""
-    folder = scratch(spark, "stream")
-    view(spark, sf_dir, "questions_view").select("query_id", "question").write.parquet(f"{folder}/in")
-    source = spark.readStream.schema("query_id long, question string").parquet(f"{folder}/in")
-    plan_stream(source, stage(chunk_table(spark, sf_dir)), f"{folder}/log", f"{folder}/state").awaitTermination()
-    log = "query_id long, q string, articles array<string>, confidence string, mode string, chunks array<string>, kind string, batch int"
+    """Turns that arrive in three runs of a stream, each with the turns before it from the state, planned against a stored index; their log."""
+    folder, key = scratch(spark, "stream"), "spark.sql.streaming.stateStore.providerClass"
+    I.write_index(chunk_table(spark, sf_dir), f"{folder}/index")
+    t = stage(_turns(spark, sf_dir))
+    last = t.agg(F.max("turn").alias("last"))
+    t = stage(t.crossJoin(F.broadcast(last)).withColumn("run", F.expr("turn * 3 div (last + 1)")).drop("last"))
+    kept = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for run in range(3):
+            t.where(F.col("run") == run).drop("run").write.mode("append").parquet(f"{folder}/in")
+            source = spark.readStream.schema("conv_id long, turn long, role string, content string, query_id long").parquet(f"{folder}/in")
+            plan_stream(with_history(source), f"{folder}/index", f"{folder}/log", f"{folder}/state", _called).awaitTermination()
+    finally:
+        spark.conf.set(key, kept) if kept else spark.conf.unset(key)
+    log = "query_id long, q string, articles array<string>, confidence string, mode string, chunks array<string>, model string, ms long, kind string, batch int"
     got = spark.read.schema(log).json(f"{folder}/log")
-    return got.select("query_id", "q", joined(F.col("articles"), ",").alias("articles"), "confidence", "mode", joined(F.col("chunks"), ",").alias("chunks"), "kind")
+    return got.select("query_id", "q", joined(F.col("articles"), ",").alias("articles"), "confidence", "mode", joined(F.col("chunks"), ",").alias("chunks"), "model", "ms", "kind")
+
+
+def _called(planned, selected):
+    """What stands for a call of a model."""
+    return planned.select("query_id", F.lit("model").alias("model"), F.abs(F.col("query_id") % 1000).alias("ms"))
 
 
 def _outcomes(spark, sf_dir):
@@ -536,8 +607,8 @@ def answer_quotes(spark, sf_dir):
 
 @query
 def quote_support(spark, sf_dir):
-    a = view(spark, sf_dir, "answers_view").select("query_id", "context", F.posexplode(G.quotes(F.col("answer"))).alias("n", "quote"))
-    return a.select("query_id", "n", F.round(X.quote_support(F.col("quote"), F.col("context")), 6).alias("support"))
+    a = view(spark, sf_dir, "answers_view").select("query_id", X.quote_supports(G.quotes(F.col("answer")), F.col("context")).alias("supports"))
+    return a.select("query_id", F.posexplode("supports").alias("n", "support")).withColumn("support", F.round("support", 6))
 
 
 def _reports(spark, sf_dir):
@@ -574,3 +645,21 @@ def rate_limit(spark, sf_dir):
     """Events of each user under a limit of four a day."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_id").cast("long").alias("id"))
     return limit_rows(e, 4, 24 * 3600 * 1000).select("id", "allowed")
+
+
+@query
+def rate_limit_stream(spark, sf_dir):
+    """The same from a stream, which then gets a row of each user that is older than what it has seen: these late rows are dropped."""
+    folder, key = scratch(spark, "requests"), "spark.sql.streaming.stateStore.providerClass"
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("id"))
+    late = e.groupBy("key").agg((F.min("ts") - F.expr("interval 400 days")).alias("ts")).withColumn("id", F.lit(-1).cast("long"))
+    kept = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for rows in (e, late):
+            rows.write.mode("append").parquet(f"{folder}/in")
+            source = limit_stream(spark.readStream.schema("key string, ts timestamp, id long").parquet(f"{folder}/in"), 4, 24 * 3600 * 1000)
+            source.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, kept) if kept else spark.conf.unset(key)
+    return spark.read.schema("key string, id long, allowed boolean").parquet(f"{folder}/out").select("id", "allowed")

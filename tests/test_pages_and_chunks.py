@@ -7,7 +7,7 @@ from lexmill.operators import chunks as K
 from lexmill.operators import pages as P
 from lexmill.operators import quality as A
 from lexmill.operators import segments as S
-from lexmill.operators.retrieval import choose
+from lexmill.operators.retrieval import select_diverse
 
 BOOKS = "file string, title string, kind string, include boolean, position int"
 
@@ -135,10 +135,19 @@ def test_quality_and_keys(spark):
     A.require_quality(empty)
 
 
-def test_choose_rules():
-    s = lambda *w: set(w)
-    rows = [(1, True, "article", 100, s("a", "b")), (1, True, "article", 100, s("a", "b")), (2, True, "article", 100, s("a", "b")), (3, False, "text", 100, s("a", "b")), (4, False, "text", 99999, s("z")), (5, False, "text", 10, s("c")), (6, False, "toc", 10, s("d")), (7, False, "text", 10, s("e"))]
-    assert choose(rows) == [0, 2, 5, 7]
-    assert choose([(i, False, "text", 1, s(str(i))) for i in range(20)]) == list(range(7))
-    assert choose([(i, True, "text", 1, s("q")) for i in range(9)]) == list(range(9))
-    assert choose([]) == []
+def test_selection_rules(spark):
+    text = lambda *w: [ord(c) for c in w]
+    rows = {  # chunk: (pinned, section_type, n_chars, words), in order
+        0: [(1, True, "article", 100, text("a", "b")), (2, True, "article", 100, text("a", "b")), (3, False, "text", 100, text("a", "b")), (4, False, "text", 99999, text("z")), (5, False, "text", 10, text("c")), (6, False, "toc", 10, text("d")), (7, False, "text", 10, text("e")), (1, False, "article", 100, text("a", "b"))],
+        1: [(i, False, "text", 1, [i]) for i in range(20)],
+        2: [(i, True, "text", 1, text("q")) for i in range(9)],
+    }
+    pins = [(q, r[0], k) for q, rs in rows.items() for k, r in enumerate(rs) if r[1]]
+    ranked = [(q, r[0], 0.5, k) for q, rs in rows.items() for k, r in enumerate(rs) if not r[1]]
+    words = {(q, r[0]): (100 * q + r[0], r[4], r[2], r[3]) for q, rs in rows.items() for r in rs}
+    pins = spark.createDataFrame([(q, 100 * q + c, k) for q, c, k in pins], "query_id long, chunk_id long, place int")
+    ranked = spark.createDataFrame([(q, 100 * q + c, s, k) for q, c, s, k in ranked], "query_id long, chunk_id long, score double, rank int")
+    found = select_diverse(pins, ranked, spark.createDataFrame(list(words.values()), "chunk_id long, text_set array<long>, section_type string, n_chars int"))
+    got = {q: [r["chunk_id"] % 100 for r in sorted(found.where(f"query_id = {q}").collect(), key=lambda r: r["n"])] for q in rows}
+    assert got == {0: [1, 2, 5, 7], 1: list(range(7)), 2: list(range(9))}
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and found.where("pinned").count() == 11

@@ -95,6 +95,26 @@ def test_plans(spark, chunks):
     assert {r["line"][:4] for r in E.report_lines(results, planned).collect()} == {"PASS", "FAIL"}
 
 
+def test_earlier_turns_reach_the_prompt(spark, chunks):
+    history = [("user" if k % 2 == 0 else "assistant", f"turn {k} " + "x" * 700) for k in range(6)]
+    rows = spark.createDataFrame([(1, "Explain article 21", history), (2, "Explain article 32", None)], f"query_id long, question string, history {schemas.TURN}")
+    planned, selected = R.retrieve(rows, chunks)
+    planned = planned.withColumn("kind", R.plan_kind())
+    got = {r["query_id"]: r["messages"] for r in R.prompts(planned, R.context_blocks(selected, chunks), "system").collect()}
+    assert [(m["role"], m["content"][:6], len(m["content"])) for m in got[1][1:-1]] == [("user" if k % 2 == 0 else "assistant", f"turn {k}", 600) for k in (2, 3, 4, 5)]
+    assert [m["role"] for m in got[2]] == ["system", "user"]
+
+
+def test_mode_by_question_and_by_index(spark, chunks):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "chunk_id long, vector array<double>")
+    asked = ask(spark, "boats of the harbour", "captain of the ferry", "hello", "sailors and the tide")
+    some = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0])], "query_id long, vector array<double>")
+    modes = lambda q, c: {r["query_id"]: r["mode"] for r in R.retrieve(asked, chunks, q, c)[0].collect()}
+    assert modes(some, vectors) == {0: "hybrid", 1: "bm25", 2: "bm25", 3: "bm25"}
+    assert set(modes(some, vectors.where("chunk_id > 0")).values()) == {"bm25"}
+    assert set(modes(some, vectors.withColumn("vector", F.when(F.col("chunk_id") > 0, F.col("vector")))).values()) == {"bm25"}
+
+
 def test_follow_up_turns_are_planned_with_the_turn_before(spark, chunks):
     rows = [(1, "  what does\tit say? ", [("user", "Explain article 32"), ("assistant", "...")]), (2, "what does it say?", []), (3, "Article 14 again", [("user", "Article 21")])]
     planned, selected = R.retrieve(spark.createDataFrame(rows, f"query_id long, question string, history {schemas.TURN}"), chunks)

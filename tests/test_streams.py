@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
-from lexmill.streaming.rate_limit import admit, client_key, rate_limit, rate_limit_stream
+from lexmill.streaming.rate_limit import admit, client_key, rate_limit, rate_limit_stream, stretches
 
 
 def test_admit_against_model():
@@ -36,6 +36,23 @@ def test_table_equals_stream(spark, tmp_path):
     assert {r["id"]: r["allowed"] for r in spark.table("limited").collect()} == batch
 
 
+def test_busy_key_is_many_tasks(spark):
+    rng, rows, t = random.Random(8), [], 0
+    for i in range(3000):
+        t += rng.choice([0, 1, 7, 50, 299, 300, 301, 5000])
+        rows.append(("hot" if rng.random() < 0.9 else rng.choice(["a", None]), t, i))
+    df = spark.createDataFrame(rows, "key string, ts_ms long, id long").repartition(4)
+    got = rate_limit(df, 3, 300)
+    want = {}
+    for k in {r[0] for r in rows}:
+        mine = sorted((t, i) for key, t, i in rows if key == k)
+        want |= dict(zip((i for _, i in mine), admit([t for t, _ in mine], [], 3, 300)[0]))
+    assert {r["id"]: r["allowed"] for r in got.collect()} == want
+    spread = stretches(df, 300).where("key = 'hot'").groupBy("stretch").count()
+    assert spread.count() > 100 and spread.agg(F.max("count")).first()[0] < 500
+    assert rate_limit(df.limit(0)).count() == 0
+
+
 def test_client_key(spark):
     df = spark.createDataFrame([("1.2.3.4, 5.6.7.8",), ("",), (None,)], "x string")
     assert [r[0] for r in df.select(client_key(F.col("x"))).collect()] == ["1.2.3.4", "local", "local"]
@@ -43,10 +60,29 @@ def test_client_key(spark):
 
 def test_planned_stream(spark, tmp_path):
     from lexmill import schemas
+    from lexmill.operators.index import write_index
     from lexmill.streaming.questions import plan_stream
 
     chunks = spark.createDataFrame([(0, "b", "Book", 1, None, None, None, ["21"], "Life", [], "article", "No person shall be deprived of life", "Book\nNo person shall be deprived of life")], schemas.CHUNK)
     spark.createDataFrame([(1, "What is Article 21?"), (2, "hello")], "query_id long, question string").coalesce(1).write.parquet(f"{tmp_path}/q")
     stream = spark.readStream.schema("query_id long, question string").parquet(f"{tmp_path}/q")
-    plan_stream(stream, chunks, f"{tmp_path}/log", f"{tmp_path}/cp").awaitTermination()
+    write_index(chunks, f"{tmp_path}/index")
+    plan_stream(stream, f"{tmp_path}/index", f"{tmp_path}/log", f"{tmp_path}/cp").awaitTermination()
     assert {r["query_id"]: r["kind"] for r in spark.read.json(f"{tmp_path}/log").collect()} == {1: "answer", 2: "canned"}
+
+
+def test_turns_of_earlier_runs_are_history(spark, tmp_path):
+    import json
+
+    from lexmill.streaming.questions import with_history
+
+    schema = "conv_id long, turn long, role string, content string, query_id long"
+    runs = [[(1, 0, "user", "first", 10), (1, 1, "assistant", None, None), (2, 0, "user", "other", 20), (1, 2, "system", "no turn", None)], [(1, 4, "user", "third", 12), (1, 3, "user", "second", 11)], [(1, k, "user", f"turn {k}", k + 100) for k in range(5, 14)]]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for rows in runs:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = with_history(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        out.writeStream.format("json").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {r["query_id"]: [(t["role"], t.asDict().get("content")) for t in r["history"]] for r in spark.read.schema(f"query_id long, question string, history array<struct<role:string,content:string>>").json(f"{tmp_path}/out").collect()}
+    assert got[10] == [] and got[20] == [] and got[11] == [("user", "first"), ("assistant", None)] and got[12] == [*got[11], ("user", "second")]
+    assert got[113] == [("user", f"turn {k}") for k in range(7, 13)] and json.dumps(got)
