@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..plans.sizes import small
 from ..plans.stages import discard, stage
-from .lexical import SMALL, document_frequency
+from .lexical import SMALL, of_terms
 
 #: Rows of a file of postings; folders are as many as files, up to MOST_FOLDERS, beyond which folders have slices.
 FILE_ROWS, MOST_FOLDERS = 1_000_000, 1024
@@ -32,7 +32,7 @@ FEW_DEAD = 200_000
 
 TABLES = {
     "postings": "term string, chunk_id bigint, tf int, len int",
-    "terms": "term string, df bigint",
+    "terms": "term string, df bigint, max_tf int, min_len int",
     "chunks": "chunk_id bigint, len int, search_set array<bigint>, text_set array<bigint>, section_type string, n_chars int, digest string",
     "articles": "article string, chunk_id bigint",
     "dead": "chunk_id bigint, old string",
@@ -105,10 +105,11 @@ class Index:
         return rows.select("term", "chunk_id", "tf", "len")
 
     def frequencies(self, terms: DataFrame) -> DataFrame:
-        """(term, df) of ``terms(term)``: added up over segments, or counted where chunks have died."""
+        """(term, df, max_tf, min_len) of ``terms(term)``: added up over segments, or counted where chunks have died."""
         if self.dead:
-            return document_frequency(self.postings(terms))
-        return self._among("terms", "term", terms, by_folder=False).groupBy("term").agg(F.sum("df").alias("df"))
+            return of_terms(self.postings(terms))
+        found = self._among("terms", "term", terms, by_folder=False).groupBy("term")
+        return found.agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
 
     def words(self, chunks: DataFrame) -> DataFrame:
         """(chunk_id, search_set, text_set, section_type, n_chars) of ``chunks(chunk_id)``."""
@@ -147,7 +148,7 @@ def _write(spark: SparkSession, path: str, segment: str, chunks: DataFrame, fold
     dealt = post.repartition("folder", F.pmod(F.xxhash64("chunk_id"), F.lit(slices))).sortWithinPartitions("folder", "term", "chunk_id")
     dealt.write.partitionBy("folder").parquet(f"{path}/postings/segment={segment}")
     at = Index(spark, path, 0, (segment,), size["n"], size["total"], 0, folders)
-    at.postings().groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms/segment={segment}")
+    of_terms(at.postings()).sortWithinPartitions("term").write.parquet(f"{path}/terms/segment={segment}")
     kept = rows.select("chunk_id", "len", "search_set", "text_set", "section_type", "n_chars", "digest", folder_of(F.col("chunk_id"), folders).alias("folder"))
     kept = kept.repartition("folder", F.pmod(F.hash("chunk_id"), F.lit(slices))).sortWithinPartitions("folder", "chunk_id")
     kept.write.partitionBy("folder").parquet(f"{path}/chunks/segment={segment}")
@@ -216,6 +217,6 @@ def compact(index: Index) -> Index:
         rows.repartition("folder", F.pmod(F.xxhash64("chunk_id"), F.lit(slices))).sortWithinPartitions("folder", *by).write.partitionBy("folder").parquet(f"{path}/{table}/segment={segment}")
     index._live(index._rows("articles")).select("article", "chunk_id").sortWithinPartitions("article", "chunk_id").write.parquet(f"{path}/articles/segment={segment}")
     at = Index(spark, path, 0, (segment,), index.n, index.total, 0, index.folders)
-    document_frequency(at.postings()).sortWithinPartitions("term").write.parquet(f"{path}/terms/segment={segment}")
+    of_terms(at.postings()).sortWithinPartitions("term").write.parquet(f"{path}/terms/segment={segment}")
     _no_dead(spark, path, segment)
     return _commit(spark, path, (index.version + 1, [segment], index.n, index.total, 0, index.folders))

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.text import line_key, mostly_devanagari, normalise, stripped, useful_chars
+from ..plans.sizes import small
+from ..plans.stages import stage
+
+#: Books up to which a table with a row for each is broadcast.
+FEW_BOOKS = 100_000
 
 
 def _lines(text="text"):
@@ -37,8 +42,8 @@ def clean_pages(pages: DataFrame, ratio: float = 0.3, header: str = params.HEADE
     Lines are tested in this order: header (its part label is kept, the last on the page), repeating, lone number
     on the first or last three lines (the first that is not 0 is the printed page). Null texts give empty pages.
     """
-    repeating = repeating_lines(pages, ratio).groupBy("book_file").agg(F.collect_set("key").alias("repeating"))
-    rows = pages.withColumn("text", F.coalesce("text", F.lit(""))).join(repeating, "book_file", "left")
+    repeating = stage(repeating_lines(pages, ratio).groupBy("book_file").agg(F.collect_set("key").alias("repeating")))
+    rows = pages.withColumn("text", F.coalesce("text", F.lit(""))).join(small(repeating, FEW_BOOKS), "book_file", "left")
     n = F.size("lines")
     line = lambda x, i: F.struct(x.alias("s"), i.alias("i"))
     rows = rows.withColumn("lines", F.transform(_lines(), stripped)).withColumn("all", F.transform("lines", line))

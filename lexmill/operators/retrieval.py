@@ -156,7 +156,7 @@ def retrieve(questions: DataFrame, index: Index | DataFrame, query_vectors: Data
     terms = stage(lexical.query_terms(live, "expanded").withColumn("of", F.lit("expanded")).unionByName(lexical.query_terms(live).withColumn("of", F.lit("question"))))
     wanted = stage(terms.select("term").distinct())
     weighted = stage(lexical.weighted_terms(terms, index.frequencies(wanted), index.stats))
-    bm = stage(lexical.scored(weighted.where("of = 'expanded'"), index.postings(wanted)))
+    bm = stage(lexical.bounded(weighted.where("of = 'expanded'"), index.postings))
     lists, asked_by_vector = [bm], live.select("query_id").where(F.lit(False))
     if query_vectors is not None and chunk_vectors is not None and (dim := dense_ops.usable_dim(chunk_vectors, index.n)):
         good = stage(query_vectors.where(F.size("vector") == dim).join(live.select("query_id"), "query_id", "left_semi"))

@@ -112,6 +112,8 @@ LEX = f"""tk as (select doc_id, {toks('text')} as ts from documents), post as (s
  wq as (select query_id, qt.term, tpos, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) as idf, avgdl from qt left join dfs using (term) cross join st)"""
 TOPK = f"""{LEX}, sc as (select query_id, chunk_id, sum(idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) order by tpos) as score from wq join post using (term) group by all),
  tk30 as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from sc where score > 0 qualify rank < 30)"""
+#: The same over the chunks as they are indexed.
+TOPK_INDEXED = TOPK.replace(f"(select doc_id, {toks('text')} as ts from documents)", "(select chunk_id as doc_id, ts from ix)")
 #: The vectors whose id is twenty times a question's, against all; ids of vectors are those of documents.
 DENSE = """de as (select vec_id, list_transform(embedding, lambda v: v::double) as e from embeddings), dn as (select q.vec_id // 20 as query_id, d.vec_id as chunk_id, list_inner_product(q.e, d.e) as score from de q, de d where q.vec_id % 20 = 0),
  oth as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from dn where query_id in (select item_id from benchmark) qualify rank < 30)"""
@@ -291,11 +293,12 @@ ORACLE: dict[str, str] = {
     "chunk_sample": "select doc_id as id from documents order by md5(concat('seed', doc_id)), doc_id limit 10",
     "article_index": f"with {CH} select article, string_agg(id::varchar, ',' order by id) as ids from ch where article is not null group by article",
     "key_check": f"with {CH} select k as article, case when k in (select article from ch where article is not null) then 'OK' else 'MISSING' end as status from (select unnest(['21', '21A', '32', '14', '368']) as k)",
-    "manifest": f"with {CH} select count(*) as count, count(distinct article)::int as articles_indexed, 'model' as embedding_model, 64 as dim, count(distinct book_file)::int as n_books, count(*) as book_chunks from ch",
+    "manifest": f"with {CLEAN}, {CH}, bp as (select count(*) as pages, count(*) filter (where not kept) as pages_dropped, count(distinct book_file)::int as n_books from pf) select count(*) as count, count(distinct article)::int as articles_indexed, 'model' as embedding_model, 64 as dim, any_value(n_books) as n_books, count(*) as book_chunks, any_value(pages) as pages, any_value(pages_dropped) as pages_dropped from ch, bp",
     "tokenise": f"with {LEX} select doc_id, array_to_string(ts, ' ') as tokens, len(ts) as n_tokens from tk",
     "bm25_index": f"with {LEX} select term, chunk_id, tf, len from post",
     "bm25_idf": f"with {LEX} select term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from dfs cross join st",
     "bm25_topk": f"with {TOPK} select query_id, chunk_id as doc_id, round(score, 6) as score, rank from tk30",
+    "bm25_bounded": f"with {CH}, {INDEXED}, {TOPK_INDEXED} select query_id, chunk_id, round(score, 6) as score, rank from tk30",
     "bm25_ideal": f"with {LEX} select item_id as query_id, round(coalesce(s, 0), 6) as ideal from benchmark left join (select query_id, sum(idf * 2.5 * 0.5 order by tpos) as s from wq group by 1) on query_id = item_id",
     "query_coverage": f"with {TURNS} select conv_id, turn, round({coverage(toks('text'), toks('before'))}, 6) as coverage from bt where before is not null",
     "token_jaccard": f"with {TURNS} select conv_id, turn, round(len(list_intersect({toks('text')}, {toks('before')})) / greatest(1, len(list_distinct(list_concat({toks('text')}, {toks('before')}))))::double, 6) as jaccard from bt where before is not null",
@@ -343,6 +346,8 @@ ORACLE: dict[str, str] = {
     "chunk_files": f"with {CH} select id, book_file, pdf_page, part, article, array_to_string(mentions, ',') as mentions, section_type, md5(search_text) as digest from ch",
     "article_index_file": f"with {APOST} select article, chunk_id, pos from ap",
     "index_health": f"with {CH} select case when ok then 'hybrid' else 'bm25' end as mode, (select count(*) from ch) as chunks, (select count(distinct article) from ch)::int as articles, ok as embeddings from (select count(*) = (select count(*) from ch) and count(*) filter (where len(embedding) = 64) = (select count(*) from ch) as ok from embeddings)",
+    "vector_file": """with v as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as i from embeddings where vec_id is not null),
+ s as (select *, case when x = 0 then 1.0::double else power(2.0::double, greatest(floor(log2(abs(x))), -14) - 10) end as s from v) select vec_id, i, round_even(x / s, 0) * s as x from s""",
     "context_blocks": f"with {APOST}, sel as (select regexp_replace(article, '[^0-9]', '', 'g')::bigint as query_id, chunk_id from ap where pos < 3), se as (select *, row_number() over (partition by query_id order by chunk_id) as n from sel) select query_id, string_agg(concat('[', n, '] (', concat_ws(' | ', concat('Book: ', book_title), concat('PDF p. ', pdf_page), part, case when article is not null then concat('Article ', article) end), ')', chr(10), text), chr(10) || chr(10) order by n) as context from se join ch on ch.id = se.chunk_id group by query_id",
     "citation_check": f"with {CITED} select query_id, text, array_to_string(list_transform(bad, lambda k: k::int::varchar), ',') as invalid from cj",
     "answer_quotes": f"with {ANS}, {quoted('(select query_id, answer as text from an)')} select query_id, array_to_string(quotes, '|') as quotes from qs",

@@ -18,11 +18,12 @@ from ..operators import pages as P
 from ..operators import quality as A
 from ..operators import retrieval as R
 from ..operators import segments as S
-from ..sources import io
+from ..sources import f16, io
 from ..streaming.questions import plan_stream, with_history
 from ..streaming.rate_limit import rate_limit as limit_rows
 from ..streaming.rate_limit import rate_limit_stream as limit_stream
 from .oracle import ORACLE  # noqa: F401
+from ..operators.carry import numbered
 from .overlay import NUMBERED, VIEWS
 from .sizes import small
 from .stages import scratch, stage
@@ -203,9 +204,10 @@ def key_check(spark, sf_dir):
 @query
 def manifest(spark, sf_dir):
     c = chunk_table(spark, sf_dir)
-    stats = c.groupBy("book_file").agg(F.countDistinct("pdf_page").alias("pages"), F.lit(0).alias("pages_dropped"), F.count("*").alias("chunks"))
+    stats = A.book_stats(P.page_filter(P.clean_pages(view(spark, sf_dir, "pages_view"), 0.1)), view(spark, sf_dir, "chunks_view"))
     m = io.manifest(c, stats, "model", 64)
-    return m.select("count", "articles_indexed", "embedding_model", "dim", F.size("books").alias("n_books"), F.aggregate("books", F.lit(0).cast("long"), lambda a, b: a + b["chunks"]).alias("book_chunks"))
+    total = lambda name: F.aggregate("books", F.lit(0).cast("long"), lambda a, b: a + b[name])
+    return m.select("count", "articles_indexed", "embedding_model", "dim", F.size("books").alias("n_books"), total("chunks").alias("book_chunks"), total("pages").alias("pages"), total("pages_dropped").alias("pages_dropped"))
 
 
 # --- lexical -------------------------------------------------------------------------------------
@@ -235,6 +237,15 @@ def bm25_topk(spark, sf_dir):
     return found.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+@query
+def bm25_bounded(spark, sf_dir):
+    """Benchmark items against a stored index of the chunks, most postings of common terms left out by bounds."""
+    index = I.write_index(chunk_table(spark, sf_dir), scratch(spark, "index"))
+    asked = stage(L.query_terms(benchmark_questions(spark, sf_dir)))
+    terms = L.weighted_terms(asked, index.frequencies(stage(asked.select("term").distinct())), index.stats)
+    return L.bounded(terms, index.postings).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query
 def bm25_ideal(spark, sf_dir):
     found = L.ideal_score(benchmark_questions(spark, sf_dir), *L.index(documents_as_chunks(spark, sf_dir)))
@@ -583,6 +594,17 @@ def article_index_file(spark, sf_dir):
     return io.read_article_index(spark, folder)
 
 
+@query
+def vector_file(spark, sf_dir):
+    """The vectors as a flat float16 matrix in order of their ids, written and read back in byte ranges."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id is not null").select("vec_id", F.col("embedding").alias("vector"), F.lit(0).alias("all"))
+    rows = stage(numbered(e, "all", ["vec_id"], "n").select("vec_id", (F.col("n") - 1).alias("chunk_id"), "vector"))
+    folder, dim = scratch(spark, "vectors"), rows.select(F.size("vector")).first()[0]
+    f16.write_f16(rows, folder, dim)
+    got = f16.read_f16(spark, folder, rows.count(), dim)
+    return rows.select("vec_id", "chunk_id").join(got, "chunk_id").select("vec_id", F.posexplode("vector").alias("i", "x")).select("vec_id", "i", F.col("x").cast("double").alias("x"))
+
+
 @query
 def index_health(spark, sf_dir):
     c = chunk_table(spark, sf_dir)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,39 +55,10 @@ def read_article_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("article", F.posexplode("ids").alias("pos", "chunk_id")).select("article", "chunk_id", "pos")
 
 
-def read_f16(spark: SparkSession, path: str, count: int, dim: int) -> DataFrame | None:
-    """(chunk_id, vector) of a row-major little-endian float16 matrix; None unless its length is ``count`` x ``dim``.
-
-    The file is split to records of one row by Spark's reader.
-    """
-    sc = spark.sparkContext
-    total = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).first()["n"]
-    if total != 2 * count * dim:
-        return None
-    rows = sc.binaryRecords(path, 2 * dim).zipWithIndex().map(lambda r: (r[1], bytearray(r[0]))).toDF("chunk_id long, raw binary")
-
-    def widen(batches):
-        for b in batches:
-            x = np.frombuffer(b"".join(b.column("raw").to_pylist()), "<f2").astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(list(x.reshape(b.num_rows, dim)), pa.list_(pa.float32()))], ["chunk_id", "vector"])
-
-    return rows.mapInArrow(widen, "chunk_id long, vector array<float>")
-
-
-def to_f16(vectors: DataFrame) -> DataFrame:
-    """(chunk_id, raw): each vector as little-endian float16, for an export in order of chunk_id."""
-
-    def narrow(batches):
-        for b in batches:
-            raw = [np.asarray(v, np.float32).astype("<f2").tobytes() for v in b.column("vector").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(raw, pa.binary())], ["chunk_id", "raw"])
-
-    return vectors.select("chunk_id", "vector").mapInArrow(narrow, "chunk_id long, raw binary")
-
-
 def manifest(chunks: DataFrame, stats: DataFrame, model: str | None, dim: int) -> DataFrame:
     """One row: count, articles_indexed, embedding_model, dim, build_date, books."""
-    top = chunks.agg(F.count("*").alias("count"), F.size(F.array_distinct(F.flatten(F.collect_set("article_numbers")))).alias("articles_indexed"))
+    indexed = chunks.select(F.explode("article_numbers").alias("a")).agg(F.countDistinct("a").cast("int").alias("articles_indexed"))
+    top = chunks.agg(F.count("*").alias("count")).crossJoin(F.broadcast(indexed))
     books = stats.agg(F.array_sort(F.collect_list(F.struct(F.col("book_file").alias("file"), "pages", "pages_dropped", "chunks"))).alias("books"))
     row = top.crossJoin(F.broadcast(books)).withColumns({"embedding_model": F.lit(model if dim else None).cast("string"), "dim": F.lit(dim), "build_date": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")})
     return row.select("count", "articles_indexed", "embedding_model", "dim", "build_date", "books")

@@ -15,7 +15,7 @@ from lexmill.operators import grounding as G
 from lexmill.operators import lexical as L
 from lexmill.operators import retrieval as R
 from lexmill.operators.quality import article_postings
-from lexmill.sources import io
+from lexmill.sources import f16, io
 
 ARTICLES = [
     ("14", "Lanterns", "Every lighthouse keeper shall polish the lanterns of the harbour before the evening tide comes in."),
@@ -176,10 +176,9 @@ def test_files(spark, chunks, tmp_path):
     assert ("21A", 2, 0) in {(r["article"], r["chunk_id"], r["pos"]) for r in io.read_article_index(spark, f"{tmp_path}/index").collect()}
     x = np.arange(12, dtype="<f2").reshape(4, 3)
     x.tofile(tmp_path / "v.bin")
-    got = io.read_f16(spark, str(tmp_path / "v.bin"), 4, 3)
+    got = f16.read_f16(spark, str(tmp_path / "v.bin"), 4, 3)
     assert {r["chunk_id"]: r["vector"] for r in got.collect()} == {i: x[i].tolist() for i in range(4)}
-    assert io.read_f16(spark, str(tmp_path / "v.bin"), 5, 3) is None
-    assert bytes(io.to_f16(got).where("chunk_id = 1").first()["raw"]) == x[1].tobytes()
+    assert f16.read_f16(spark, str(tmp_path / "v.bin"), 5, 3) is None and f16.read_f16(spark, str(tmp_path / "none"), 4, 3) is None
     (tmp_path / "books.json").write_text(json.dumps({"books": [{"file": "a", "title": "A", "kind": "commentary", "include": True}, {"file": "b", "title": "B", "kind": "commentary", "include": True}, {"file": "c", "include": False}]}))
     books = io.read_books(spark, str(tmp_path / "books.json"))
     have, lack = io.included_books(books, spark.createDataFrame([("a", 1, "x")], schemas.PAGE))
@@ -194,3 +193,22 @@ def test_files(spark, chunks, tmp_path):
     assert tuple(io.health(row, chunks, vectors, 2).first()) == ("hybrid", 5, 5, True) and io.health(row, chunks, vectors.limit(4), 2).first()["mode"] == io.health(row, chunks).first()["mode"] == "bm25"
     raw = spark.createDataFrame([("b", "z", 2), ("b", "y", 1)], "book_file string, text string, k int")
     assert {r["text"]: r["pdf_page"] for r in io.number_pages(raw, ["k"]).collect()} == {"y": 1, "z": 2}
+
+
+def test_matrix_of_many_files_and_ranges(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1000, 5)).astype("<f2")
+    df = spark.createDataFrame([(i, x[i].astype(float).tolist()) for i in rng.permutation(1000).tolist()], "chunk_id long, vector array<double>").repartition(3)
+    path = str(tmp_path / "matrix")
+    f16.write_f16(df, path, 5)
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "matrix").iterdir())) == x.tobytes()
+    assert f16.read_f16(spark, path, 999, 5) is None and f16.read_f16(spark, path, 1000, 4) is None
+    got = f16.read_f16(spark, path, 1000, 5)
+    assert {r["chunk_id"]: r["vector"] for r in got.collect()} == {i: x[i].astype(np.float32).tolist() for i in range(1000)}
+    small = spark.read.format("f16matrix").option("dim", 5).option("range", 300).load(path)
+    assert small.rdd.getNumPartitions() >= 34 and small.count() == 1000
+    with pytest.raises(Exception, match="without a gap"):
+        f16.write_f16(df.where("chunk_id <> 500").coalesce(1), str(tmp_path / "gap"), 5)
+    with pytest.raises(Exception, match="not 6 long"):
+        f16.write_f16(df, str(tmp_path / "dim"), 6)
+    assert not [p for p in (tmp_path / "gap").iterdir() if not p.name.startswith(".")]
