@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import params
 from ..functions import questions as Q
-from .overlay import ANSWERS, BOOKS, CHUNKS, EXPECTED, PAGES, QUESTIONS
+from .overlay import ANSWERS, BOOKS, CHUNKS, EXPECTED, PAGES, QUESTIONS, SECOND
 
 
 def _text(s: str) -> str:
@@ -353,8 +353,11 @@ ORACLE: dict[str, str] = {
     "answer_quotes": f"with {ANS}, {quoted('(select query_id, answer as text from an)')} select query_id, array_to_string(quotes, '|') as quotes from qs",
     "quote_support": f"with {ANS}, {quoted('(select query_id, answer as text, context from an)')}, u as (select query_id, context, unnest(quotes) as quote, generate_subscripts(quotes, 1) - 1 as n from qs) select query_id, n, round({support('quote', 'context')}, 6) as support from u",
     "grounding": f"with {GROUND} select query_id, verified, n_unverified, array_to_string(unknown, ',') as unknown, n_invalid from gr",
-    "regeneration": f"with {GROUND}, r as (select query_id, verified, not verified and (n_unverified > 0 or len(unknown) > 0) and query_id % 3 = 0 as regenerated from gr) select query_id, verified or regenerated as verified, regenerated from r",
+    "regeneration": f"""with f as (with {GROUND} select gr.*, text from gr join cj using (query_id)), s as (with an as (select *, ['3', (conv_id % 12)::varchar] as known from ({SECOND})), {GROUND_IN} select gr.query_id, verified as v2, text as t2 from gr join cj using (query_id)),
+ r as (select *, not verified and (n_unverified > 0 or len(unknown) > 0) and v2 as take from f join s using (query_id)) select query_id, md5(case when take then t2 else text end) as text, verified or take as verified, take as regenerated from r""",
     "flag_rate": f"with {GROUND} select count(*) as answers, round(100.0::double * count(*) filter (where not verified) / greatest(1, count(*)), 1) as flag_rate from gr",
 }
 #: Late rows leave no trace in the stream.
 ORACLE["rate_limit_stream"] = ORACLE["rate_limit"]
+ORACLE["published_quality"] = ORACLE["quality_report"]
+ORACLE["published_books"] = f"with {CLEAN}, {CH}, n as (select book_file, count(*) as chunks, count(distinct article) as articles from ch group by 1) select book_file, count(*) as pages, count(*) filter (where not kept) as pages_dropped, coalesce(max(chunks), 0) as chunks, coalesce(max(articles), 0) as articles from pf left join n using (book_file) group by book_file"

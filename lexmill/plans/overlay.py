@@ -73,4 +73,10 @@ select conv_id * 1000 + turn as query_id, cast(turn % 4 as int) as n_sources, te
 from conversations where role = 'assistant' and text is not null
 """
 
-VIEWS = {"pages_view": PAGES, "books_view": BOOKS, "chunks_view": CHUNKS, "questions_view": QUESTIONS, "answers_view": ANSWERS, "expected_view": EXPECTED}
+#: What a second call answers: the passage word for word, with an article that nothing holds for every other conversation.
+SECOND = f"""
+select query_id, n_sources, context, conv_id, concat(case when conv_id % 2 = 0 then 'The passage' else concat('Article ', conv_id % 800 + 100, 'ZZ') end, ' reads: "', replace(context, '"', ''), '" [1]') as answer
+from ({ANSWERS}) first_answers
+"""
+
+VIEWS = {"pages_view": PAGES, "books_view": BOOKS, "chunks_view": CHUNKS, "questions_view": QUESTIONS, "answers_view": ANSWERS, "expected_view": EXPECTED, "second_view": SECOND}

@@ -18,7 +18,7 @@ from ..operators import pages as P
 from ..operators import quality as A
 from ..operators import retrieval as R
 from ..operators import segments as S
-from ..sources import f16, io
+from ..sources import f16, io, snapshot
 from ..streaming.questions import plan_stream, with_history
 from ..streaming.rate_limit import rate_limit as limit_rows
 from ..streaming.rate_limit import rate_limit_stream as limit_stream
@@ -45,7 +45,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "pages_view":
         raw = table(spark, sf_dir, "documents").select(F.col("source").alias("book_file"), "text", "doc_id")
         return spark.sql(VIEWS[name].replace(NUMBERED, "{src}"), src=io.number_pages(raw, ["doc_id"]))
-    source = "conversations" if name in ("questions_view", "answers_view", "expected_view") else "documents"
+    source = "conversations" if name in ("questions_view", "answers_view", "expected_view", "second_view") else "documents"
     return spark.sql(VIEWS[name].replace(f"from {source}", "from {src}"), src=table(spark, sf_dir, source))
 
 
@@ -594,6 +594,29 @@ def article_index_file(spark, sf_dir):
     return io.read_article_index(spark, folder)
 
 
+def _published(spark, sf_dir):
+    root = scratch(spark, "corpus")
+    filtered = P.page_filter(P.clean_pages(view(spark, sf_dir, "pages_view"), 0.1))
+    chunks = chunk_table(spark, sf_dir).select(*[c.split()[0] for c in schemas.CHUNK.split(", ")])
+    return root, snapshot.publish(chunks, filtered, root, "model", 64, most=1.0)
+
+
+@query
+def published_quality(spark, sf_dir):
+    """The quality report of a published build, observed while its chunks were written."""
+    root, _ = _published(spark, sf_dir)
+    return snapshot.manifests(spark, root).select("quality.*")
+
+
+@query
+def published_books(spark, sf_dir):
+    """Books of the manifest of a published build, which its readers resolve, with the articles that its index holds."""
+    root, _ = _published(spark, sf_dir)
+    held = snapshot.articles_of(spark, root).join(snapshot.chunks_of(spark, root).select(F.col("id").alias("chunk_id"), "book_file"), "chunk_id").groupBy("book_file").agg(F.countDistinct("article").alias("articles"))
+    books = snapshot.manifests(spark, root).select(F.explode("books").alias("b")).select(F.col("b.file").alias("book_file"), "b.pages", "b.pages_dropped", "b.chunks")
+    return books.join(held, "book_file", "left").withColumn("articles", F.coalesce("articles", F.lit(0)))
+
+
 @query
 def vector_file(spark, sf_dir):
     """The vectors as a flat float16 matrix in order of their ids, written and read back in byte ranges."""
@@ -633,8 +656,8 @@ def quote_support(spark, sf_dir):
     return a.select("query_id", F.posexplode("supports").alias("n", "support")).withColumn("support", F.round("support", 6))
 
 
-def _reports(spark, sf_dir):
-    a = view(spark, sf_dir, "answers_view")
+def _reports(spark, sf_dir, answers="answers_view"):
+    a = view(spark, sf_dir, answers)
     known = F.array(F.lit("3"), (F.col("conv_id") % 12).cast("string"))
     return G.check_grounding(a.select("query_id", "answer"), a.select("query_id", "n_sources", "context", known.alias("known")))
 
@@ -647,9 +670,8 @@ def grounding(spark, sf_dir):
 
 @query
 def regeneration(spark, sf_dir):
-    first = _reports(spark, sf_dir)
-    second = first.select("query_id", F.lit("second").alias("text"), (F.col("query_id") % 3 == 0).alias("verified"))
-    return G.choose_regenerated(first, second).select("query_id", "verified", "regenerated")
+    """First answers, second ones and the choice between them; both are checked against the passages."""
+    return G.choose_regenerated(_reports(spark, sf_dir), _reports(spark, sf_dir, "second_view")).select("query_id", F.md5("text").alias("text"), "verified", "regenerated")
 
 
 @query
