@@ -45,11 +45,6 @@ def hashes(toks: Column) -> Column:
     return F.array_distinct(F.transform(toks, lambda t: F.xxhash64(t)))
 
 
-def indexed_text(text: str = "search_text") -> Column:
-    """What is searched: the text with its place, and the articles it mentions."""
-    return F.concat_ws(" ", F.col(text), F.array_join("mentions", " "))
-
-
 def digest(text: str = "search_text") -> Column:
     """Tells a changed chunk."""
     parts = [F.col(text), F.array_join("mentions", ","), F.array_join("article_numbers", ","), F.col("section_type"), F.col("text")]
@@ -133,9 +128,10 @@ def folder_of(key: Column, folders: int) -> Column:
 
 def _write(spark: SparkSession, path: str, segment: str, chunks: DataFrame, folders: int | None, text: str) -> dict:
     """Write the segment of new chunks; gives its number of chunks, of tokens, and the folders."""
-    toks = tokens(indexed_text(text))
-    rows = chunks.select(
-        F.col("id").alias("chunk_id"), toks.alias("toks"), hashes(tokens(F.col(text))).alias("search_set"), hashes(tokens(F.col("text"))).alias("text_set"),
+    # The searched text is the text and the articles it mentions, a blank between them, so its tokens are those of both in turn.
+    rows = chunks.select("*", tokens(F.col(text)).alias("_search"), tokens(F.array_join("mentions", " ")).alias("_mentioned"))
+    rows = rows.select(
+        F.col("id").alias("chunk_id"), F.concat("_search", F.coalesce("_mentioned", F.array().cast("array<string>"))).alias("toks"), hashes(F.col("_search")).alias("search_set"), hashes(tokens(F.col("text"))).alias("text_set"),
         "section_type", F.length("text").alias("n_chars"), digest(text).alias("digest"), F.array_distinct("article_numbers").alias("arts"),
     ).withColumn("len", F.size("toks"))
     rows = stage(rows)

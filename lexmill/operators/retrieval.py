@@ -131,13 +131,14 @@ def confidence(asked: DataFrame, selected: DataFrame, pins: DataFrame, hints: Da
     return rows.select("query_id", confidence_ladder().alias("confidence"), "exact_hit", (F.col("exact_hit") & F.col("pure")).alias("pure_article"))
 
 
-def retrieve(questions: DataFrame, index: Index | DataFrame, query_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, text="search_text") -> tuple[DataFrame, DataFrame]:
+def retrieve(questions: DataFrame, index: Index | DataFrame, query_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, text="search_text", bounds: bool = False) -> tuple[DataFrame, DataFrame]:
     """(one row per question, selected chunks) for a table of questions against a stored index, or a table of chunks that is indexed first.
 
     Questions are sanitised; with a column ``history``, an array of (role, content), those that lean on the turn before
     are rewritten, and the column is handed on for the prompt. Greetings and injections retrieve nothing. A question is
     planned in mode ``hybrid`` if the index has a vector of one length for each chunk and the question has one of that length,
-    else in mode ``bm25``. With an index no text of the corpus is read.
+    else in mode ``bm25``. With an index no text of the corpus is read. ``bounds`` leaves out postings by ``lexical.bounded``, with the
+    same rows: worth its three reads of the postings where questions hold rare words.
     """
     from ..plans.stages import scratch, stage
 
@@ -156,7 +157,8 @@ def retrieve(questions: DataFrame, index: Index | DataFrame, query_vectors: Data
     terms = stage(lexical.query_terms(live, "expanded").withColumn("of", F.lit("expanded")).unionByName(lexical.query_terms(live).withColumn("of", F.lit("question"))))
     wanted = stage(terms.select("term").distinct())
     weighted = stage(lexical.weighted_terms(terms, index.frequencies(wanted), index.stats))
-    bm = stage(lexical.bounded(weighted.where("of = 'expanded'"), index.postings))
+    weights = weighted.where("of = 'expanded'")
+    bm = stage(lexical.bounded(weights, index.postings) if bounds else lexical.scored(weights, index.postings(wanted)))
     lists, asked_by_vector = [bm], live.select("query_id").where(F.lit(False))
     if query_vectors is not None and chunk_vectors is not None and (dim := dense_ops.usable_dim(chunk_vectors, index.n)):
         good = stage(query_vectors.where(F.size("vector") == dim).join(live.select("query_id"), "query_id", "left_semi"))
