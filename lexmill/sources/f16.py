@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 #: Bytes of a range, and of what a task holds at a time.
 RANGE, HELD = 64 << 20, 4 << 20
-_NAME = re.compile(r"rows-(\d+)\.f16")
+_NAME = re.compile(r"rows-(\d+)\.f16\Z")
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
@@ -37,7 +37,7 @@ def files_of(path: str) -> list[tuple[str, int, int]]:
         return [(root, 0, info.size)]
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
-    found = [(f.path, int(m[1]), f.size) for f in at.get_file_info(fs.FileSelector(root)) if (m := _NAME.fullmatch(f.base_name))]
+    found = [(f.path, int(m[1]), f.size) for f in at.get_file_info(fs.FileSelector(root)) if (m := _NAME.match(f.base_name))]
     return sorted(found, key=lambda f: f[1])
 
 
