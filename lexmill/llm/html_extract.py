@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections.abc import Callable, Iterable
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +66,10 @@ RUNNING, COPIES = 60, 0.9
 FEW_TEXTS = 1_000_000
 #: Share of the varying running text that the content element holds, and share that may stand before its first heading.
 MOST, BEFORE = 0.7, 0.2
-#: Pairs of different shapes among two lists of siblings up to which all are aligned; beyond it only their labels count.
-SHAPES = 250_000
+#: Pairs of different shapes among two lists of siblings up to which each is weighed by itself; more are weighed by ``Place``, to the same numbers.
+SHAPES = 64
+#: Numbers of a table of alignments, or of weights, that are held at once; what is beyond is made again.
+CELLS = 1 << 21
 #: Characters of skeletons whose trees and alignments are kept.
 SMALL = 10_000
 #: Elements that are part of running text and no place for it.
@@ -279,6 +283,7 @@ class _Matching:
             sides.append(of)
         self.of_a, self.of_b = sides
         self.weight: dict[tuple[int, int], int] = {}
+        self.last: tuple = (None, None)
 
     @staticmethod
     def _ends(x: tuple, y: tuple) -> tuple[int, int]:
@@ -290,15 +295,31 @@ class _Matching:
             tail += 1
         return lead, tail
 
-    def _weights(self, x: tuple, y: tuple) -> np.ndarray:
-        """Sizes of the mappings between the classes x and y; 0 where labels differ."""
-        deep = len(x) * len(y) <= SHAPES
+    def _lacking(self, x: Iterable[int], y: Iterable[int]) -> list[tuple[int, int]]:
+        """Pairs of the classes x and y that have to be weighed before the two lists are aligned; long lists weigh their own."""
+        left, right = set(x), set(y)
+        if len(left) * len(right) > SHAPES:
+            return []
+        return [(p, q) for p in left for q in right if p != q and self.label[p] == self.label[q] and (p, q) not in self.weight]
+
+    def _weights(self, x: list[int], y: list[int], place: Place | None) -> tuple[Callable[[int], np.ndarray], Place | None]:
+        """Sizes of the mappings between a class of x, by its number, and the classes y, 0 where labels differ; and the place that gave them.
+
+        ``place``: one that holds the classes y; it is asked if it still knows all x, as below a long list that was weighed.
+        """
+        if place is None or not place.knows(x):
+            place = Place(self, y) if len(x) * len(y) > SHAPES else None
+        if place is not None:
+            at = np.searchsorted(place.classes, y)
+            return lambda i: place.row(x[i])[at], place
+        for pair in self._lacking(x, y):
+            self.weigh(*pair)
         w = np.zeros((len(x), len(y)), np.int64)
         for i, u in enumerate(x):
             for j, v in enumerate(y):
                 if self.label[u] == self.label[v]:
-                    w[i, j] = self.size[u] if u == v else self.weight.get((u, v), 1) if deep else 1
-        return w
+                    w[i, j] = self.size[u] if u == v else self.weight[u, v]
+        return w.__getitem__, None
 
     def weigh(self, u: int, v: int) -> int:
         stack = [(u, v)]
@@ -310,79 +331,162 @@ class _Matching:
             x, y = self.kids[pair[0]], self.kids[pair[1]]
             lead, tail = self._ends(x, y)
             inner = x[lead : len(x) - tail], y[lead : len(y) - tail]
-            left, right = set(inner[0]), set(inner[1])
-            todo = []
-            if len(left) * len(right) <= SHAPES:
-                todo = [(p, q) for p in left for q in right if p != q and self.label[p] == self.label[q] and (p, q) not in self.weight]
+            todo = self._lacking(*inner)
             if todo:
                 stack += todo
                 continue
             self.weight[pair] = 1 + sum(self.size[c] for c in (*x[:lead], *x[len(x) - tail :])) + self._best(*inner)
         return self.weight[u, v]
 
-    def _coded(self, x: tuple, y: tuple):
-        ux, ix = np.unique(np.array(x, np.int64), return_inverse=True)
-        uy, iy = np.unique(np.array(y, np.int64), return_inverse=True)
-        return self._weights(tuple(ux.tolist()), tuple(uy.tolist())), ix, iy
+    def _coded(self, x: tuple, y: tuple, place: Place | None = None):
+        if self.last[0] != (x, y):  # lists are weighed, then aligned
+            ux, ix = np.unique(np.array(x, np.int64), return_inverse=True)
+            uy, iy = np.unique(np.array(y, np.int64), return_inverse=True)
+            w, place = self._weights(ux.tolist(), uy.tolist(), place)
+            self.last = (x, y), (w, ix, iy, place)
+        return self.last[1]
 
     @staticmethod
-    def _rows(w: np.ndarray, ix: np.ndarray, iy: np.ndarray):
-        """Rows of the table of best alignments of the children before i with those before j."""
-        row = np.zeros(len(iy) + 1, np.int64)
+    def _rows(w: Callable[[int], np.ndarray], ix: np.ndarray, iy: np.ndarray, row: np.ndarray):
+        """Rows of the table of best alignments of the children before i with those before j, from its row ``row`` on."""
         yield row
         for i in ix:
-            step = w[i][iy]
-            new = np.maximum(row[1:], np.where(step > 0, row[:-1] + step, 0))
+            # Where labels differ the step is 0, and a row never falls.
+            new = np.maximum(row[1:], row[:-1] + w(i)[iy])
             row = np.concatenate([[0], np.maximum.accumulate(new)])
             yield row
 
     def _best(self, x: tuple, y: tuple) -> int:
         if not x or not y:
             return 0
-        for row in self._rows(*self._coded(x, y)):
+        w, ix, iy, _ = self._coded(x, y)
+        for row in self._rows(w, ix, iy, np.zeros(len(iy) + 1, np.int64)):
             pass
         return int(row[-1])
 
-    def _pairs(self, w: np.ndarray, ix: np.ndarray, iy: np.ndarray) -> list[tuple[int, int]]:
-        """Places of children that map to each other; large tables are halved (Hirschberg 1975)."""
-        if not len(ix) or not len(iy):
-            return []
-        if len(ix) * len(iy) > 1 << 21 and len(ix) > 1:
-            h = len(ix) // 2
-            for head in self._rows(w, ix[:h], iy):
-                pass
-            for back in self._rows(w, ix[h:][::-1], iy[::-1]):
-                pass
-            j = int((head + back[::-1]).argmax())
-            return self._pairs(w, ix[:h], iy[:j]) + [(h + p, j + q) for p, q in self._pairs(w, ix[h:], iy[j:])]
-        rows, out = np.stack(list(self._rows(w, ix, iy))), []
-        i, j = len(ix), len(iy)
-        while i and j:
-            if rows[i, j] == rows[i - 1, j]:
-                i -= 1
-            elif rows[i, j] == rows[i, j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                out.append((i, j))
+    def _pairs(self, w: Callable[[int], np.ndarray], ix: np.ndarray, iy: np.ndarray) -> list[tuple[int, int]]:
+        """Places of children that map to each other, traced from the end. Of a large table some rows are held and those
+        between are made again on the way back, so that ties fall alike at every size.
+        """
+        out, j = [], len(iy)
+        todo = [(0, len(ix), np.zeros(j + 1, np.int64))]
+        while todo and j:
+            low, high, first = todo.pop()
+            rows = self._rows(w, ix[low:high], iy[:j], first[: j + 1])
+            if (high - low) * (j + 1) > CELLS and high - low > 1:
+                step = -(-(high - low) // min(high - low, max(2, CELLS // (j + 1))))
+                for k, row in zip(range(low, high), rows):
+                    if (k - low) % step == 0:
+                        todo.append((k, min(k + step, high), row))
+                continue
+            rows, i = np.stack(list(rows)), high - low
+            while i and j:
+                if rows[i, j] == rows[i - 1, j]:
+                    i -= 1
+                elif rows[i, j] == rows[i, j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((low + i, j))
         return out[::-1]
 
     def mapping(self) -> dict[int, int]:
-        out, stack = {}, [(0, 0)]
+        out, stack = {}, [(0, 0, None)]
         while stack:
-            m, n = stack.pop()
+            m, n, place = stack.pop()
             if self.of_a[m] == self.of_b[n]:  # below them all is the same
                 out.update(zip(range(m, m + self.a.size[m]), range(n, n + self.b.size[n])))
                 continue
             out[m] = n
-            self.weigh(self.of_a[m], self.of_b[n])
+            place = place and place.part(self.label[self.of_a[m]]).below
             p, q = self.a.kids[m], self.b.kids[n]
             x, y = tuple(self.of_a[k] for k in p), tuple(self.of_b[k] for k in q)
             lead, tail = self._ends(x, y)
-            stack += [*zip(p[:lead], q[:lead]), *zip(p[len(p) - tail :], q[len(q) - tail :])]
+            stack += [(i, j, None) for i, j in (*zip(p[:lead], q[:lead]), *zip(p[len(p) - tail :], q[len(q) - tail :]))]
             p, q, x, y = (v[lead : len(v) - tail] for v in (p, q, x, y))
-            if x and y:
-                stack += [(p[i], q[j]) for i, j in self._pairs(*self._coded(x, y))]
+            if len(x) == len(y) == 1:
+                stack += [(p[0], q[0], place)] if self.label[x[0]] == self.label[y[0]] else []
+            elif x and y:
+                w, ix, iy, place = self._coded(x, y, place)
+                stack += [(p[i], q[j], place) for i, j in self._pairs(w, ix, iy)]
+        return out
+
+
+class Part(NamedTuple):
+    """The classes of a place that have one label: where they are, and the alignments of their children in one row."""
+
+    at: np.ndarray
+    full: np.ndarray  #: where those with children are
+    first: np.ndarray  #: the first child of each
+    last: np.ndarray
+    none: np.ndarray  #: the row before any child is aligned
+    flat: np.ndarray  #: the children, by their number below
+    below: Place
+
+
+class Place:
+    """Classes of the second tree that stand in one place, in ascending order, to be weighed against any classes of the first.
+
+    The children of a class are aligned with those of all classes here at once, child by child, so that as many numbers
+    are needed as there are nodes below the place, however many the pairs are.
+    """
+
+    def __init__(self, matching: _Matching, classes: list[int], top: Place | None = None):
+        self.matching, self.classes, self.top = matching, classes, top or self
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+        self.count = 0
+        self.at: dict[str, list[int]] = {}
+        for k, c in enumerate(classes):
+            self.at.setdefault(matching.label[c], []).append(k)
+        self.parts: dict[str, Part] = {}
+
+    def part(self, label: str) -> Part:
+        if label not in self.parts:
+            at = np.array(self.at.get(label, []), np.int64)
+            kids = [self.matching.kids[self.classes[k]] for k in at]
+            n = np.array([len(k) for k in kids], np.int64)
+            full = n > 0
+            below, flat = np.unique(np.array([c for k in kids for c in k], np.int64), return_inverse=True)
+            ends = n.cumsum()[full]
+            # Each class's alignments stand above all that those before it can reach, so that one running maximum serves all.
+            none = np.repeat(np.arange(len(ends)) * (self.matching.b.size[0] + 1), n[full])
+            self.parts[label] = Part(at, at[full], ends - n[full], ends - 1, none, flat, Place(self.matching, below.tolist(), self.top))
+        return self.parts[label]
+
+    def knows(self, classes: list[int]) -> bool:
+        return all((id(self), c) in self.top.held for c in classes if self.matching.label[c] in self.at)
+
+    def row(self, u: int) -> np.ndarray:
+        """Sizes of the mappings between class u and each class here; 0 where labels differ."""
+        m, held, stack = self.matching, self.top.held, [(self, u, 0, None)]
+        if (id(self), u) in held:
+            return held[id(self), u]
+        while stack:
+            place, c, i, best = stack.pop()
+            part = place.part(m.label[c])
+            kids, best = m.kids[c] if len(part.full) else (), part.none if best is None else best
+            while i < len(kids):
+                if m.label[kids[i]] in part.below.at:
+                    step = held.get((id(part.below), kids[i]))
+                    if step is None:
+                        break
+                    new = np.empty_like(best)
+                    new[1:] = best[:-1]
+                    new[part.first] = part.none[part.first]
+                    new += step[part.flat]
+                    best = np.maximum.accumulate(np.maximum(new, best, out=new), out=new)
+                i += 1
+            if i < len(kids):
+                stack += [(place, c, i, best), (part.below, kids[i], 0, None)]
+                continue
+            out = np.zeros(len(place.classes), np.int64)
+            out[part.at] = 1
+            out[part.full] += (best - part.none)[part.last]
+            self.top.count += len(out)
+            if self.top.count > CELLS:
+                held.clear()
+                self.top.count = len(out)
+            held[id(place), c] = out
         return out
 
 

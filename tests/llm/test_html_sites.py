@@ -52,3 +52,78 @@ def test_small_hosts_borrow_a_wrapper(spark):
     rows += [(i, f"http://small{i}.example/", page(t, "Welcome to our pages, dear reader")) for i, t in small.items()]
     got = extracted(spark, rows)
     assert all(got[i] == t for i, t in small.items()) and all(got[i] == t for i, t in enumerate(big))
+
+
+def plain_mapping(a, b):
+    """Simple tree matching without limits, ties traced from the end: first a child of ``a`` is left out, then one of ``b``."""
+    known = {}
+
+    def table(x, y):
+        rows = [[0] * (len(b.kids[y]) + 1)]
+        for i in a.kids[x]:
+            row = [0]
+            for k, j in enumerate(b.kids[y]):
+                row.append(max(rows[-1][k + 1], row[k], rows[-1][k] + weight(i, j)))
+            rows.append(row)
+        return rows
+
+    def shape(t, n):
+        return t.label[n], tuple(shape(t, k) for k in t.kids[n])
+
+    shapes = [[shape(t, n) for n in range(len(t.label))] for t in (a, b)]
+
+    def weight(x, y):
+        key = shapes[0][x], shapes[1][y]
+        if key not in known:
+            known[key] = 1 + table(x, y)[-1][-1] if a.label[x] == b.label[y] else 0
+        return known[key]
+
+    out, todo = {}, [(0, 0)]
+    while todo:
+        x, y = todo.pop()
+        out[x] = y
+        rows, i, j = table(x, y), len(a.kids[x]), len(b.kids[y])
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                todo.append((a.kids[x][i], b.kids[y][j]))
+    return out
+
+
+def test_long_lists_are_matched_by_all_below_them():
+    """Some 500 siblings of different shapes on either side."""
+    rng = random.Random(2)
+
+    def items():
+        return "".join(f"<div>{''.join(f'<{t}>#</>' for t in rng.choices(['p', 'h3', 'ul', 'pre'], k=rng.randrange(3, 8)))}</>" for _ in range(620))
+
+    a, b = H.Tree(f"<body>{items()}</>"), H.Tree(f"<body>{items()}</>")
+    m = H._Matching(a, b)
+    assert min(len({of[k] for k in t.kids[1]}) for t, of in ((a, m.of_a), (b, m.of_b))) > 500
+    got, want = m.mapping(), plain_mapping(a, b)
+    assert len(got) == len(want) and all(a.label[x] == b.label[y] and (x == 0 or got[a.up[x]] == b.up[y]) for x, y in got.items())
+
+
+def test_ties_fall_alike_at_every_size():
+    for n, k in ((23, 10), (2300, 1000)):
+        a, b = H.Tree("<body>" + "<p>##</>" * n + "</>"), H.Tree("<body>" + "<p>#<hr></></>" * k + "</>")
+        assert H._Matching(a, b).mapping() == plain_mapping(a, b)
+
+
+@pytest.mark.parametrize("n", [40, 540])
+def test_labels_in_long_lists_go(spark, n):
+    """Pages with a few sections more at their beginning: the labels of the others, the same on all pages, are template."""
+    codes = ["".join(f"<{t}></{t}>" for t in RNG.choices(["h4", "h5", "h6", "pre"], k=12)) for _ in range(n)]
+    rows, want = [], {}
+    for i in range(6):
+        own = [[words(20) for _ in range(1 + i)] for _ in range(n + i)]
+        new = ["".join(f"<{t}></{t}>" for t in RNG.choices(["h4", "h5", "h6", "pre"], k=12)) for _ in range(i)]
+        sections = [f"<div class=item>{code}{'' if k < i else f'<p>Label of section {k - i}</p>'}{''.join(f'<p>{p}</p>' for p in ps)}</div>" for k, (code, ps) in enumerate(zip(new + codes, own))]
+        rows.append((i, f"http://long.example/{i}", f"<html><body><div class=x><div class=y>{''.join(sections)}</div></div></body></html>"))
+        want[i] = [p for ps in own for p in ps]
+    got = extracted(spark, rows)
+    assert got == want
