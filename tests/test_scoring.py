@@ -64,8 +64,9 @@ def test_tokens_in_python_are_those_of_the_column(spark):
     texts = odd + ["".join(rng.choices("abies mentgdly 129Éक’-\n", k=200)) for _ in range(200)]
     v = Vocabulary()
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("low"), X.tokens(F.col("t")).alias("toks")).collect()
-    for r in rows:
-        assert [v.stems[i] for i in v.numbers(r["low"])] == r["toks"]
+    place, number = v.numbers([r["low"] for r in rows])
+    for i, r in enumerate(rows):
+        assert [v.stems[j] for j in number[place == i]] == r["toks"]
 
 
 def test_selection_in_passes(spark, index, monkeypatch):
