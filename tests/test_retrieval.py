@@ -212,3 +212,19 @@ def test_matrix_of_many_files_and_ranges(spark, tmp_path):
     with pytest.raises(Exception, match="not 6 long"):
         f16.write_f16(df, str(tmp_path / "dim"), 6)
     assert not [p for p in (tmp_path / "gap").iterdir() if not p.name.startswith(".")]
+
+
+def test_an_article_of_many_chunks_and_questions_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_ROWS", 500)
+    named = spark.createDataFrame([(q, "21 a" if q % 3 else "7") for q in range(60)] + [(3, "7"), (4, None), (5, "99")], "query_id long, article string")
+    post = spark.createDataFrame([("21A" if c % 4 else "7", c, c) for c in range(200)], "article string, chunk_id long, pos int")
+    want = sorted(map(tuple, R.lookup(named, post).select("query_id", "article", "chunk_id", "pos").collect()))
+    for rows in (1_000_000, 20):
+        monkeypatch.setattr(R, "NAMED_ROWS", rows)
+        got = R.lookup_all(named, post).select("query_id", "article", "chunk_id", "pos")
+        assert sorted(map(tuple, got.collect())) == want
+    monkeypatch.setattr(R, "NAMED_ROWS", 1_000_000)
+    sizes = R.lookup_all(named, post).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 5 and max(r["count"] for r in sizes) < len(want) / 4
+    at = [r["chunk_id"] for r in R.lookup_all(named, post).collect()]
+    assert sum(a != b for a, b in zip(at, at[1:])) == 199  # rows of one chunk stand together
