@@ -75,3 +75,12 @@ def test_selection_in_passes(spark, index, monkeypatch):
     want = sorted(map(str, R.retrieve(asked, first)[1].collect()))
     monkeypatch.setattr(R, "SET_WORDS", 60)
     assert sorted(map(str, R.retrieve(asked, first)[1].collect())) == want and want
+
+
+def test_benchmark_items_and_plans_read_postings_by_blocks(spark, monkeypatch):
+    """Neither makes a row for each posting that a question meets."""
+    from lexmill.plans.registry import QUERIES
+
+    for name in ("scored", "bounded"):
+        monkeypatch.setattr(L, name, lambda *a, **b: pytest.fail("postings met one by one"))
+    assert QUERIES["bm25_bounded"](spark, "/root/testdata/sf0.001").count() > 0
